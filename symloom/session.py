@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -44,9 +45,15 @@ def ensure_checkpoints(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute a frame once and cut its lineage with a reliable checkpoint."""
-    ensure_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute a frame once, as a table in the checkpoint folder, and go on from that table.
+
+    A written table cuts the lineage as checkpoint() does, outlives any
+    executor, and carries neither plans nor constraints from round to round.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoints(spark).rstrip('/')}/symloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def cores(spark: SparkSession) -> int:
