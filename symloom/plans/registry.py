@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from symloom.plans import data_queries
+from symloom.plans import data_queries, relational_queries
 
-_MODULES = (data_queries,)
+_MODULES = (data_queries, relational_queries)
 
 
 def queries() -> dict:
