@@ -24,6 +24,10 @@ from symloom.session import spread
 #: Placeholder of each kind.
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 _AT = re.compile(r"@|\bat\b|\(at\)|\[at\]|＠", re.I)
+#: Shapes that telephone numbers have: with a country or trunk prefix, in brackets, or in groups of three and four.
+_PHONE = re.compile(
+    r"(?:\+|00)\d[\d ().-]{6,18}\d|\+\d{7,14}|1[ .-]\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}|\(\d{2,5}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}([ .-])\d{3}\1\d{4}|0\d{2,4}[ /.-]\d{3,4}[ .-]?\d{3,4}(?:[ .-]\d{2,4})?"
+)
 _LEFT = {
     "email": re.compile(r"[\w.+-]*$"),
     "phone": re.compile(r"[+(\d][\d ().+-]{0,6}$"),
@@ -58,7 +62,7 @@ def checked(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int
         digits = sum(map(str.isdigit, piece))
         if kind == "email" and (not _AT.search(piece) or piece.lower().startswith("git@")):
             continue
-        if kind == "phone" and not 7 <= digits <= 15:
+        if kind == "phone" and not (7 <= digits <= 15 and _PHONE.fullmatch(piece)):
             continue
         if kind == "id_number" and digits < 4:
             continue

@@ -1,6 +1,7 @@
 """Training of the tagger: labelled spans from texts, gradients in numpy, Adam.
 
-    python -m symloom.llm.train_tagger FOLDER [EPOCHS]
+    python -m symloom.llm.train_tagger FOLDER
+    python -m symloom.llm.train_tagger FOLDER --epochs 6 --plain 2 --resume --top 0.003
 
 Labels are weak: patterns for addresses of all kinds and numbers, and for names
 the given and family names of the contributors table, completed by family names
@@ -13,7 +14,6 @@ from __future__ import annotations
 
 import random
 import re
-import sys
 import time
 from collections import Counter
 from pathlib import Path
@@ -36,7 +36,7 @@ ID = re.compile(
 _STREET = r"(?:[A-ZÀ-Þ][\w'’-]*\s){1,3}(?:(?:Street|Lane|Road|Way|Avenue|Drive|Court|Row|Close|Terrace|Place|Square|Hill|Walk|Gardens)\b|(?:St|Ln|Rd|Ave|Dr|Ct)\b\.?)"
 _PLACE = r"(?:,?\s(?:Apt|Flat|Unit|Suite)\s\w+)?(?:,\s[A-ZÀ-Þ][\w'’-]+(?:\s\d{5})?|,\s\d{5}\s[A-ZÀ-Þ][\w'’-]+)?"
 ADDRESS = re.compile(
-    rf"\b(?:\d{{1,4}}[a-z]?\s{_STREET}{_PLACE}|\d{{1,4}}[a-z]?,?\s(?:rue|avenue|allée|place|chemin|quai|boulevard)\s(?:de la |des |du |de |d')?[A-ZÀ-Þ][\w'’-]+(?:-[\w'’]+)*{_PLACE}|(?:(?:Am|An der|Im|Zum|Zur|Auf dem|Unter den)\s(?:[A-ZÀ-Þ][\w-]+\s?){{1,2}}|[A-ZÀ-Þ][\wßäöü-]*(?:str\.|straße|strasse|gasse|weg|platz|allee|ring|damm))\s\d{{1,4}}[a-z]?{_PLACE})"
+    rf"\b(?:\d{{1,4}}[A-Za-z]?\s{_STREET}{_PLACE}|\d{{1,4}}[A-Za-z]?,?\s(?:rue|avenue|allée|place|chemin|quai|boulevard)\s(?:de la |des |du |de |d')?[A-ZÀ-Þ][\w'’-]+(?:-[\w'’]+)*{_PLACE}|(?:(?:Am|An der|Im|Zum|Zur|Auf dem|Unter den)\s(?:[A-ZÀ-Þ][\w-]+\s?){{1,2}}|[A-ZÀ-Þ][\wßäöü-]*(?:str\.|straße|strasse|gasse|weg|platz|allee|ring|damm))\s\d{{1,4}}[A-Za-z]?{_PLACE})"
 )
 
 
@@ -118,7 +118,7 @@ def windows(texts: list[str], labeller: Labeller, rng: random.Random, plain: flo
             inside = [(x - start, y - start, k) for x, y, k in spans if x >= start and y <= end]
             out.append((text[start:end], inside))
             used = end
-        if rng.random() < plain and len(text) > 20:
+        for _ in range(int(plain) + (rng.random() < plain % 1) if len(text) > 20 else 0):
             start = rng.randrange(max(1, len(text) - 100))
             end = min(len(text), start + LENGTH)
             for x, y, _ in spans:
@@ -278,7 +278,7 @@ def vocabulary(texts: list[str], full_names: list[str]) -> tuple[set[str], set[s
     return given, family
 
 
-def main(folder: str, epochs: int = 14) -> None:
+def main(folder: str, epochs: int = 14, plain: float = 0.5, resume: bool = False, top: float = 0.008) -> None:
     import pyarrow.parquet as pq
 
     rng = random.Random(11)
@@ -287,10 +287,14 @@ def main(folder: str, epochs: int = 14) -> None:
     labeller = Labeller(*vocabulary(texts, names))
     rng.shuffle(texts)
     held, texts = texts[: len(texts) // 10], texts[len(texts) // 10 :]
-    data = windows(texts, labeller, rng, 0.5)
+    data = windows(texts, labeller, rng, plain)
     test = windows(held, labeller, rng, 0.5)
     print(len(data), "windows,", len(test), "held out", flush=True)
     model = Model()
+    if resume:
+        from symloom.llm.tagger import Tagger
+
+        model.w = {k: v.copy() for k, v in Tagger.load().w.items()}
     size = 96
     began = time.time()
     total = epochs * (len(data) // size)
@@ -298,7 +302,7 @@ def main(folder: str, epochs: int = 14) -> None:
         rng.shuffle(data)
         losses = []
         for a in range(0, len(data) - size + 1, size):
-            rate = 0.008 * (1 - model.steps / total) + 0.0004
+            rate = top * (1 - model.steps / total) + 0.0003
             losses.append(model.step(*tensors(data[a : a + size], rng, True), rate))
         np.savez_compressed(Path(__file__).with_name("tagger.npz"), **{k: v.astype(np.float16) for k, v in model.w.items()})
         print(epoch, round(float(np.mean(losses)), 4), "held out", score(model, test[:600]), round(time.time() - began), "s", flush=True)
@@ -322,4 +326,13 @@ def score(model: Model, test) -> dict:
 
 
 if __name__ == "__main__":
-    main(sys.argv[1], *map(int, sys.argv[2:3]))
+    import argparse
+
+    options = argparse.ArgumentParser()
+    options.add_argument("folder")
+    options.add_argument("--epochs", type=int, default=14)
+    options.add_argument("--plain", type=float, default=0.5, help="windows without a required mention, per text")
+    options.add_argument("--resume", action="store_true", help="go on from the stored weights")
+    options.add_argument("--top", type=float, default=0.008, help="learning rate at the start")
+    given = options.parse_args()
+    main(given.folder, given.epochs, given.plain, given.resume, given.top)
