@@ -186,8 +186,8 @@ def importance(symbols: DataFrame, links: DataFrame) -> DataFrame:
         )
         .withColumn(
             "score",
-            F.round(
-                F.least(F.col("betweenness") * 0.3 + F.col("degree") * 0.2 + F.col("eigenvector") * 0.15 + F.col("closeness") * 0.1 + F.col("semantic") * 0.25, one), 6
+            F.least(
+                F.col("betweenness") * 0.3 + F.col("degree") * 0.2 + F.col("eigenvector") * 0.15 + F.col("closeness") * 0.1 + F.col("semantic") * 0.25, one
             ),
         )
     )

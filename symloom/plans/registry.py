@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from symloom.plans import data_queries, relational_queries
+from symloom.plans import data_queries, graph_queries, ingest_queries, relational_queries
 
-_MODULES = (data_queries, relational_queries)
+_MODULES = (data_queries, relational_queries, graph_queries, ingest_queries)
 
 
 def queries() -> dict:
@@ -18,4 +18,4 @@ def oracles() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return data_queries.p2_paths(spark, folder)
+    return graph_queries.gt13_who_calls(spark, folder)
