@@ -36,7 +36,7 @@ ID = re.compile(
 _STREET = r"(?:[A-ZÀ-Þ][\w'’-]*\s){1,3}(?:(?:Street|Lane|Road|Way|Avenue|Drive|Court|Row|Close|Terrace|Place|Square|Hill|Walk|Gardens)\b|(?:St|Ln|Rd|Ave|Dr|Ct)\b\.?)"
 _PLACE = r"(?:,?\s(?:Apt|Flat|Unit|Suite)\s\w+)?(?:,\s[A-ZÀ-Þ][\w'’-]+(?:\s\d{5})?|,\s\d{5}\s[A-ZÀ-Þ][\w'’-]+)?"
 ADDRESS = re.compile(
-    rf"\b(?:\d{{1,4}}[A-Za-z]?\s{_STREET}{_PLACE}|\d{{1,4}}[A-Za-z]?,?\s(?:rue|avenue|allée|place|chemin|quai|boulevard)\s(?:de la |des |du |de |d')?[A-ZÀ-Þ][\w'’-]+(?:-[\w'’]+)*{_PLACE}|(?:(?:Am|An der|Im|Zum|Zur|Auf dem|Unter den)\s(?:[A-ZÀ-Þ][\w-]+\s?){{1,2}}|[A-ZÀ-Þ][\wßäöü-]*(?:str\.|straße|strasse|gasse|weg|platz|allee|ring|damm))\s\d{{1,4}}[A-Za-z]?{_PLACE})"
+    rf"\b(?:\d{{1,4}}[A-Za-z]?\s{_STREET}{_PLACE}|\d{{1,4}}[A-Za-z]?,?\s(?:rue|avenue|allée|place|chemin|quai|boulevard|impasse|cours|route|passage|sentier|square)\s(?:de la |des |du |de |d')?[A-ZÀ-Þ][\w'’-]+(?:-[\w'’]+)*{_PLACE}|(?:(?:Am|An der|Im|Zum|Zur|Auf dem|Unter den)\s(?:[A-ZÀ-Þ][\w-]+\s?){{1,2}}|[A-ZÀ-Þ][\wßäöü-]*(?:str\.|straße|strasse|gasse|weg|platz|allee|ring|damm))\s\d{{1,4}}[A-Za-z]?{_PLACE})"
 )
 
 
