@@ -196,6 +196,25 @@ def solve(counts: np.ndarray, capacity: int) -> tuple[list[tuple[Pattern, int]],
     return fixed + best_fit(counts, capacity), sum(n for _, n in fixed)
 
 
+def bound(counts: np.ndarray, capacity: int) -> int:
+    """Least number of containers that any packing needs (Martello and Toth's L2).
+
+    For each k, documents above capacity - k stand alone, those above half stand
+    apart from each other, and what is left of the rest from size k on must find
+    room beside the latter.
+    """
+    sizes = np.arange(capacity + 1)
+    n = np.concatenate([[0], counts.astype(np.int64).cumsum()])
+    total = np.concatenate([[0], (counts * sizes).astype(np.int64).cumsum()])
+    half = capacity // 2
+    k = np.arange(half + 1)
+    alone = n[-1] - n[capacity - k + 1]
+    apart = n[capacity - k + 1] - n[half + 1]
+    room = apart * capacity - (total[capacity - k + 1] - total[half + 1])
+    rest = total[half + 1] - total[k]
+    return int((alone + apart + np.maximum(0, -((room - rest) // capacity))).max())
+
+
 def _ranges(solution: list[tuple[Pattern, int]], capacity: int, first: int) -> dict[int, tuple[np.ndarray, ...]]:
     """Of each size the rank at which a range starts, its first container and documents per container."""
     starts: dict[int, list] = {}
@@ -274,7 +293,7 @@ def pack(counts: DataFrame, limit_id: int, capacity: int) -> tuple[DataFrame, di
         "pieces": int(sum(histogram.values())),
         "containers": containers,
         "fixed_by_dominance": fixed,
-        "least_possible": -(-tokens // capacity),
+        "least_possible": bound(table, capacity),
         "fill": round(tokens / (containers * capacity), 6) if containers else 0.0,
     }
     return placed, facts

@@ -49,12 +49,23 @@ _RIGHT = {
 }
 
 
-def checked(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Spans with whole words and numbers, without those that cannot be of their kind."""
+_INITIAL = re.compile(r"[A-Z]\.\s")
+_BEFORE_INITIAL = re.compile(r"(?<![\w.@/-])([A-ZÀ-Þ][\wÀ-ÿ'’-]+)\s$")
+_PARTS = re.compile(r"[^\W\d_]+")
+
+
+def checked(text: str, spans: list[tuple[int, int, str]], plain=lambda word: False) -> list[tuple[int, int, str]]:
+    """Spans with whole words and numbers, without those that cannot be of their kind.
+
+    plain tells the common words of the training texts: a name of nothing else
+    is none, and a word before an initial is only taken in when it is not one.
+    """
     out: list[tuple[int, int, str]] = []
     for a, b, kind in spans:
         if kind in ("email", "address", "name"):
             a -= len(_LEFT[kind].search(text[max(0, a - 40) : a])[0])
+            if kind == "name" and (first := _BEFORE_INITIAL.search(text[max(0, a - 30) : a])) and _INITIAL.match(text, a) and not plain(first[1]):
+                a -= len(first[0])
         b += len(_RIGHT[kind].match(text, b)[0])
         piece = text[a:b]
         if kind == "email" and piece.lower().startswith("mailto:"):
@@ -73,7 +84,7 @@ def checked(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int
             continue
         if kind == "address" and not (digits and _STREET.search(piece)):
             continue
-        if kind == "name" and not _is_name(piece):
+        if kind == "name" and (not _is_name(piece) or all(map(plain, _PARTS.findall(piece)))):
             continue
         if out and a < out[-1][1]:
             continue
@@ -107,8 +118,9 @@ def _base(documents: DataFrame) -> DataFrame:
 
 
 def _found(texts: list) -> list[list[tuple[int, int, str]]]:
-    plain = [t if isinstance(t, str) else "" for t in texts]
-    return [checked(t, s) for t, s in zip(plain, Tagger.load().spans(plain), strict=True)]
+    tagger = Tagger.load()
+    known = [t if isinstance(t, str) else "" for t in texts]
+    return [checked(t, s, tagger.is_plain) for t, s in zip(known, tagger.spans(known), strict=True)]
 
 
 def mentions(documents: DataFrame) -> DataFrame:

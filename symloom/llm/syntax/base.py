@@ -16,7 +16,7 @@ OPEN = {"(": ")", "[": "]", "{": "}"}
 CLOSE = {")": "(", "]": "[", "}": "{"}
 
 #: Deepest nesting that is followed; a text nested deeper is reported as an error.
-MAX_DEPTH = 180
+MAX_DEPTH = 2_000
 
 
 class SyntaxFailure(Exception):

@@ -523,7 +523,9 @@ class Ecma(Parser):
         v = self.v[self.p]
         if v not in ("class", "export", "abstract"):
             self.fail()
+        self.depth -= 1
         self.statement()
+        self.depth += 1
 
     def condition(self) -> None:
         self.need("(")

@@ -549,7 +549,7 @@ def prose(doc: str) -> str:
 def _is_code(line: str) -> bool:
     """Whether a comment line is code that was commented out."""
     return bool(
-        re.search(r"(?:\)|\w|[\"'\]}])\s*;\s*$|=>|^\}|[)\w]\s*\{\s*$", line)
+        re.search(r"(?:\)|\w|[\"'\]}])\s*;\s*\}?\s*$|=>|^\}|[)\w]\s*\{\s*$", line)
         and re.search(r"[(){}=;]", line)
         and re.search(r"\w\(|\)\s*\{|\w\s=\s|^return\b|^\}|=>|^(?:const|let|var|if|for|while)\b", line)
     )

@@ -9,10 +9,12 @@ window's edges stands.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import io
 import pkgutil
 import unicodedata
+import zlib
 
 import numpy as np
 
@@ -102,7 +104,12 @@ def lstm(ids: np.ndarray, table: np.ndarray, recurrent: np.ndarray) -> np.ndarra
 
 class Tagger:
     def __init__(self, weights: dict[str, np.ndarray]):
-        self.w = {k: np.ascontiguousarray(v, np.float32) for k, v in weights.items()}
+        #: Hashes of common words, which alone name nobody.
+        self.plain = frozenset(weights["plain"].tolist()) if "plain" in weights else frozenset()
+        self.w = {k: np.ascontiguousarray(v, np.float32) for k, v in weights.items() if k != "plain"}
+
+    def is_plain(self, word: str) -> bool:
+        return zlib.crc32(word.lower().encode()) in self.plain
 
     @staticmethod
     @functools.cache
@@ -181,8 +188,6 @@ class Tagger:
 def _reconcile(spans: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str]]:
     """Of overlapping spans keep the one furthest from the edges of its window."""
     taken: list[tuple[int, int, str]] = []
-    import bisect
-
     for _, a, b, kind in sorted(spans, key=lambda x: (-x[0], x[1], x[2])):
         i = bisect.bisect_left(taken, (a, b, kind))
         if (i < len(taken) and taken[i][0] < b) or (i and taken[i - 1][1] > a):

@@ -15,6 +15,7 @@ from __future__ import annotations
 import random
 import re
 import time
+import zlib
 from collections import Counter
 from pathlib import Path
 
@@ -278,6 +279,19 @@ def vocabulary(texts: list[str], full_names: list[str]) -> tuple[set[str], set[s
     return given, family
 
 
+def plain_words(texts: list[str], labeller: Labeller, least: int = 3) -> np.ndarray:
+    """Hashes of the words, in small letters, that stand outside all spans at least so often."""
+    seen: Counter = Counter()
+    for text in texts:
+        rest, at = [], 0
+        for a, b, _ in labeller.spans(text):
+            rest.append(text[at:a])
+            at = b
+        rest.append(text[at:])
+        seen.update(x.lower() for x in re.findall(r"(?<![\w@.+-])[^\W\d_]+(?![\w@+-]|\.\w)", " ".join(rest)))
+    return np.array(sorted(zlib.crc32(w.encode()) for w, n in seen.items() if n >= least), np.int64)
+
+
 def main(folder: str, epochs: int = 14, plain: float = 0.5, resume: bool = False, top: float = 0.008) -> None:
     import pyarrow.parquet as pq
 
@@ -290,6 +304,7 @@ def main(folder: str, epochs: int = 14, plain: float = 0.5, resume: bool = False
     data = windows(texts, labeller, rng, plain)
     test = windows(held, labeller, rng, 0.5)
     print(len(data), "windows,", len(test), "held out", flush=True)
+    plain_hashes = plain_words(texts, labeller)
     model = Model()
     if resume:
         from symloom.llm.tagger import Tagger
@@ -304,7 +319,7 @@ def main(folder: str, epochs: int = 14, plain: float = 0.5, resume: bool = False
         for a in range(0, len(data) - size + 1, size):
             rate = top * (1 - model.steps / total) + 0.0003
             losses.append(model.step(*tensors(data[a : a + size], rng, True), rate))
-        np.savez_compressed(Path(__file__).with_name("tagger.npz"), **{k: v.astype(np.float16) for k, v in model.w.items()})
+        np.savez_compressed(Path(__file__).with_name("tagger.npz"), plain=plain_hashes, **{k: v.astype(np.float16) for k, v in model.w.items()})
         print(epoch, round(float(np.mean(losses)), 4), "held out", score(model, test[:600]), round(time.time() - began), "s", flush=True)
 
 
