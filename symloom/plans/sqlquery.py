@@ -22,10 +22,12 @@ _VIEW = re.compile(r"\{(\w+)\}")
 def _dialect(text: str, spark: bool) -> str:
     if spark:
         text = re.sub(r"\bRX\(", "regexp_like(", text)
+        text = text.replace("STRUCTOF(", "struct(")
         text = re.sub(r"LISTAGG\((.*?) BY (\w+)\)", r"listagg(\1, ', ') WITHIN GROUP (ORDER BY \2)", text)
         text = re.sub(r"MONTH\((\w+)\)", r"date_format(\1, 'yyyy-MM')", text)
         return re.sub(r"\bLIST\(", "collect_list(", text)
     text = re.sub(r"\bRX\(", "regexp_matches(", text)
+    text = re.sub(r"STRUCTOF\(((?:[^()]|\([^()]*\))*)\)", lambda m: "struct_pack(" + re.sub(r"((?:[^,()]|\([^()]*\))+) AS (\w+)", r"\2 := \1", m[1]) + ")", text)
     text = re.sub(r"LISTAGG\((.*?) BY (\w+)\)", r"string_agg(\1, ', ' ORDER BY \2)", text)
     text = re.sub(r"MONTH\((\w+)\)", r"strftime(\1, '%Y-%m')", text)
     return re.sub(r"\bLIST\(", "list(", text)

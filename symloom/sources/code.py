@@ -15,12 +15,14 @@ from __future__ import annotations
 
 import bisect
 import json
+import posixpath
 import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from symloom.session import spread
 
@@ -270,6 +272,25 @@ def manifest(text: str) -> list[tuple[str, str, str]]:
     ]
 
 
+def candidates(path: str, source: str) -> list[str]:
+    """Paths that an import may mean, most likely first: as written, with an extension, as a folder's index."""
+    if source.startswith("@/"):
+        base = "src/" + source[2:]
+    elif source.startswith("."):
+        base = posixpath.normpath(posixpath.join(posixpath.dirname(path), source))
+    else:
+        base = source
+    if base.startswith(".."):
+        return []
+    extensions = (".ts", ".tsx", ".js", ".mjs", ".cjs", ".jsx", ".vue")
+    return [base, *[base + e for e in extensions], *[f"{base}/index{e}" for e in extensions[:4]]]
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def import_candidates(path: pd.Series, source: pd.Series) -> pd.Series:
+    return pd.Series([candidates(p or "", s or "") for p, s in zip(path, source, strict=True)])
+
+
 def _table(sources: DataFrame, rows, columns: list[str], schema: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
