@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from symloom.session import cut
+from symloom.session import cut, cut_counting
 
 #: Depths of the transitive operators: default and most.
 DEPTH, MAX_DEPTH = 10, 20
@@ -43,8 +43,8 @@ def reach(links: DataFrame, seeds: DataFrame, depth: int = DEPTH) -> DataFrame:
         step = (
             frontier.join(links, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct()
         )
-        new = cut(step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(d)))
-        if new.isEmpty():
+        new, count = cut_counting(step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(d)))
+        if not count:
             break
         levels.append(new)
         seen = seen.unionByName(new)
@@ -66,7 +66,7 @@ def paths(links: DataFrame, seeds: DataFrame, depth: int, end: Column | None = N
     current = seeds.select(F.col("seed").cast("long")).distinct().select("seed", F.col("seed").alias("node"), F.array("seed").alias("path"))
     out: DataFrame | None = None
     for d in range(1, depth + 1):
-        step = cut(
+        step, count = cut_counting(
             current.join(links, (F.col("node") == F.col("src")) & ~F.array_contains("path", F.col("dst"))).select(
                 "seed", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path")
             )
@@ -75,7 +75,7 @@ def paths(links: DataFrame, seeds: DataFrame, depth: int, end: Column | None = N
         found = found.select("seed", "node", F.lit(d).alias("depth"), "path")
         out = found if out is None else out.unionByName(found)
         current = step.where(~end) if end is not None else step
-        if step.isEmpty():
+        if not count:
             break
     return out
 
@@ -96,8 +96,8 @@ def shortest_path(links: DataFrame, start: int, goal: int, depth: int = MAX_DEPT
             .groupBy(F.col("dst").alias("node"))
             .agg(F.min("src").alias("parent"))
         )
-        layer = cut(step.join(tree.select("node"), "node", "left_anti"))
-        if layer.isEmpty():
+        layer, count = cut_counting(step.join(tree.select("node"), "node", "left_anti"))
+        if not count:
             return spark.createDataFrame([], "position int, node long")
         tree = tree.unionByName(layer)
         met = not layer.where(F.col("node") == goal).isEmpty()
@@ -116,15 +116,13 @@ def on_cycles(links: DataFrame) -> DataFrame:
     Trimming takes out, round by round, all nodes without a predecessor or
     without a successor; nodes that stay on a cycle reach themselves.
     """
-    left = cut(links)
-    count = left.count()
+    left, count = cut_counting(links)
     while count:
         into = left.select(F.col("dst").alias("n")).distinct()
         out_of = left.select(F.col("src").alias("n")).distinct()
-        kept = cut(
+        kept, now = cut_counting(
             left.join(into, F.col("src") == F.col("n"), "left_semi").join(out_of, F.col("dst") == F.col("n"), "left_semi")
         )
-        now = kept.count()
         if now == count:
             break
         left, count = kept, now

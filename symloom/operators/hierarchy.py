@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symloom.session import cut
+from symloom.session import cut, cut_counting
 
 SPACING = 8
 #: Longest parent chain that is walked before the input is refused (2**ROUNDS nodes).
@@ -47,21 +47,20 @@ def _targets(state: DataFrame, stop: Column, carry: bool) -> DataFrame:
     )
 
 
-def _walk(state: DataFrame, stop: Column, carry: bool) -> tuple[DataFrame, DataFrame | None]:
+def _walk(state: DataFrame, left: int, stop: Column, carry: bool) -> tuple[DataFrame, DataFrame | None]:
     """Double pointers until each reaches a terminal.
 
     state: id, ptr, dist, low, terminal, done and, when carried, path; stop
-    tells, on the column id, which nodes end a walk besides the terminals.
-    Returns the nodes that arrived and those that never will (id, circle), or
+    tells, on the column id, which nodes end a walk besides the terminals; left
+    is the number of nodes that are not done. Returns the nodes that arrived and those that never will (id, circle), or
     None where there are none of these.
     """
     active = state.where("not done")
     finished = [state.where("done")]
-    left = active.count()
     rounds = 0
     while left:
         target = _targets(_all([*finished, active]), stop, carry)
-        joined = cut(
+        joined, count = cut_counting(
             active.join(target, F.col("ptr") == F.col("t_id")).select(
                 "id",
                 F.col("t_ptr").alias("ptr"),
@@ -70,13 +69,13 @@ def _walk(state: DataFrame, stop: Column, carry: bool) -> tuple[DataFrame, DataF
                 "terminal",
                 F.col("t_done").alias("done"),
                 *([F.concat("path", "t_path").alias("path")] if carry else []),
-            )
+            ),
+            "not done",
         )
         rounds += 1
         active = joined.where("not done")
-        count = active.count()
         if count == left:
-            return _all(finished), _circles(active, count)
+            return _all(finished), _circles(active, count, 2**rounds)
         finished.append(joined.where("done"))
         left = count
         if rounds > ROUNDS:
@@ -91,14 +90,14 @@ def _all(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _circles(walkers: DataFrame, count: int) -> DataFrame:
+def _circles(walkers: DataFrame, count: int, reach: int) -> DataFrame:
     """Smallest id of the circle that each walker ends on: columns id, circle.
 
-    After a walk longer than the number of walkers a pointer lies on the circle
-    and the minimum over the pointer's own walk is that of the circle.
+    Walkers have gone reach steps so far. After a walk longer than their number a
+    pointer lies on the circle and the minimum over the pointer's own walk is
+    that of the circle.
     """
     state = walkers.select("id", "ptr", "low")
-    reach = 1
     while reach < 2 * count:
         t = state.select(F.col("id").alias("t_id"), F.col("ptr").alias("t_ptr"), F.col("low").alias("t_low"))
         state = cut(
@@ -135,7 +134,7 @@ def hierarchy(
     known = nodes.select(F.col("id").alias("k_id"))
     root = F.col("k_id").isNull()
     own = F.array(F.struct("id", "name")) if carry else None
-    base = cut(
+    base, left = cut_counting(
         nodes.join(known, F.col("parent") == F.col("k_id"), "left").select(
             "id",
             F.coalesce("k_id", "id").alias("ptr"),
@@ -144,10 +143,11 @@ def hierarchy(
             root.alias("terminal"),
             root.alias("done"),
             *([F.when(root, F.slice(own, 1, 0)).otherwise(own).alias("path"), F.col("name")] if carry else []),
-        )
+        ),
+        "not done",
     )
     stop = is_splitter(F.col("id"), spacing)
-    reached, lost = _walk(base.drop("name"), stop, carry)
+    reached, lost = _walk(base.drop("name"), left, stop, carry)
 
     reduced = reached.where(stop | F.col("terminal")).withColumn("done", F.col("terminal"))
     if lost is not None:
@@ -164,7 +164,8 @@ def hierarchy(
                 *([F.expr("cast(array() as array<struct<id:bigint,name:string>>)").alias("path")] if carry else []),
             )
         )
-    solved, turning = _walk(cut(reduced), F.lit(False), carry)
+    reduced, left = cut_counting(reduced, "not done")
+    solved, turning = _walk(reduced, left, F.lit(False), carry)
     ends = solved.select(
         F.col("id").alias("s_id"),
         F.col("ptr").alias("s_root"),

@@ -9,10 +9,13 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Tasks per core that a costly Python stage is cut into.
 WAVES = 4
+#: Bytes of an Arrow batch, so that long texts do not come by the ten thousand.
+BATCH_BYTES = 64 << 20
 
 
 def local_session(cores: str = "*", **settings: str) -> SparkSession:
@@ -56,15 +59,23 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_counting(df: DataFrame, condition: str = "true") -> tuple[DataFrame, int]:
+    """cut(), and how many rows meet a condition, counted while the table is written."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count_if(F.expr(condition)).alias("n")))
+    return out, int(seen.get.get("n") or 0)
+
+
 def cores(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 
 
 def spread(df: DataFrame, waves: int = WAVES) -> DataFrame:
-    """Split a frame over enough tasks for a stage that is bound by Python's CPU.
+    """Split a frame over enough tasks for a stage of Python on texts, and bound its batches.
 
     Nothing happens when the scan already has that many splits, as on large inputs.
     """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     want = cores(df.sparkSession) * waves
     return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
 
