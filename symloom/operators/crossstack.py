@@ -37,13 +37,14 @@ def matched(calls: DataFrame) -> DataFrame:
     )
 
 
-def coverage(calls: DataFrame) -> DataFrame:
-    """Full outer comparison of URLs that the first and the second half of repositories call."""
-    urls = normal_calls(calls).where("url <> ''")
-    a = urls.where("repo_id % 2 = 0").select("method", "url").distinct().withColumn("in_a", F.lit(True))
-    b = urls.where("repo_id % 2 = 1").select("method", "url").distinct().withColumn("in_b", F.lit(True))
-    state = F.when(F.col("in_a").isNull(), "second_only").when(F.col("in_b").isNull(), "first_only").otherwise("both")
-    return a.join(b, ["method", "url"], "full").groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("urls"))
+def coverage(calls: DataFrame, repositories: DataFrame) -> DataFrame:
+    """URLs that are called from frontend repositories only, from others only, or from both."""
+    front = F.coalesce("language_primary", F.lit("")).isin("javascript", "typescript", "vue")
+    sides = repositories.select(F.col("id").alias("r_id"), front.alias("front"))
+    urls = normal_calls(calls).where("url <> ''").join(sides, F.col("repo_id") == F.col("r_id"))
+    seen = urls.groupBy("method", "url").agg(F.bool_or("front").alias("a"), F.bool_or(~F.col("front")).alias("b"))
+    state = F.when(~F.col("a"), "second_only").when(~F.col("b"), "first_only").otherwise("both")
+    return seen.groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("urls"))
 
 
 def similar(calls: DataFrame) -> DataFrame:

@@ -102,10 +102,13 @@ def gt09_shortest_path(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {_EDGES}, {_SEED},
 w AS (SELECT e.src AS node, [seed, e.src] AS path FROM seed JOIN e ON e.dst = seed
       UNION ALL SELECT e.src, list_append(w.path, e.src) FROM w JOIN e ON e.dst = w.node WHERE len(w.path) < 4 AND NOT list_contains(w.path, e.src))
-SELECT list_aggregate(path, 'string_agg', '>') AS path FROM w WHERE node % 5 = 0""")
+SELECT list_aggregate(path, 'string_agg', '>') AS path FROM w WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.dst = w.node)""")
 def gt10_all_simple_paths(spark: SparkSession, folder: str) -> DataFrame:
-    # the goal is a set of nodes: every path that ends in one, also those that pass through another
-    found = graph.paths(_edges(spark, folder, "calls", reverse=True), _seed_of(spark, folder), 3).where("node % 5 = 0")
+    # the goals are entry points: symbols that nothing calls
+    links = _edges(spark, folder, "calls")
+    called = links.select(F.col("dst").alias("c")).distinct()
+    back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    found = graph.paths(back, _seed(links), 3).join(called, F.col("node") == F.col("c"), "left_anti")
     return found.select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
@@ -284,10 +287,11 @@ def xs01_match_calls(spark: SparkSession, folder: str) -> DataFrame:
     return crossstack.matched(view(spark, folder, "a", *_A))
 
 
-@query(f"""{_CALLS}, x AS (SELECT DISTINCT method, url FROM u WHERE url <> '' AND repo_id % 2 = 0), y AS (SELECT DISTINCT method, url FROM u WHERE url <> '' AND repo_id % 2 = 1)
+@query(f"""{_CALLS}, side AS (SELECT id AS r_id, coalesce(language_primary, '') IN ('javascript', 'typescript', 'vue') AS front FROM repositories),
+x AS (SELECT DISTINCT method, url FROM u JOIN side ON r_id = repo_id WHERE url <> '' AND front), y AS (SELECT DISTINCT method, url FROM u JOIN side ON r_id = repo_id WHERE url <> '' AND NOT front)
 SELECT CASE WHEN x.url IS NULL THEN 'second_only' WHEN y.url IS NULL THEN 'first_only' ELSE 'both' END AS state, count(*) AS urls FROM x FULL OUTER JOIN y ON x.method = y.method AND x.url = y.url GROUP BY 1""")
 def st07_endpoint_diff(spark: SparkSession, folder: str) -> DataFrame:
-    return crossstack.coverage(view(spark, folder, "a", *_A))
+    return crossstack.coverage(view(spark, folder, "a", *_A), view(spark, folder, "r", "language_primary"))
 
 
 @query(f"""{_CALLS}, k AS (SELECT method, url, string_split(url, '/') AS p FROM routes),
@@ -437,20 +441,6 @@ def so03_keyset_page(spark: SparkSession, folder: str) -> DataFrame:
     return view(spark, folder, "s", "name", "start_line").where("id > 1500").orderBy("id").limit(50).select("id", "name")
 
 
-@query(f"""WITH {view_sql("d", "to_symbol_id", "parameter_context", "from_symbol_id", "line_number")},
-k AS (SELECT to_symbol_id, parameter_context, count(*) AS calls, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM d WHERE to_symbol_id IS NOT NULL AND parameter_context IS NOT NULL GROUP BY 1, 2)
-SELECT to_symbol_id, parameter_context, calls, ids FROM k WHERE calls BETWEEN 2 AND 200""")
-def ag11_parameter_contexts(spark: SparkSession, folder: str) -> DataFrame:
-    d = view(spark, folder, "d", "to_symbol_id", "parameter_context", "from_symbol_id", "line_number").where("to_symbol_id is not null and parameter_context is not null")
-    # groups are sized first, so ids of a hot target are never gathered in one row
-    sizes = d.groupBy("to_symbol_id", "parameter_context").count().where("count between 2 and 200")
-    return (
-        d.join(sizes, ["to_symbol_id", "parameter_context"])
-        .groupBy("to_symbol_id", "parameter_context")
-        .agg(F.count(F.lit(1)).alias("calls"), F.array_join(F.sort_array(F.collect_list("id")).cast("array<string>"), ",").alias("ids"))
-    )
-
-
 @query(f"""WITH {view_sql("a", "caller_symbol_id", "created_at")}, k AS (SELECT caller_symbol_id, created_at, lag(created_at) OVER (PARTITION BY caller_symbol_id ORDER BY created_at, id) AS before, row_number() OVER (PARTITION BY caller_symbol_id ORDER BY created_at, id) AS n FROM a)
 SELECT caller_symbol_id, n, date_diff('day', before, created_at) AS days FROM k WHERE before IS NOT NULL""")
 def wn05_gaps_between_calls(spark: SparkSession, folder: str) -> DataFrame:
