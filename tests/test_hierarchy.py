@@ -23,7 +23,7 @@ def brute(links: dict) -> dict:
     return out
 
 
-@pytest.mark.parametrize("spacing", [1, 3, 8, 1_000_000])
+@pytest.mark.parametrize("spacing", [3, 1_000_000])
 def test_random_forests_with_circles(spark, spacing):
     rng = random.Random(spacing)
     links = {i: (rng.choice([None, 999_999]) if rng.random() < 0.05 else rng.randrange(max(0, i - 6), i + 3)) for i in range(300)}
