@@ -166,7 +166,14 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             limit = max(4, int(limit)) if pd.notna(limit) else 4
             overlap = max(0, int(overlap)) if pd.notna(overlap) else OVERLAP
-            offsets, at, lines, levels = boundaries(text, language or "", limit)
+            if len(text) <= limit and (text.isascii() or len(text.encode("utf-8", "surrogatepass")) <= limit):
+                # one piece: only its two ends matter
+                size = len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
+                ends = [0, len(text)] if text else [0]
+                offsets, at = np.array(ends), np.array([0, size][: len(ends)])
+                lines, levels = np.array([0, text.count("\n") + (not text.endswith("\n"))][: len(ends)]), np.full(len(ends), LINE)
+            else:
+                offsets, at, lines, levels = boundaries(text, language or "", limit)
             end, next_ = successors(at, lines, levels, limit, overlap)
             parts.append((item, text, offsets, at, lines, levels, end, next_, base))
             first.append(base)

@@ -33,7 +33,7 @@ GOOD = {
         "interface I { int X { get; } void M(); }\nenum E : byte { A = 1, B, }\ndelegate T D<in T>(T t);", "goto end; end: ; for (int i = 0, j = 1; i < 3; i++, j--) { } do { } while (false);",
     ],
     "vue": [
-        "<template><p v-if=\"a > 1\">{{ b }}<br></p></template>\n<script setup lang=\"ts\">\nconst a: number = 1;\n</script>\n<style scoped>a { }</style>", "<script>export default { data() { return {} } }</script>", "﻿<!-- x --><template><A/></template>",
+        "<template><p v-if=\"a > 1\">{{ b }}<br></p></template>\n<script setup lang=\"ts\">\nconst a: number = 1;\n</script>\n<style scoped>a { }</style>", "<script>export default { data() { return {} } }</script>", "﻿<!-- x --><template><A/></template>", "<template><p>{{ a <b }}<template #x></template></template>",
     ],
 }
 BAD = {
@@ -41,7 +41,7 @@ BAD = {
     "typescript": ["let x: = 1;", "class { }", "type A = ;", "enum { A }", "const f = (a: number => a;", "function f(a: ) {}"],
     "php": ["", "no code", "<?php if ($a {", "<?php class { }", "<?php $a = ;", "<?php function f( { }", "<?php echo 'a", "<?php foo(1,,2);", "<?php }", "<?php $x = <<<A\n b"],
     "csharp": ["class A {", "class A { void F( { } }", "x y z;", "class A { int = 1; }", "var s = \"a", "f(1, , 2);", "return (1;", "#endif", "class A { public public(); }"],
-    "vue": ["", "plain text", "<template><p></template", "<style></style>", "<script>const a = ;</script>", "<template><p></template>", "<script>const a = 1;"],
+    "vue": ["", "plain text", "<template><p></template", "<style></style>", "<script>const a = ;</script>", "<template><p>", "<script>const a = 1;"],
 }
 
 
