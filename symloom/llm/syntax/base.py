@@ -68,6 +68,20 @@ class Tokens:
         return self
 
 
+def remembered(lex):
+    """A lexer that keeps its last result, as a text is often parsed and searched in turn."""
+    slot: list = [None, None]
+
+    def run(*arguments):
+        if slot[0] != arguments:
+            slot[1] = lex(*arguments)
+            slot[0] = arguments
+        return slot[1]
+
+    run.__doc__ = lex.__doc__
+    return run
+
+
 class Parser:
     """Cursor and error store shared by all languages."""
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from .base import END, HEAD, MIDDLE, NAME, NUMBER, PUNCT, STRING, TAIL, TEMPLATE, Parser, Tokens
+from .base import END, HEAD, MIDDLE, NAME, NUMBER, PUNCT, STRING, TAIL, TEMPLATE, Parser, Tokens, remembered
 
 _TOKEN = re.compile(
     r"(?:\s|﻿)*(?:"
@@ -21,6 +21,7 @@ _TOKEN = re.compile(
 _DIRECTIVES = frozenset("if elif else endif define undef region endregion pragma nullable error warning line".split())
 
 
+@remembered
 def lex(text: str) -> Tokens:
     """Tokens of a C# file; `>` stays single, directive lines are checked and left out."""
     out = Tokens(text)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from .base import END, HEAD, MIDDLE, NAME, NUMBER, PRIVATE, PUNCT, REGEX, STRING, TAIL, TEMPLATE, Parser, SyntaxFailure, Tokens
+from .base import END, HEAD, MIDDLE, NAME, NUMBER, PRIVATE, PUNCT, REGEX, STRING, TAIL, TEMPLATE, Parser, SyntaxFailure, Tokens, remembered
 
 _SPACE = r"[^\S\n\r\u2028\u2029]|\ufeff"
 _TOKEN = re.compile(
@@ -26,6 +26,7 @@ _BEFORE_REGEX = frozenset(
 )
 
 
+@remembered
 def lex(text: str, ts: bool) -> Tokens:
     """Tokens of a script. Comments are kept apart; `>` stays single in TypeScript."""
     out = Tokens(text)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from .base import END, NAME, NUMBER, PUNCT, STRING, Parser, Tokens
+from .base import END, NAME, NUMBER, PUNCT, STRING, Parser, Tokens, remembered
 
 VARIABLE = 20
 INLINE = 21
@@ -28,6 +28,7 @@ _OPEN = re.compile(r"<\?(?:php(?=\s|\Z)|=)", re.I)
 _HOLE = re.compile(r"\$\{|\{\$")
 
 
+@remembered
 def lex(text: str) -> Tokens:
     """Tokens of a PHP file, text outside the tags as inline tokens."""
     out = Tokens(text)
