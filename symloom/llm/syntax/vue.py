@@ -10,8 +10,7 @@ _OPEN = re.compile(r"<([A-Za-z][\w.-]*)((?:\s+(?:[^\s\"'>/=]+(?:\s*=\s*(?:\"[^\"
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NEXT = re.compile(r"<(?=[A-Za-z/!?])")
 _RAW = ("script", "style")
-#: HTML elements without an end tag (fixed by the HTML standard).
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_TEMPLATE_END = re.compile(r"</template\s*>")
 
 
 def blocks(text: str) -> tuple[list[tuple[str, dict, int, int]], list[tuple[str, int]]]:
@@ -46,7 +45,7 @@ def blocks(text: str) -> tuple[list[tuple[str, dict, int, int]], list[tuple[str,
             found.append((name, attributes, pos, pos))
             continue
         if name == "template" and attributes.get("lang", "html") == "html":
-            end = markup(text, pos, errors)
+            end = markup(text, pos)
         else:
             close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(text, pos)
             end = (close.start(), close.end()) if close else None
@@ -62,9 +61,9 @@ def blocks(text: str) -> tuple[list[tuple[str, dict, int, int]], list[tuple[str,
     return found, errors
 
 
-def markup(text: str, pos: int, errors: list[tuple[str, int]]) -> tuple[int, int] | None:
-    """Walk a template to its own end tag, checking that its elements nest."""
-    stack = ["template"]
+def markup(text: str, pos: int) -> tuple[int, int] | None:
+    """Walk a template to its own end tag over the elements in it; whether these nest is not the syntax asked for."""
+    depth = 1
     while True:
         m = _NEXT.search(text, pos)
         if m is None:
@@ -75,29 +74,20 @@ def markup(text: str, pos: int, errors: list[tuple[str, int]]) -> tuple[int, int
             if end < 0:
                 return None
             pos = end + 3
-        elif text.startswith("</", pos):
-            end = text.find(">", pos)
-            if end < 0:
-                return None
-            name = text[pos + 2 : end].strip()
-            if name in stack:
-                while stack[-1] != name:
-                    errors.append((f"<{stack.pop()}> is not closed", pos))
-                stack.pop()
-                if not stack:
-                    return pos, end + 1
-            else:
-                errors.append((f"stray </{name}>", pos))
-            pos = end + 1
-        else:
-            tag = _OPEN.match(text, pos)
-            if tag is None:
-                errors.append(("malformed tag", pos))
-                pos += 1
-                continue
-            pos = tag.end()
-            if not tag[3] and tag[1].lower() not in VOID:
-                stack.append(tag[1])
+            continue
+        close = _TEMPLATE_END.match(text, pos)
+        if close:
+            depth -= 1
+            pos = close.end()
+            if not depth:
+                return m.start(), pos
+            continue
+        tag = _OPEN.match(text, pos)
+        if tag is None:
+            pos += 1
+            continue
+        pos = tag.end()
+        depth += tag[1] == "template" and not tag[3]
 
 
 def parse(text: str) -> list[tuple[str, int]]:
