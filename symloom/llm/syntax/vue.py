@@ -10,6 +10,7 @@ _OPEN = re.compile(r"<([A-Za-z][\w.-]*)((?:\s+(?:[^\s\"'>/=]+(?:\s*=\s*(?:\"[^\"
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NEXT = re.compile(r"<(?=[A-Za-z/!?])")
 _RAW = ("script", "style")
+_INNER = re.compile(r"\{\{|<(?=[A-Za-z/!?])")
 _TEMPLATE_END = re.compile(r"</template\s*>")
 
 
@@ -65,10 +66,14 @@ def markup(text: str, pos: int) -> tuple[int, int] | None:
     """Walk a template to its own end tag over the elements in it; whether these nest is not the syntax asked for."""
     depth = 1
     while True:
-        m = _NEXT.search(text, pos)
+        m = _INNER.search(text, pos)
         if m is None:
             return None
         pos = m.start()
+        if m[0] == "{{":
+            end = text.find("}}", pos)
+            pos = end + 2 if end >= 0 else pos + 2
+            continue
         if text.startswith("<!--", pos):
             end = text.find("-->", pos + 4)
             if end < 0:
