@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from symloom.functions.exprs import normal_url, segments
 
+#: URLs with one segment in one place that a task compares with all others that have it.
+SALT = 2_000
+
 
 def normal_calls(calls: DataFrame) -> DataFrame:
     """Calls with method in capitals and canonical URL."""
@@ -48,18 +51,33 @@ def coverage(calls: DataFrame, repositories: DataFrame) -> DataFrame:
 
 
 def similar(calls: DataFrame) -> DataFrame:
-    """Pairs of distinct URLs of one method and shape with the share of equal segments.
+    """Pairs of distinct URLs of one method and number of segments, at least half of these equal place by place.
 
-    Only URLs with the same method, number of segments and last segment meet, an
-    equality join, so the pairs stay local.
+    Of two URLs with k of n segments equal, the n - k + 1 rarest segments of
+    each, in one order for all, share one; so only these are joined, and a pair
+    is taken at the rarest segment it shares. Segments many URLs have are
+    salted by their count.
     """
     u = routes(calls).select("method", "url", segments(F.col("url")).alias("parts"))
-    keyed = u.withColumns({"n": F.size("parts"), "tail": F.element_at("parts", -1)})
-    a, b = keyed.alias("a"), keyed.alias("b")
+    keyed = u.withColumn("n", F.size("parts"))
+    held = keyed.select("method", "url", "n", "parts", F.posexplode("parts").alias("at", "part"))
+    common = held.groupBy("method", "n", "at", "part").agg(F.count(F.lit(1)).alias("urls"))
+    token = F.struct("urls", "at", "part")
+    rarest = (
+        held.join(common, ["method", "n", "at", "part"])
+        .groupBy("method", "url", "n")
+        .agg(F.first("parts").alias("parts"), F.sort_array(F.collect_list(token)).alias("tokens"))
+        .withColumn("tokens", F.expr("slice(tokens, 1, n - cast(ceil(n / 2) as int) + 1)"))
+        .withColumn("token", F.explode("tokens"))
+        .withColumn("salts", F.ceil(F.col("token.urls") / SALT).cast("int"))
+    )
+    a = rarest.withColumn("salt", F.pmod(F.xxhash64("url"), F.col("salts")).cast("int")).alias("a")
+    b = rarest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("b")
+    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("method", "n", "token", "salt")]
     same = F.aggregate(F.zip_with("a.parts", "b.parts", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, v: s + v)
-    on = (F.col("a.method") == F.col("b.method")) & (F.col("a.n") == F.col("b.n")) & (F.col("a.tail") == F.col("b.tail"))
+    first = F.element_at(F.array_intersect("a.tokens", "b.tokens"), 1) == F.col("a.token")
     return (
-        a.join(b, on & (F.col("a.url") < F.col("b.url")))
+        a.join(b, [*on, F.col("a.url") < F.col("b.url")])
+        .where(first & (same * 2 >= F.col("a.n")))
         .select("a.method", F.col("a.url").alias("url_a"), F.col("b.url").alias("url_b"), F.round(same / F.col("a.n"), 6).alias("similarity"))
-        .where("similarity >= 0.5")
     )

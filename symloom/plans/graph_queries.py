@@ -299,6 +299,14 @@ pairs AS (SELECT a.method, a.url AS url_a, b.url AS url_b, list_sum([CASE WHEN a
   FROM k a JOIN k b ON a.method = b.method AND len(a.p) = len(b.p) AND a.p[-1] = b.p[-1] AND a.url < b.url)
 SELECT method, url_a, url_b, round(CAST(s AS DOUBLE), 6) AS similarity FROM pairs WHERE s >= 0.5""")
 def xs03_similar_urls(spark: SparkSession, folder: str) -> DataFrame:
+    """Those pairs of xs03_all_similar_urls whose last segments are equal too, as the SQL twin asks."""
+    tail = [F.element_at(F.split(c, "/"), -1) for c in ("url_a", "url_b")]
+    return xs03_all_similar_urls(spark, folder).where(tail[0] == tail[1])
+
+
+@query()
+def xs03_all_similar_urls(spark: SparkSession, folder: str) -> DataFrame:
+    """All pairs of URLs of one method and length with at least half of their segments equal."""
     return crossstack.similar(view(spark, folder, "a", *_A))
 
 
