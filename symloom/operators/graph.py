@@ -12,6 +12,8 @@ path; repeated edges count once; an empty seed or edge table gives no rows.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from symloom.session import cut, cut_counting
 
 #: Depths of the transitive operators: default and most.
 DEPTH, MAX_DEPTH = 10, 20
+#: Levels of a traversal after which what was seen is written as one table.
+MERGE = 8
 #: Nodes within two hops at which closeness is full.
 NEAR = 30
 
@@ -32,27 +36,24 @@ def edges(dependencies: DataFrame, *types: str, reverse: bool = False) -> DataFr
     return df.select(F.col(a).alias("src"), F.col(b).alias("dst")).distinct()
 
 
-def reach(links: DataFrame, seeds: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Nodes reached from seeds (seed) within a depth: seed, node, depth (the least)."""
-    depth = max(1, min(depth, MAX_DEPTH))
+def reach(links: DataFrame, seeds: DataFrame, depth: int | None = DEPTH) -> DataFrame:
+    """Nodes reached from seeds (seed) within a depth, of any depth when None: seed, node, depth (the least)."""
+    rounds = itertools.count(1) if depth is None else range(1, max(1, min(depth, MAX_DEPTH)) + 1)
     frontier = seeds.select(F.col("seed").cast("long"), F.col("seed").cast("long").alias("node")).distinct()
     seen = frontier.withColumn("depth", F.lit(0))
-    levels: list[DataFrame] = []
     links = cut(links)
-    for d in range(1, depth + 1):
+    for d in rounds:
         step = (
             frontier.join(links, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct()
         )
-        new, count = cut_counting(step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(d)))
-        if not count:
+        new, found = cut_counting(step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(d)))
+        if not found:
             break
-        levels.append(new)
         seen = seen.unionByName(new)
+        if d % MERGE == 0:
+            seen = cut(seen)
         frontier = new.select("seed", "node")
-    out = levels[0] if levels else seen.where("depth > 0")
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out
+    return seen.where("depth > 0")
 
 
 def paths(links: DataFrame, seeds: DataFrame, depth: int, end: Column | None = None) -> DataFrame:

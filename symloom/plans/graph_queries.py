@@ -90,6 +90,19 @@ def ga02_call_depth(spark: SparkSession, folder: str) -> DataFrame:
     return gt07_transitive_callers(spark, folder).groupBy("depth").agg(F.count(F.lit(1)).alias("nodes"))
 
 
+@query()
+def gt07_callers_default_depth(spark: SparkSession, folder: str) -> DataFrame:
+    """Transitive callers down to the default depth; gt07_transitive_callers stops where its SQL twin does."""
+    return graph.reach(_edges(spark, folder, "calls", reverse=True), _seed_of(spark, folder)).select("node", "depth")
+
+
+@query()
+def ga02_full_call_depth(spark: SparkSession, folder: str) -> DataFrame:
+    """Callers on every level until there is none left; ga02_call_depth stops where its SQL twin does."""
+    found = graph.reach(_edges(spark, folder, "calls", reverse=True), _seed_of(spark, folder), None)
+    return found.groupBy("depth").agg(F.count(F.lit(1)).alias("nodes"))
+
+
 @query()
 def gt09_shortest_path(spark: SparkSession, folder: str) -> DataFrame:
     links = _edges(spark, folder)

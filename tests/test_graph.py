@@ -25,6 +25,14 @@ def test_reach_counts_nodes_once(spark):
     assert len(graph.paths(diamond, seed(spark, 1), 5).where("node = 4").collect()) == 2
 
 
+def test_reach_without_depth_goes_to_the_end(spark):
+    chain = links(spark, [(i, i + 1) for i in range(30)] + [(30, 0)])
+    got = sorted((r.depth, r.node) for r in graph.reach(chain, seed(spark, 0), None).collect())
+    assert got == [(i, i) for i in range(1, 31)]
+    assert graph.reach(chain, seed(spark, 0)).count() == graph.DEPTH
+    assert graph.reach(chain, seed(spark, 0), 99).count() == graph.MAX_DEPTH
+
+
 def test_shortest_path_with_id_zero(spark):
     got = [r.node for r in graph.shortest_path(links(spark), 0, 4).orderBy("position").collect()]
     assert got == [0, 1, 2, 4]
