@@ -13,6 +13,7 @@ path; repeated edges count once; an empty seed or edge table gives no rows.
 from __future__ import annotations
 
 import itertools
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -112,12 +113,36 @@ def shortest_path(links: DataFrame, start: int, goal: int, depth: int = MAX_DEPT
 
 
 def on_cycles(links: DataFrame) -> DataFrame:
-    """Nodes on a cycle of edges, by trimming what nothing enters or nothing leaves, then by reach.
+    """Edges on a cycle, those within one strongly connected component: src, dst.
 
-    Trimming takes out, round by round, all nodes without a predecessor or
-    without a successor; nodes that stay on a cycle reach themselves.
+    Round by round, what nothing enters or nothing leaves is trimmed; each node
+    takes the greatest id from which it is reached as its colour, and a
+    component are the nodes of a colour from which that id is reached in turn.
+    Components found are taken out, and the rest is coloured anew.
     """
-    left, count = cut_counting(links)
+    left, count = _trimmed(*cut_counting(links.select("src", "dst")))
+    parts: list[DataFrame] = []
+    while count:
+        colour = _greatest_before(left)
+        a, b = colour.toDF("a", "colour"), colour.toDF("b", "other")
+        same = cut(
+            left.join(a, F.col("src") == F.col("a")).join(b, F.col("dst") == F.col("b")).where("colour = other").select("src", "dst", "colour")
+        )
+        back = _greatest_before(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        a, b = back.toDF("a", "a_back"), back.toDF("b", "b_back")
+        known = cut(
+            same.join(a, F.col("src") == F.col("a"))
+            .join(b, F.col("dst") == F.col("b"))
+            .select("src", "dst", (F.col("a_back") == F.col("colour")).alias("src_in"), (F.col("b_back") == F.col("colour")).alias("dst_in"))
+        )
+        parts.append(known.where("src_in and dst_in").select("src", "dst"))
+        left, count = _trimmed(*cut_counting(known.where("not src_in and not dst_in").select("src", "dst")))
+    # nothing is left by now
+    return reduce(DataFrame.unionByName, parts, left)
+
+
+def _trimmed(left: DataFrame, count: int) -> tuple[DataFrame, int]:
+    """Edges that are left when all without an edge before or after them are taken out, and their number."""
     while count:
         into = left.select(F.col("dst").alias("n")).distinct()
         out_of = left.select(F.col("src").alias("n")).distinct()
@@ -127,7 +152,26 @@ def on_cycles(links: DataFrame) -> DataFrame:
         if now == count:
             break
         left, count = kept, now
-    return left
+    return left, count
+
+
+def _greatest_before(links: DataFrame) -> DataFrame:
+    """Of every node the greatest id from which it is reached, itself included: node, best.
+
+    In each round a node takes the greatest of its predecessors, and what that one has found.
+    """
+    nodes = links.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    best = cut(nodes.withColumn("best", F.col("node")))
+    while True:
+        pulled = links.join(best, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), "best", F.lit(None).cast("long").alias("old"))
+        step = best.withColumn("old", F.col("best")).unionByName(pulled).groupBy("node").agg(F.max("best").alias("near"), F.max("old").alias("old"))
+        far = best.toDF("f", "far")
+        new, changed = cut_counting(
+            step.join(far, F.col("near") == F.col("f")).select("node", F.greatest("near", "far").alias("best"), "old"), "best > old"
+        )
+        best = new.select("node", "best")
+        if not changed:
+            return best
 
 
 def degrees(links: DataFrame) -> DataFrame:

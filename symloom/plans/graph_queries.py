@@ -138,8 +138,17 @@ def ga03_leaf_call_chains(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def ga05_cycle_core(spark: SparkSession, folder: str) -> DataFrame:
-    """Edges left when everything that no cycle feeds or follows is trimmed, by inheritance."""
-    return graph.on_cycles(_edges(spark, folder, "inherits", "implements"))
+    """Edges between symbols that lie on a cycle of dependencies of any type."""
+    return graph.on_cycles(_edges(spark, folder))
+
+
+@query()
+def ga05_file_cycles(spark: SparkSession, folder: str) -> DataFrame:
+    """Edges between files that lie on a cycle; a file depends on another when a symbol of it does."""
+    s = view(spark, folder, "s", "file_id").select("id", "file_id").where("file_id is not null")
+    a, b = s.toDF("a", "src"), s.toDF("b", "dst")
+    links = _edges(spark, folder).toDF("from", "to").join(a, F.col("from") == F.col("a")).join(b, F.col("to") == F.col("b"))
+    return graph.on_cycles(links.where("src <> dst").select("src", "dst").distinct())
 
 
 def _importance(spark: SparkSession, folder: str) -> DataFrame:

@@ -45,6 +45,12 @@ def test_cycle_core_and_self_edges(spark):
     assert (5, 5) not in {(r.src, r.dst) for r in links(spark).collect()}
 
 
+def test_edges_between_cycles_are_on_none(spark):
+    two = [(1, 2), (2, 1), (2, 3), (3, 4), (4, 5), (5, 4), (9, 6), (6, 7), (7, 9), (7, 5)]
+    got = sorted((r.src, r.dst) for r in graph.on_cycles(links(spark, two)).collect())
+    assert got == [(1, 2), (2, 1), (4, 5), (5, 4), (6, 7), (7, 9), (9, 6)]
+
+
 def test_empty(spark):
     none = links(spark, [])
     assert graph.reach(none, seed(spark, 1), 3).collect() == []
