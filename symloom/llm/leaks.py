@@ -6,10 +6,12 @@ all items. The search looks at the last ``BLOCK`` characters of a frame as long
 as the shortest test string: a shift table says how far the frame may move
 where no test string can end, and where it may not move, the bucket of the
 frame's end names the strings to compare directly. Documents in which a string
-of one item alone occurs are then compared with that item word by word: runs
+of one item alone occurs, or enough strings for an unbroken passage, are then
+compared with that item word by word: runs
 found in the same order, with few words between them, form a chain, and chains
 close to each other a passage. A passage counts from ``WORDS`` words of the item
 on, of which words replaced or left out between two runs of a chain are part.
+Chains without a run of that item alone count only with ``WORDS`` unbroken words.
 
 Defined cases: null or wordless texts hold nothing and leak nothing; items with
 equal texts are found together, as runs are told apart by text, not by item;
@@ -129,7 +131,7 @@ def passages(matcher: Matcher, text: str) -> list[tuple[int, int, int, int]]:
     joined = f" {' '.join(w)} "
     hits = search(matcher, joined)
     wanted = {matcher.own[p] for _, p in hits if p in matcher.own}
-    if not wanted:
+    if not wanted and len(hits) <= WORDS - RUN:
         return []
     # word number of each offset that begins with a blank
     number, at = {}, 0
@@ -140,13 +142,15 @@ def passages(matcher: Matcher, text: str) -> list[tuple[int, int, int, int]]:
     for offset, p in hits:
         d = number[offset]
         for item, i in matcher.places[p]:
-            if item in wanted:
-                runs[item].append((d, i, p in matcher.own))
+            runs[item].append((d, i, p in matcher.own))
     out = []
     for item, found in runs.items():
-        chains = _chains(sorted(set(found)))
+        if item not in wanted and len(found) <= WORDS - RUN:
+            continue
+        found = sorted(set(found))
         start = 0
-        chains = [c for c in chains if c[4]]
+        chains = [c for c in _chains(found) if c[4]] if item in wanted else []
+        chains += _unbroken(found)
         chains.sort()
         while start < len(chains):
             stop = start + 1
@@ -184,6 +188,18 @@ def _chains(found: list[tuple[int, int, bool]]) -> list[list]:
     return chains
 
 
+def _unbroken(found: list[tuple[int, int, bool]]) -> list[list]:
+    """Stretches of at least WORDS words without a change, whatever items have their runs too; as chains."""
+    first = {}
+    for d, i, _ in found:
+        first[d, i] = first.get((d - 1, i - 1), d)
+    return [
+        [a, d + RUN - 1, i - (d - a), i + RUN - 1, False]
+        for (d, i), a in first.items()
+        if (d + 1, i + 1) not in first and d + RUN - a >= WORDS
+    ]
+
+
 _FOUND = "doc_id long, item_id long, words int, first_word int, last_word int"
 
 

@@ -59,3 +59,11 @@ def test_operator(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in leaks.leaked(docs, items).collect()} == want
     assert leaks.leaked(docs, items.where("false")).collect() == []
     assert leaks.leaked(docs.where("false"), items).collect() == []
+
+
+def test_unbroken_passage_that_two_items_share():
+    shared = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    matcher = leaks.build([(1, f"{shared} alpha beta"), (2, f"gamma delta {shared}")])
+    found = leaks.passages(matcher, f"before it {shared} after it")
+    assert sorted((matcher.items[k], n, a, b) for k, n, a, b in found) == [(1, 13, 2, 14), (2, 13, 2, 14)]
+    assert leaks.passages(matcher, "one two three four five six seven and eight nine ten eleven twelve thirteen") == []
