@@ -2,18 +2,22 @@
 
 Every place where a text may be cut is a boundary: the end of a function, of a
 block, of a line, and within a line longer than the limit its commas, blanks or
-characters. A piece that starts at one boundary has one farthest legal end, and
-the next piece one start, set back by the overlap; joining each boundary to that
-start gives a successor table. The cuts are what can be reached from the text's
-first boundary, found by squaring the table: after k rounds the marked set holds
-the first 2^k starts. All texts of a batch lie in one table and are squared
-together.
+characters. A piece that ends at one boundary settles where the next one starts,
+set back by the overlap, and that start has one farthest legal end, so each
+boundary as an end has one successor. The cuts are what can be reached from the
+end of the text's first piece, found by squaring the table: after k rounds the
+marked set holds the first 2^k ends. All texts of a batch lie in one table and
+are squared together.
+
+The overlap is kept whole wherever it and one more boundary fit into the limit.
+Where they do not, the piece shares as many whole lines as leave room for that
+boundary; within a line longer than the limit there is no whole line to share.
+Of what a piece may add to the shared lines it fills at least the part ``FILL``,
+and it ends so late that the piece after it starts later than it did.
 
 Defined cases: a null content gives no piece, an empty one a single empty piece;
 a limit that is null or below 4 bytes (one character's most) counts as 4; a null
-overlap counts as ``OVERLAP``, a negative one as 0; an overlap that would fill
-more than ``OVERLAP_SHARE`` of the limit shrinks to the whole lines that fit
-there, so that every piece brings new text.
+overlap counts as ``OVERLAP``, a negative one as 0.
 """
 
 from __future__ import annotations
@@ -32,10 +36,10 @@ from symloom.session import spread
 
 #: Lines shared by neighbours where the options do not say.
 OVERLAP = 100
-#: Part of the limit that the shared lines may fill at most.
-OVERLAP_SHARE = 0.5
-#: Part of the limit that a piece must fill before a better boundary is preferred to a later one.
+#: Part of the room beyond the shared lines that a piece must fill before a better boundary is preferred to a later one.
 FILL = 0.5
+#: Bytes of pieces that are handed on at once.
+BATCH_BYTES = 32 << 20
 
 CHARACTER, SPLIT, LINE, BLOCK, FUNCTION = range(5)
 
@@ -101,41 +105,45 @@ def boundaries(text: str, language: str, limit: int) -> tuple[np.ndarray, np.nda
     return offsets, to_bytes(offsets), lines, levels
 
 
-def successors(at: np.ndarray, lines: np.ndarray, levels: np.ndarray, limit: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each boundary the end of a piece that starts there and the start of the next one.
+def successors(at: np.ndarray, lines: np.ndarray, levels: np.ndarray, limit: int, overlap: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Of each boundary, as the end of a piece, the start and the end of the next piece; and the end of the first.
 
-    The end is the last boundary within the limit, or the last one of the best
-    level where that still fills the piece well. The last boundary is its own
-    successor. The next start lies `overlap` lines before the end.
+    The start lies `overlap` whole lines before the end, or as many as leave
+    room for one more boundary. The next end is the last boundary within the
+    limit, or the last one of the best level where that still fills the room
+    well. The last boundary is its own successor.
     """
     n = len(at)
     index = np.arange(n)
-    farthest = np.minimum(np.searchsorted(at, at + limit, side="right") - 1, n - 1)
+    start = index.copy()
+    if overlap > 0:
+        whole = np.flatnonzero(levels >= LINE)
+        place = np.searchsorted(whole, index, side="right") - 1
+        # the line that an end lies in counts as the last of the shared ones
+        back = np.maximum(place - np.where(whole[place] < index, overlap - 1, overlap), 0)
+        need = at[np.minimum(index + 1, n - 1)] - limit
+        fits = np.searchsorted(at[whole], need, side="left")
+        start = np.minimum(whole[np.minimum(np.maximum(back, fits), len(whole) - 1)], index)
+        # no whole line fits beside the next boundary
+        start = np.where(at[start] < need, index, start)
+        start[0] = 0
+    farthest = np.minimum(np.searchsorted(at, at[start] + limit, side="right") - 1, n - 1)
     farthest = np.maximum(farthest, np.minimum(index + 1, n - 1))
-    enough = np.searchsorted(at, at + int(limit * FILL), side="left")
+    room = limit - (at - at[start])
+    enough = np.maximum(np.searchsorted(at, at + (room * FILL).astype(np.int64), side="left"), index + 1)
+    # the piece after the next must start later than the next one, or it would hold all of it
+    enough = np.maximum(enough, np.searchsorted(np.maximum.accumulate(start), start, side="right"))
     end = farthest.copy()
     done = farthest == n - 1
     for level in (FUNCTION, BLOCK, LINE, SPLIT):
         marked = np.where(levels >= level, index, -1)
         last = np.maximum.accumulate(marked)[farthest]
-        better = ~done & (last >= np.maximum(enough, index + 1))
+        better = ~done & (last >= enough)
         end[better] = last[better]
         done |= better
-    next_ = end.copy()
-    if overlap > 0:
-        whole = np.flatnonzero(levels >= LINE)
-        place = np.searchsorted(whole, end, side="right") - 1
-        back = whole[np.maximum(place - overlap, 0)]
-        room = np.searchsorted(at, at[end] - int(limit * OVERLAP_SHARE), side="left")
-        back = np.maximum(back, whole[np.minimum(np.searchsorted(whole, room), len(whole) - 1)])
-        # the shared lines and one more boundary must fit, and the piece must move on
-        need = at[np.minimum(end + 1, n - 1)] - limit
-        back = np.maximum(back, np.searchsorted(at, need, side="left"))
-        next_ = np.where(back < end, np.maximum(back, index + 1), end)
-        next_ = np.minimum(next_, end)
-    next_[end == n - 1] = n - 1
-    next_[n - 1] = n - 1
-    return end, next_
+    first = int(end[0])
+    end[n - 1] = n - 1
+    return start, end, first
 
 
 def reachable(next_: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -174,27 +182,22 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 lines, levels = np.array([0, text.count("\n") + (not text.endswith("\n"))][: len(ends)]), np.full(len(ends), LINE)
             else:
                 offsets, at, lines, levels = boundaries(text, language or "", limit)
-            end, next_ = successors(at, lines, levels, limit, overlap)
-            parts.append((item, text, offsets, at, lines, levels, end, next_, base))
-            first.append(base)
+            start, next_, end = successors(at, lines, levels, limit, overlap)
+            parts.append((item, text, offsets, at, lines, levels, start, next_, base))
+            first.append(base + end)
             base += len(offsets)
         if not parts:
             continue
         table = np.concatenate([p[7] + p[8] for p in parts])
         marked = reachable(table, np.array(first))
-        out: dict[str, list] = {c.split()[0]: [] for c in _PIECES.split(", ")}
-        for item, text, offsets, at, lines, levels, end, _, start in parts:
-            starts = np.flatnonzero(marked[start : start + len(offsets)])
-            if len(offsets) > 1:
-                starts = starts[starts < len(offsets) - 1]
-            # a start whose piece ends where the one before it ended adds nothing
-            ends = end[starts]
-            keep = np.concatenate([[True], np.diff(ends) > 0])
-            starts, ends = starts[keep], ends[keep]
+        out, size = _empty(), 0
+        for item, text, offsets, at, lines, levels, start, _, base in parts:
+            ends = np.flatnonzero(marked[base : base + len(offsets)])
+            starts = np.concatenate([[0], start[ends[:-1]]])
             for k, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
                 out["item_id"].append(item)
                 out["piece"].append(k)
-                out["pieces"].append(len(starts))
+                out["pieces"].append(len(ends))
                 out["start_char"].append(int(offsets[a]))
                 out["end_char"].append(int(offsets[b]))
                 out["start_line"].append(int(lines[a]) + 1)
@@ -202,9 +205,17 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 out["bytes"].append(int(at[b] - at[a]))
                 out["cut_at"].append(_LEVELS[levels[b]])
                 out["text"].append(text[offsets[a] : offsets[b]])
+                size += out["bytes"][-1]
+                if size > BATCH_BYTES:
+                    yield pd.DataFrame(out).astype({"item_id": "Int64"})
+                    out, size = _empty(), 0
         yield pd.DataFrame(out).astype({"item_id": "Int64"})
 
 
+def _empty() -> dict[str, list]:
+    return {c.split()[0]: [] for c in _PIECES.split(", ")}
+
+
 def split_items(items: DataFrame) -> DataFrame:
     """Pieces of every item. items: item_id, text, language, limit (bytes), overlap (lines).
 

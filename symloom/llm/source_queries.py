@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from symloom.llm import authorship, chunks, sources
@@ -51,6 +51,24 @@ def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return _pieces(spark, folder).where("pieces > 1").withColumnRenamed("item_id", "file_id")
 
 
+def p3_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Per cut text the hash of what its pieces add one after the other, and pieces that are too large or leave a gap."""
+    options = current_options(table(spark, folder, "build_options"))
+    items = chunks.source_items(_texts(spark, folder), options)
+    limits = items.select(F.col("item_id").alias("l_id"), "limit")
+    w = Window.partitionBy("item_id").orderBy("piece")
+    pieces = chunks.split_items(items).where("pieces > 1").withColumn("before", F.coalesce(F.lag("end_char").over(w), F.lit(0)))
+    added = F.expr("substr(text, before - start_char + 1)")
+    return (
+        pieces.join(limits, F.col("item_id") == F.col("l_id"))
+        .groupBy(F.col("item_id").alias("file_id"))
+        .agg(
+            F.sha2(F.array_join(F.expr("transform(array_sort(collect_list(struct(piece, substr(text, before - start_char + 1) as added))), x -> x.added)"), ""), 256).alias("hash"),
+            F.count_if((F.col("bytes") > F.greatest("limit", F.lit(4))) | (F.col("start_char") > F.col("before")) | (F.length(added) == 0)).alias("wrong"),
+        )
+    )
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return authorship.classify(_texts(spark, folder)).where("is_foreign").select("file_id").distinct()
 
@@ -72,14 +90,17 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_errors, p1_rates, p1_acceptance, p1_reported, p3_found, p3_pieces, p4_found, p4_handwritten, p5_found, p5_pairs)
+    for f in (p1_found, p1_errors, p1_rates, p1_acceptance, p1_reported, p3_found, p3_pieces, p3_round_trip, p4_found, p4_handwritten, p5_found, p5_pairs)
 }
 
-ORACLES = {
-    "p3_found": """
-SELECT DISTINCT s.file_id FROM source_texts s JOIN (
+_CUT = """
+FROM source_texts s JOIN (
   SELECT repo_id, file_size_policy.chunking_threshold AS threshold,
          row_number() OVER (PARTITION BY repo_id ORDER BY created_at DESC NULLS LAST, id DESC) AS rn
   FROM build_options WHERE repo_id IS NOT NULL) o ON o.repo_id = s.repo_id AND o.rn = 1
-WHERE strlen(s.content) > o.threshold""",
+WHERE strlen(s.content) > o.threshold"""
+
+ORACLES = {
+    "p3_found": f"SELECT DISTINCT s.file_id {_CUT}",
+    "p3_round_trip": f"SELECT s.file_id, sha256(s.content) AS hash, 0 AS wrong {_CUT}",
 }

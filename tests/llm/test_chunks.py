@@ -12,19 +12,18 @@ SCHEMA = "item_id long, text string, language string, limit long, overlap long,
 
 def pieces(text, limit, overlap, language=""):
     offsets, at, lines, levels = chunks.boundaries(text, language, limit)
-    end, next_ = chunks.successors(at, lines, levels, limit, overlap)
-    marked = chunks.reachable(next_, np.array([0]))
-    starts = [i for i in np.flatnonzero(marked) if i < len(offsets) - 1]
+    start, next_, first = chunks.successors(at, lines, levels, limit, overlap)
+    ends = np.flatnonzero(chunks.reachable(next_, np.array([first]))).tolist()
     # the same cuts, one after the other
-    walk, x = [], 0
+    walk, x = [first], first
     while x < len(offsets) - 1:
-        walk.append(x)
         x = int(next_[x])
-    assert starts == walk
-    return [(int(offsets[a]), int(offsets[end[a]])) for a in starts]
+        walk.append(x)
+    assert ends == walk
+    return [(int(offsets[a]), int(offsets[b])) for a, b in zip([0, *start[ends[:-1]].tolist()], ends, strict=True)]
 
 
-@settings(max_examples=60, deadline=None)
+@settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="ab{}();, \né\U0001f600", min_size=1, max_size=300), st.integers(4, 60), st.integers(0, 6))
 def test_pieces_cover_the_text_within_the_limit(text, limit, overlap):
     cuts = pieces(text, limit, overlap)
@@ -32,7 +31,23 @@ def test_pieces_cover_the_text_within_the_limit(text, limit, overlap):
     for a, b in cuts:
         assert len(text[a:b].encode()) <= limit
     for (a, b), (c, d) in zip(cuts, cuts[1:], strict=False):
-        assert a < c <= b and d >= b
+        assert a < c <= b < d
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="ab}; é", max_size=14), min_size=1, max_size=60), st.integers(40, 120), st.integers(0, 12))
+def test_overlap_is_whole_wherever_it_fits(lines, limit, overlap):
+    text = "\n".join(lines)
+    at = [0] + [i + 1 for i, c in enumerate(text) if c == "\n" if i + 1 < len(text)]
+    cuts = pieces(text, limit, overlap)
+    for (_, b), (c, _) in zip(cuts, cuts[1:], strict=False):
+        shared = text[c:b].count("\n")
+        assert shared <= overlap and (c == b or c in at)
+        if shared < overlap and c > 0:
+            # one line more would leave no room for the next one
+            before = max(x for x in at if x < c)
+            after = min([x for x in at if x > b], default=len(text))
+            assert len(text[before:after].encode()) > limit
 
 
 def test_overlap_and_boundaries():
@@ -43,6 +58,10 @@ def test_overlap_and_boundaries():
     code = "".join(f"function f{i}() {{\n  a();\n  b();\n}}\n" for i in range(30))
     for _, b in pieces(code, 150, 0, "javascript"):
         assert code[:b].endswith("}\n")
+    # of a piece of 35 lines more than 25 are shared where they and one more line fit
+    text = "".join(f"row {i:03d} of it\n" for i in range(200))
+    for (_, b), (c, d) in zip(pieces(text, 35 * 14, 100), pieces(text, 35 * 14, 100)[1:], strict=False):
+        assert text[c:b].count("\n") == 34 and text[c:d].count("\n") == 35
 
 
 def test_operator(spark):
