@@ -5,13 +5,16 @@ them, without line prefixes. The test strings are the runs of ``RUN`` words of
 all items. The search looks at the last ``BLOCK`` characters of a frame as long
 as the shortest test string: a shift table says how far the frame may move
 where no test string can end, and where it may not move, the bucket of the
-frame's end names the strings to compare directly. Documents in which a string
-of one item alone occurs, or enough strings for an unbroken passage, are then
-compared with that item word by word: runs
-found in the same order, with few words between them, form a chain, and chains
-close to each other a passage. A passage counts from ``WORDS`` words of the item
-on, of which words replaced or left out between two runs of a chain are part.
-Chains without a run of that item alone count only with ``WORDS`` unbroken words.
+frame's end names the strings to compare directly. A document in which the
+strings of an item stand unbroken for ``LONG`` words is then compared with that
+item word by word: runs found in the same order, with few words between them,
+form a chain, and chains that hold such a stretch and are close to each other a
+passage. A passage covers ``WORDS`` words of the item at least, words replaced or
+left out within a chain included; either its long stretches alone come to that
+many, or a chain of that size has no more than one word in ``WORDS`` changed.
+Sentences that merely share a form with an item have shorter stretches. No item
+is judged by what other items hold, so two items that share a passage are both
+found, and it does not matter which items are searched for together.
 
 Defined cases: null or wordless texts hold nothing and leak nothing; items with
 equal texts are found together, as runs are told apart by text, not by item;
@@ -38,10 +41,14 @@ RUN = 3
 WORDS = 12
 #: Words between two runs of one chain, in the item and in the document.
 GAP = 4
+#: Words that stand unbroken in each chain of a passage.
+LONG = 6
 #: Words of the document between two chains of one passage.
 BREAK = 16
 #: Characters of a block of the shift table.
 BLOCK = 4
+#: Runs of an item that stand in a document with a passage of it: one word of ``WORDS`` changed leaves so many.
+LEAST = WORDS - 1 - 2 * (RUN - 1)
 #: Items that are searched for at once; more are searched for in turns.
 ITEMS = 20_000
 
@@ -66,7 +73,6 @@ class Matcher(NamedTuple):
     shift: dict[str, int]
     buckets: dict[str, list[str]]
     places: dict[str, list[tuple[int, int]]]
-    own: dict[str, int]
     items: list[int]
 
 
@@ -98,8 +104,7 @@ def build(items: list[tuple[int, str]]) -> Matcher | None:
             b = tail[j - block : j]
             shift[b] = min(shift.get(b, length), length - j)
         buckets[tail[-block:]].append(p)
-    own = {p: v[0][0] for p, v in places.items() if len({k for k, _ in v}) == 1}
-    return Matcher(length, shift, dict(buckets), dict(places), own, ids)
+    return Matcher(length, shift, dict(buckets), dict(places), ids)
 
 
 def search(matcher: Matcher, text: str) -> list[tuple[int, str]]:
@@ -130,76 +135,85 @@ def passages(matcher: Matcher, text: str) -> list[tuple[int, int, int, int]]:
         return []
     joined = f" {' '.join(w)} "
     hits = search(matcher, joined)
-    wanted = {matcher.own[p] for _, p in hits if p in matcher.own}
-    if not wanted and len(hits) <= WORDS - RUN:
+    if len(hits) <= LONG - RUN:
         return []
     # word number of each offset that begins with a blank
     number, at = {}, 0
     for i, x in enumerate(w):
         number[at] = i
         at += len(x) + 1
-    runs: dict[int, list[tuple[int, int, bool]]] = defaultdict(list)
+    runs: dict[int, set[tuple[int, int]]] = defaultdict(set)
     for offset, p in hits:
         d = number[offset]
         for item, i in matcher.places[p]:
-            runs[item].append((d, i, p in matcher.own))
+            runs[item].add((d, i))
     out = []
     for item, found in runs.items():
-        if item not in wanted and len(found) <= WORDS - RUN:
+        if len(found) < LEAST or not any(all((d + k, i + k) in found for k in range(1, LONG - RUN + 1)) for d, i in found):
             continue
-        found = sorted(set(found))
+        chains = [c for c in _chains(sorted(found)) if c.long]
+        chains.sort(key=lambda c: (c.first, c.last))
         start = 0
-        chains = [c for c in _chains(found) if c[4]] if item in wanted else []
-        chains += _unbroken(found)
-        chains.sort()
         while start < len(chains):
             stop = start + 1
-            last = chains[start][1]
-            while stop < len(chains) and chains[stop][0] - last <= BREAK:
-                last = max(last, chains[stop][1])
+            last = chains[start].last
+            while stop < len(chains) and chains[stop].first - last <= BREAK:
+                last = max(last, chains[stop].last)
                 stop += 1
+            group = chains[start:stop]
             covered: set[int] = set()
-            for _, _, a, b, _ in chains[start:stop]:
-                covered.update(range(a, b + 1))
-            if len(covered) >= WORDS:
-                out.append((item, len(covered), chains[start][0], last))
+            for c in group:
+                covered.update(range(c.a, c.b + 1))
+            if len(covered) >= WORDS and (sum(c.long for c in group) >= WORDS or any(c.nearly_whole() for c in group)):
+                out.append((item, len(covered), chains[start].first, last))
             start = stop
     return out
 
 
-def _chains(found: list[tuple[int, int, bool]]) -> list[list]:
-    """Runs joined in order: [first word, last word, first item word, last item word, own]."""
-    chains: list[list] = []
-    open_: list[list] = []
-    for d, i, own in found:
-        open_ = [c for c in open_ if d - c[1] <= GAP]
+class _Chain:
+    """Runs in order: first and last word in the document, a and b in the item, words that are equal and in long stretches."""
+
+    __slots__ = ("a", "b", "at", "equal", "first", "last", "long", "unbroken")
+
+    def __init__(self, d: int, i: int):
+        self.first, self.last, self.a, self.b = d, d + RUN - 1, i, i + RUN - 1
+        self.at = (d, i)
+        self.equal = self.unbroken = RUN
+        self.long = 0
+
+    def add(self, d: int, i: int) -> None:
+        self.equal += min(RUN, d + RUN - 1 - self.last)
+        self.unbroken = self.unbroken + 1 if self.at == (d - 1, i - 1) else RUN
+        if self.unbroken >= LONG:
+            self.long += LONG if self.unbroken == LONG else 1
+        self.last, self.b = d + RUN - 1, max(self.b, i + RUN - 1)
+        self.at = (d, i)
+
+    def nearly_whole(self) -> bool:
+        size = max(self.last - self.first, self.b - self.a) + 1
+        return self.b - self.a + 1 >= WORDS and (size - self.equal) * WORDS <= size
+
+
+def _chains(found: list[tuple[int, int]]) -> list[_Chain]:
+    """Runs (word of the document, word of the item), sorted, joined in order."""
+    chains: list[_Chain] = []
+    open_: list[_Chain] = []
+    for d, i in found:
+        open_ = [c for c in open_ if d - c.last <= GAP]
         best = None
         for c in open_:
-            step, forward = d - c[1], i - c[3]
-            if forward <= GAP and i + RUN - 1 > c[3] and d + RUN - 1 > c[1] and (step > 0) == (forward > 0) and (best is None or abs(step - forward) < abs((d - best[1]) - (i - best[3]))):
+            step, forward = d - c.last, i - c.b
+            if forward <= GAP and i + RUN - 1 > c.b and d + RUN - 1 > c.last and (step > 0) == (forward > 0) and (best is None or abs(step - forward) < abs((d - best.last) - (i - best.b))):
                 best = c
         if best is None:
-            best = [d, d + RUN - 1, i, i + RUN - 1, own]
+            best = _Chain(d, i)
             chains.append(best)
             open_.append(best)
         else:
-            best[1], best[3] = d + RUN - 1, max(best[3], i + RUN - 1)
-            best[4] = best[4] or own
+            best.add(d, i)
     return chains
 
 
-def _unbroken(found: list[tuple[int, int, bool]]) -> list[list]:
-    """Stretches of at least WORDS words without a change, whatever items have their runs too; as chains."""
-    first = {}
-    for d, i, _ in found:
-        first[d, i] = first.get((d - 1, i - 1), d)
-    return [
-        [a, d + RUN - 1, i - (d - a), i + RUN - 1, False]
-        for (d, i), a in first.items()
-        if (d + 1, i + 1) not in first and d + RUN - a >= WORDS
-    ]
-
-
 _FOUND = "doc_id long, item_id long, words int, first_word int, last_word int"
 
 
