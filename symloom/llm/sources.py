@@ -13,7 +13,6 @@ give repeated results.
 from __future__ import annotations
 
 import bisect
-import sys
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,6 +21,7 @@ from pyspark.sql import functions as F
 
 from symloom.llm.syntax import csharp, ecma, php, vue
 from symloom.llm.syntax import functions as fn
+from symloom.llm.syntax.base import deep
 from symloom.session import spread
 
 #: Extensions of each language (fixed).
@@ -30,6 +30,8 @@ EXTENSIONS = {
     "tsx": "typescript", "php": "php", "cs": "csharp", "vue": "vue",
 }
 LANGUAGES = frozenset(EXTENSIONS.values())
+#: Extensions of files that may hold JSX elements (fixed).
+ELEMENTS = ("jsx", "tsx")
 
 
 def language_of(language: object, path: object) -> str:
@@ -40,6 +42,11 @@ def language_of(language: object, path: object) -> str:
     return EXTENSIONS.get(path.rsplit(".", 1)[-1].lower(), "") if isinstance(path, str) and "." in path else ""
 
 
+def has_elements(path: object) -> bool:
+    """Whether a file of that name may hold JSX elements."""
+    return isinstance(path, str) and path.rsplit(".", 1)[-1].lower() in ELEMENTS
+
+
 def language_column(language: str, path: str) -> Column:
     """The same as a column; null where nothing is known."""
     named = F.lower(F.trim(F.col(language)))
@@ -48,21 +55,18 @@ def language_column(language: str, path: str) -> Column:
     return F.when(named.isin(*sorted(LANGUAGES)), named).otherwise(F.try_element_at(of_extension, extension))
 
 
-def syntax_errors(text: str, language: str) -> list[tuple[str, int]]:
-    """All errors of a text as (message, offset) in the order of the text."""
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 50_000))
-    if text.startswith("﻿") and language != "vue":
+def syntax_errors(text: str, language: str, path: object = "") -> list[tuple[str, int]]:
+    """All errors of a text as (message, offset) in the order of the text; the path tells whether elements are allowed."""
+    if text.startswith("\ufeff") and language != "vue":
         text = " " + text[1:] if language != "php" else text
-    try:
+    with deep():
         if language == "php":
             return php.parse(text)
         if language == "csharp":
             return csharp.parse(text)
         if language == "vue":
             return vue.parse(text)
-        return ecma.parse(text, language == "typescript")
-    except RecursionError:
-        return [("nested too deeply", 0)]
+        return ecma.parse(text, language == "typescript", has_elements(path))
 
 
 _PARSED = "file_id long, repo_id long, path string, language string, accepted boolean, errors int, message string, line int, offset int, all_errors array<struct<message:string,line:int,offset:int>>"
@@ -79,7 +83,7 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if not lang:
                 rows.append((file_id, repo_id, path, None, None, 0, None, None, None, []))
                 continue
-            errors = syntax_errors(text, lang)
+            errors = syntax_errors(text, lang, path)
             lines = fn._lines(text) if errors else []
             found = [{"message": m, "line": bisect.bisect_right(lines, at), "offset": at} for m, at in errors]
             first = found[0] if found else {"message": None, "line": None, "offset": None}
@@ -148,7 +152,7 @@ def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             lang = language_of(language, path)
             if not lang or not isinstance(text, str):
                 continue
-            for f in fn.functions(text, lang):
+            for f in fn.functions(text, lang, has_elements(path)):
                 said = fn.describes(f.doc, f.name) if f.doc else ""
                 if said:
                     head = " ".join(text[f.head : f.body].split())
@@ -173,8 +177,8 @@ def parsed_pairs(sources: DataFrame) -> DataFrame:
     def both(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ok = [
-                bool(lang) and isinstance(text, str) and not syntax_errors(text, lang)
-                for lang, text in zip(map(language_of, pdf["language"], pdf["path"]), pdf["content"], strict=True)
+                bool(lang) and isinstance(text, str) and not syntax_errors(text, lang, path)
+                for lang, path, text in zip(map(language_of, pdf["language"], pdf["path"]), pdf["path"], pdf["content"], strict=True)
             ]
             yield from _pairs(iter([pdf[ok]]))
 

@@ -5,18 +5,32 @@ matching bracket) closed by an end token; a parser walks them with one index,
 so looking ahead and stepping back cost nothing. A failure raises
 ``SyntaxFailure``; the statement loops catch it, keep it in ``errors`` and
 resume at the next likely statement start (panic mode), so one file yields all
-of its errors with the first one as the cause.
+of its errors with the first one as the cause. Nesting is followed however deep
+it goes: calls between the rules take room on the heap, not on the C stack, and
+the interpreter's own limit is lifted while a text is parsed (``deep``).
 """
 
 from __future__ import annotations
 
-NAME, PRIVATE, NUMBER, STRING, TEMPLATE, HEAD, MIDDLE, TAIL, REGEX, PUNCT, END = range(1, 12)
+import contextlib
+import sys
+from collections.abc import Iterator
+
+NAME, PRIVATE, NUMBER, STRING, TEMPLATE, HEAD, MIDDLE, TAIL, REGEX, PUNCT, END, ELEMENT = range(1, 13)
 
 OPEN = {"(": ")", "[": "]", "{": "}"}
 CLOSE = {")": "(", "]": "[", "}": "{"}
 
-#: Deepest nesting that is followed; a text nested deeper is reported as an error.
-MAX_DEPTH = 2_000
+
+@contextlib.contextmanager
+def deep() -> Iterator[None]:
+    """Lift the limit on nested calls."""
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(2**31 - 1)
+    try:
+        yield
+    finally:
+        sys.setrecursionlimit(before)
 
 
 class SyntaxFailure(Exception):
@@ -31,7 +45,7 @@ class SyntaxFailure(Exception):
 class Tokens:
     """Token arrays of one text, with its comments and lexical errors."""
 
-    __slots__ = ("comments", "errors", "kinds", "match", "newline", "starts", "text", "values", "ends")
+    __slots__ = ("comments", "errors", "inner", "kinds", "match", "newline", "starts", "text", "values", "ends")
 
     def __init__(self, text: str):
         self.text = text
@@ -43,10 +57,12 @@ class Tokens:
         self.match: list[int] = []
         self.comments: list[tuple[int, int]] = []
         self.errors: list[tuple[str, int]] = []
+        #: Tokens of the expressions within elements.
+        self.inner: list[Tokens] = []
 
-    def close(self) -> Tokens:
+    def close(self, end: int | None = None) -> Tokens:
         """Add the end token and pair the brackets."""
-        end = len(self.text)
+        end = len(self.text) if end is None else end
         for _ in range(3):
             self.kinds.append(END)
             self.values.append("")
@@ -93,6 +109,7 @@ class Parser:
         self.k, self.v = tokens.kinds, tokens.values
         self.nl, self.match = tokens.newline, tokens.match
         self.p = 0
+        #: Statements and bodies around the current place.
         self.depth = 0
         self.errors: list[tuple[str, int]] = list(tokens.errors)
 
@@ -146,11 +163,6 @@ class Parser:
             self.p, self.depth = p, depth
             return False
 
-    def deeper(self) -> None:
-        self.depth += 1
-        if self.depth > MAX_DEPTH:
-            self.fail("nested too deeply")
-
     def panic(self, start: int) -> None:
         """Skip to a likely statement start after an error in the statement at start."""
         p, k, v, nl, match = max(self.p, start), self.k, self.v, self.nl, self.match

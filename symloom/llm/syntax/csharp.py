@@ -246,9 +246,7 @@ class CSharp(Parser):
         if self.take(";"):
             return
         self.need("{")
-        self.deeper()
         self.statements(self.top, "}")
-        self.depth -= 1
         self.need("}")
         self.take(";")
 
@@ -315,9 +313,7 @@ class CSharp(Parser):
         if self.take(";"):
             return
         self.need("{")
-        self.deeper()
         self.statements(self.member, "}")
-        self.depth -= 1
         self.need("}")
         self.take(";")
 
@@ -476,12 +472,10 @@ class CSharp(Parser):
 
     def array_initialiser(self) -> None:
         self.need("{")
-        self.deeper()
         while not self.take("}"):
             self.initialiser()
             if not self.at("}"):
                 self.need(",")
-        self.depth -= 1
 
     def body(self) -> None:
         if self.take(";"):
@@ -491,9 +485,7 @@ class CSharp(Parser):
             self.expression()
             self.need(";")
             return
-        self.deeper()
         self.block()
-        self.depth -= 1
 
     def property_body(self) -> None:
         if self.take("=>"):
@@ -619,9 +611,7 @@ class CSharp(Parser):
         if k == NAME or k == PUNCT:
             rule = self.words.get(v)
             if rule is not None:
-                self.deeper()
                 rule()
-                self.depth -= 1
                 return
             if k == NAME:
                 if self.v[p + 1] == ":" and v not in RESERVED and self.k[p + 1] == PUNCT:
@@ -888,11 +878,9 @@ class CSharp(Parser):
     # patterns
 
     def pattern(self) -> None:
-        self.deeper()
         self.pattern_and()
         while self.take_word("or"):
             self.pattern_and()
-        self.depth -= 1
 
     def pattern_and(self) -> None:
         self.pattern_not()
@@ -995,9 +983,7 @@ class CSharp(Parser):
     stepped = False
 
     def expression(self) -> int:
-        self.deeper()
         kind = self.assign()
-        self.depth -= 1
         return kind
 
     def assign(self) -> int:
@@ -1083,7 +1069,6 @@ class CSharp(Parser):
 
     def lambda_body(self) -> None:
         self.take("=>")
-        self.deeper()
         if self.at("{"):
             self.block()
         else:
@@ -1091,17 +1076,14 @@ class CSharp(Parser):
             query, self.query = self.query, self.query
             self.assign()
             self.query = query
-        self.depth -= 1
 
     def conditional(self) -> int:
         kind = self.binary(0)
         if self.k[self.p] == PUNCT and self.v[self.p] == "?":
             self.p += 1
-            self.deeper()
             self.assign()
             self.need(":")
             self.assign()
-            self.depth -= 1
             return VALUE
         return kind
 
@@ -1171,7 +1153,6 @@ class CSharp(Parser):
 
     def switch_expression(self) -> None:
         self.need("{")
-        self.deeper()
         while not self.take("}"):
             self.pattern()
             if self.take_word("when"):
@@ -1180,7 +1161,6 @@ class CSharp(Parser):
             self.expression()
             if not self.at("}"):
                 self.need(",")
-        self.depth -= 1
 
     def unary(self) -> int:
         p = self.p
@@ -1188,9 +1168,7 @@ class CSharp(Parser):
         if k == PUNCT:
             if v in ("+", "-", "!", "~", "^", "&", "*"):
                 self.p = p + 1
-                self.deeper()
                 self.unary()
-                self.depth -= 1
                 return TARGET if v == "*" else VALUE
             if v in ("++", "--"):
                 self.p = p + 1
@@ -1253,14 +1231,12 @@ class CSharp(Parser):
                 self.stepped = True
             elif x == "[":
                 self.p = p + 1
-                self.deeper()
                 while not self.take("]"):
                     if k[self.p] == NAME and v[self.p + 1] == ":":
                         self.p += 2
                     self.expression()
                     if not self.at("]"):
                         self.need(",")
-                self.depth -= 1
                 kind = TARGET
             elif x == "++" or x == "--":
                 if kind == VALUE:
@@ -1285,7 +1261,6 @@ class CSharp(Parser):
 
     def arguments(self) -> None:
         self.need("(")
-        self.deeper()
         query, self.query = self.query, 0
         k, v = self.k, self.v
         while not self.take(")"):
@@ -1297,7 +1272,6 @@ class CSharp(Parser):
                 if self.at(")"):
                     self.fail()
         self.query = query
-        self.depth -= 1
 
     def argument(self) -> None:
         if self.k[self.p] == NAME and self.v[self.p] in ("ref", "out", "in") and self.k[self.p + 1] in (NAME, PUNCT):
@@ -1321,7 +1295,6 @@ class CSharp(Parser):
             self.p = p + 1
             return
         self.p = p + 1
-        self.deeper()
         while True:
             self.expression()
             if self.take(","):
@@ -1334,7 +1307,6 @@ class CSharp(Parser):
                 break
             else:
                 self.fail()
-        self.depth -= 1
 
     def primary(self) -> int:
         p = self.p
@@ -1403,7 +1375,6 @@ class CSharp(Parser):
             return VALUE
         if k == PUNCT and v == "(":
             self.p = p + 1
-            self.deeper()
             query, self.query = self.query, 0
             kind = VALUE
             count = 0
@@ -1418,7 +1389,6 @@ class CSharp(Parser):
                 if not self.take(","):
                     break
             self.query = query
-            self.depth -= 1
             self.need(")")
             return TARGET if count > 1 else kind
         self.fail()
@@ -1485,7 +1455,6 @@ class CSharp(Parser):
 
     def object_initialiser(self) -> None:
         self.need("{")
-        self.deeper()
         while not self.take("}"):
             if self.at("{"):
                 self.array_initialiser()
@@ -1504,7 +1473,6 @@ class CSharp(Parser):
                 self.expression()
             if not self.at("}"):
                 self.need(",")
-        self.depth -= 1
 
     def member_value(self) -> None:
         if self.at("{"):

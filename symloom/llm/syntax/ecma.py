@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from .base import END, HEAD, MIDDLE, NAME, NUMBER, PRIVATE, PUNCT, REGEX, STRING, TAIL, TEMPLATE, Parser, SyntaxFailure, Tokens, remembered
+from .base import ELEMENT, END, HEAD, MIDDLE, NAME, NUMBER, PRIVATE, PUNCT, REGEX, STRING, TAIL, TEMPLATE, Parser, SyntaxFailure, Tokens, remembered
 
 _SPACE = r"[^\S\n\r\u2028\u2029]|\ufeff"
 _TOKEN = re.compile(
@@ -21,19 +21,26 @@ _TOKEN = re.compile(
 )
 _REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n\r])*\])+/([A-Za-z]*)")
 _TEMPLATE = re.compile(r"(?:[^`\\$]|\\.|\$(?!\{))*(`|\$\{)", re.S)
+_TAG = re.compile(r"[A-Za-z_$][\w$.:-]*")
+_GENERIC = re.compile(r"<\s*(?:const\s+)?[A-Za-z_$][\w$]*\s*(?:,|=|extends\s+[^/>=\s])")
 _BEFORE_REGEX = frozenset(
     "return typeof instanceof in of new delete void throw case do else await yield default extends".split()
 )
 
 
 @remembered
-def lex(text: str, ts: bool) -> Tokens:
-    """Tokens of a script. Comments are kept apart; `>` stays single in TypeScript."""
+def lex(text: str, ts: bool, elements: bool = False) -> Tokens:
+    """Tokens of a script. Comments are kept apart; `>` stays single in TypeScript; an element is one token."""
+    return _lex(text, ts, elements, 0, False)[0]
+
+
+def _lex(text: str, ts: bool, elements: bool, begin: int, inside: bool) -> tuple[Tokens, int]:
+    """Tokens from an offset on, inside an element up to the brace that closes the expression, and where they end."""
     out = Tokens(text)
     kinds, values, starts, ends, newline = out.kinds, out.values, out.starts, out.ends, out.newline
     token = _TOKEN.match
-    pos = 0
-    if text.startswith("#!"):
+    pos = begin
+    if not begin and text.startswith("#!"):
         pos = text.find("\n") if "\n" in text else len(text)
     fresh = True
     braces: list[int] = []
@@ -88,7 +95,12 @@ def lex(text: str, ts: bool) -> Tokens:
                         kind = MIDDLE
                     value = ""
                 else:
+                    if inside and not level:
+                        return out.close(a), a
                     level -= 1
+            elif value == "<" and elements and not _after_value(kinds, values, fresh) and not (ts and _GENERIC.match(text, a)):
+                pos = _element(out, text, ts, a)
+                kind, value = ELEMENT, ""
             elif ts and value[0] == ">" and len(value) > 1 and value != ">=":
                 pos = a + 1
                 value = ">"
@@ -109,13 +121,7 @@ def lex(text: str, ts: bool) -> Tokens:
             if text.startswith("/*", a):
                 out.errors.append(("unterminated comment", a))
                 break
-            before = kinds[-1] if kinds else 0
-            last = values[-1] if kinds else ""
-            division = (
-                before in (NUMBER, STRING, TEMPLATE, TAIL, REGEX, PRIVATE)
-                or (before == NAME and (last not in _BEFORE_REGEX or (len(values) > 1 and values[-2] == ".")))
-                or (before == PUNCT and last in (")", "]", "}", "++", "--") and not (last == "}" and fresh))
-            )
+            division = _after_value(kinds, values, fresh)
             r = None if division else _REGEX.match(text, a)
             if r is None and not division:
                 out.errors.append(("unterminated regular expression", a))
@@ -154,7 +160,110 @@ def lex(text: str, ts: bool) -> Tokens:
         ends.append(pos)
         newline.append(fresh)
         fresh = False
-    return out.close()
+    if inside:
+        out.errors.append(("expected '}', found end of file", len(text)))
+    return out.close(), len(text)
+
+
+def _after_value(kinds: list[int], values: list[str], fresh: bool) -> bool:
+    """Whether what was read last can end an operand, so that no operand begins here."""
+    if not kinds:
+        return False
+    before, last = kinds[-1], values[-1]
+    return (
+        before in (NUMBER, STRING, TEMPLATE, TAIL, REGEX, PRIVATE, ELEMENT)
+        or (before == NAME and (last not in _BEFORE_REGEX or (len(values) > 1 and values[-2] == ".")))
+        or (before == PUNCT and last in (")", "]", "}", "++", "--") and not (last == "}" and fresh))
+    )
+
+
+def _element(out: Tokens, text: str, ts: bool, pos: int) -> int:
+    """Read the element at an offset with all within it; returns where it ends.
+
+    Expressions in braces are read as scripts of their own and kept with the
+    tokens, to be parsed in the place of the element.
+    """
+    n = len(text)
+    open_: list[str] = []
+
+    def blank(at: int) -> int:
+        while at < n and (text[at].isspace() or text.startswith(("/*", "//"), at)):
+            if text[at].isspace():
+                at += 1
+            else:
+                end = text.find("*/" if text[at + 1] == "*" else "\n", at + 2)
+                at = n if end < 0 else end + 2 - (text[at + 1] != "*")
+        return at
+
+    def braces(at: int) -> int:
+        tokens, end = _lex(text, ts, True, at + 1, True)
+        out.inner.append(tokens)
+        out.comments += tokens.comments
+        return min(end + 1, n)
+
+    while True:
+        # at a tag
+        start = pos
+        pos = blank(pos + 1)
+        closing = text.startswith("/", pos)
+        if closing:
+            pos = blank(pos + 1)
+        tag = _TAG.match(text, pos)
+        name = tag[0] if tag else ""
+        pos = blank(tag.end() if tag else pos)
+        if closing:
+            if not text.startswith(">", pos) or not open_ or open_[-1] != name:
+                out.errors.append((f"unexpected closing tag </{name}>", start))
+                return min(pos + 1, n)
+            open_.pop()
+            pos += 1
+        else:
+            if name and ts and text.startswith("<", pos):
+                end = text.find(">", pos)
+                pos = blank(n if end < 0 else end + 1)
+            while name and pos < n and text[pos] not in "/>":
+                if text[pos] == "{":
+                    pos = blank(braces(pos))
+                    continue
+                attribute = _TAG.match(text, pos)
+                if attribute is None:
+                    out.errors.append((f"unexpected {text[pos]!r} in a tag", pos))
+                    return pos + 1
+                pos = blank(attribute.end())
+                if text.startswith("=", pos):
+                    pos = blank(pos + 1)
+                    if text.startswith("{", pos):
+                        pos = blank(braces(pos))
+                    elif text.startswith(("'", '"'), pos):
+                        end = text.find(text[pos], pos + 1)
+                        pos = blank(n if end < 0 else end + 1)
+                    else:
+                        out.errors.append(("expected the value of an attribute", pos))
+                        return pos + 1
+            if text.startswith("/>", pos) and name:
+                pos += 2
+            elif text.startswith(">", pos):
+                pos += 1
+                open_.append(name)
+            else:
+                out.errors.append(("malformed tag", start))
+                return min(pos + 1, n)
+        while open_:
+            # between tags
+            while pos < n and text[pos] not in "<{>}":
+                pos += 1
+            if pos >= n:
+                out.errors.append((f"<{open_[-1]}> is not closed", start))
+                return n
+            if text[pos] == "{":
+                pos = braces(pos)
+                continue
+            if text[pos] == "<":
+                break
+            out.errors.append((f"unexpected {text[pos]!r} in an element", pos))
+            pos += 1
+        if not open_:
+            return pos
 
 
 RESERVED = frozenset(
@@ -207,6 +316,19 @@ class Ecma(Parser):
             self.errors.append(("return outside a function", self.top_return))
         return self.errors
 
+    def contained(self) -> list[tuple[str, int]]:
+        """The expression in the braces of an element; it may be missing, spread, and wait or yield as its place allows."""
+        self.generator = True
+        try:
+            if self.k[0] != END:
+                self.take("...")
+                self.expression()
+                if self.k[self.p] != END:
+                    self.fail()
+        except SyntaxFailure as e:
+            self.keep(e)
+        return self.errors
+
     # statements
 
     def statement(self) -> None:
@@ -216,7 +338,7 @@ class Ecma(Parser):
         if k == NAME or k == PUNCT:
             rule = self.words.get(v)
             if rule is not None and (v != "import" or self.v[p + 1] not in ("(", ".")):
-                self.deeper()
+                self.depth += 1
                 rule()
                 self.depth -= 1
                 return
@@ -304,7 +426,6 @@ class Ecma(Parser):
                 self.fail()
             self.p = p + 1
             return False
-        self.deeper()
         if self.take("["):
             while not self.take("]"):
                 if self.take(","):
@@ -332,7 +453,6 @@ class Ecma(Parser):
                     self.need(",")
         else:
             self.fail()
-        self.depth -= 1
         return True
 
     def assign_in(self) -> None:
@@ -408,7 +528,7 @@ class Ecma(Parser):
         saved = self.function, self.loops, self.switches, self.is_async, self.generator, self.labels, self.no_in
         self.function, self.loops, self.switches, self.is_async, self.generator, self.labels, self.no_in = 1, 0, 0, is_async, generator, [], False
         try:
-            self.deeper()
+            self.depth += 1
             self.block()
             self.depth -= 1
         finally:
@@ -434,9 +554,7 @@ class Ecma(Parser):
             while self.take(","):
                 self.type()
         self.need("{")
-        self.deeper()
         self.statements(self.member, "}")
-        self.depth -= 1
         self.need("}")
 
     def member(self) -> None:
@@ -944,7 +1062,6 @@ class Ecma(Parser):
         self.type()
 
     def type(self) -> None:
-        self.deeper()
         self.union()
         if self.word("extends") and not self.nl[self.p] and not self.no_conditional:
             self.p += 1
@@ -955,7 +1072,6 @@ class Ecma(Parser):
             self.type()
             self.need(":")
             self.type()
-        self.depth -= 1
 
     no_conditional = False
 
@@ -1083,7 +1199,6 @@ class Ecma(Parser):
 
     def object_type(self) -> None:
         self.need("{")
-        self.deeper()
         while not self.take("}"):
             while self.k[self.p] == NAME and self.v[self.p] in ("readonly", "get", "set") and (self.k[self.p + 1] in (NAME, STRING, NUMBER) or self.v[self.p + 1] == "["):
                 self.p += 1
@@ -1102,7 +1217,6 @@ class Ecma(Parser):
                     self.type()
             if not (self.take(";") or self.take(",")) and not self.at("}") and not self.nl[self.p]:
                 self.fail()
-        self.depth -= 1
 
     # expressions
 
@@ -1207,9 +1321,7 @@ class Ecma(Parser):
             saved = self.is_async, self.generator
             self.is_async, self.generator = is_async or (self.is_async and not self.function), False
             try:
-                self.deeper()
                 self.assign()
-                self.depth -= 1
             finally:
                 self.is_async, self.generator = saved
 
@@ -1217,11 +1329,9 @@ class Ecma(Parser):
         kind = self.binary(0)
         if self.k[self.p] == PUNCT and self.v[self.p] == "?":
             self.p += 1
-            self.deeper()
             self.assign_in()
             self.need(":")
             self.assign()
-            self.depth -= 1
             return VALUE
         return kind
 
@@ -1270,9 +1380,7 @@ class Ecma(Parser):
         if k == PUNCT:
             if v in _PREFIX:
                 self.p = p + 1
-                self.deeper()
                 self.unary()
-                self.depth -= 1
                 if self.at("**"):
                     self.fail("unary operator before **")
                 return VALUE
@@ -1291,9 +1399,7 @@ class Ecma(Parser):
         elif k == NAME:
             if v in _PREFIX_WORDS:
                 self.p = p + 1
-                self.deeper()
                 self.unary()
-                self.depth -= 1
                 return VALUE
             if v == "await" and (self.is_async or not self.function):
                 n = self.p + 1
@@ -1330,9 +1436,7 @@ class Ecma(Parser):
                 elif x == "[":
                     self.p = p + 1
                     no_in, self.no_in = self.no_in, False
-                    self.deeper()
                     self.expression()
-                    self.depth -= 1
                     self.no_in = no_in
                     self.need("]")
                     kind = VALUE if optional else TARGET
@@ -1368,7 +1472,6 @@ class Ecma(Parser):
     def arguments(self) -> None:
         self.p += 1
         no_in, self.no_in = self.no_in, False
-        self.deeper()
         k, v = self.k, self.v
         while True:
             if k[self.p] == PUNCT:
@@ -1383,7 +1486,6 @@ class Ecma(Parser):
                 continue
             self.need(")")
             break
-        self.depth -= 1
         self.no_in = no_in
 
     def template(self) -> None:
@@ -1392,7 +1494,6 @@ class Ecma(Parser):
             self.p = p + 1
             return
         self.p = p + 1
-        self.deeper()
         while True:
             self.expression()
             k = self.k[self.p]
@@ -1403,7 +1504,6 @@ class Ecma(Parser):
                 break
             else:
                 self.fail()
-        self.depth -= 1
 
     def primary(self) -> int:
         p = self.p
@@ -1447,7 +1547,7 @@ class Ecma(Parser):
                     self.p = p + 1
                     return VALUE
             self.fail()
-        if k == STRING or k == NUMBER or k == REGEX:
+        if k == STRING or k == NUMBER or k == REGEX or k == ELEMENT:
             self.p = p + 1
             return VALUE
         if k == TEMPLATE or k == HEAD:
@@ -1459,7 +1559,6 @@ class Ecma(Parser):
             if v == "[":
                 self.p = p + 1
                 no_in, self.no_in = self.no_in, False
-                self.deeper()
                 while not self.take("]"):
                     if self.take(","):
                         continue
@@ -1467,7 +1566,6 @@ class Ecma(Parser):
                     self.assign()
                     if not self.at("]"):
                         self.need(",")
-                self.depth -= 1
                 self.no_in = no_in
                 return PATTERN
             if v == "{":
@@ -1490,9 +1588,7 @@ class Ecma(Parser):
     def group(self) -> int:
         self.need("(")
         no_in, self.no_in = self.no_in, False
-        self.deeper()
         kind = self.expression()
-        self.depth -= 1
         self.no_in = no_in
         self.need(")")
         return TARGET if kind == TARGET else VALUE
@@ -1527,7 +1623,6 @@ class Ecma(Parser):
     def object(self) -> None:
         self.need("{")
         no_in, self.no_in = self.no_in, False
-        self.deeper()
         k, v = self.k, self.v
         while not self.take("}"):
             if self.take("..."):
@@ -1559,10 +1654,16 @@ class Ecma(Parser):
                     self.assign()
             if not self.at("}"):
                 self.need(",")
-        self.depth -= 1
         self.no_in = no_in
 
 
-def parse(text: str, ts: bool = False) -> list[tuple[str, int]]:
+def parse(text: str, ts: bool = False, elements: bool = False) -> list[tuple[str, int]]:
     """All syntax errors of a script as (message, offset), the first cause first."""
-    return sorted(Ecma(lex(text, ts), ts).program(), key=lambda e: e[1])
+    tokens = lex(text, ts, elements)
+    errors = Ecma(tokens, ts).program()
+    waiting = list(tokens.inner)
+    while waiting:
+        inner = waiting.pop()
+        waiting += inner.inner
+        errors += Ecma(inner, ts).contained()
+    return sorted(errors, key=lambda e: e[1])

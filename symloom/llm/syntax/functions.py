@@ -13,7 +13,7 @@ import re
 from typing import NamedTuple
 
 from . import csharp, ecma, php, vue
-from .base import NAME, PRIVATE, PUNCT, STRING, Tokens
+from .base import END, NAME, PRIVATE, PUNCT, STRING, Tokens, deep
 
 
 class Function(NamedTuple):
@@ -33,12 +33,12 @@ _NOT_METHOD = frozenset("if for while switch catch with function return typeof n
 _OBJECT_BEFORE = frozenset(("=", "(", "[", ",", ":", "?", "&&", "||", "??", "return", "default", "...", "as", "satisfies"))
 
 
-def lexed(text: str, language: str) -> Tokens:
+def lexed(text: str, language: str, elements: bool = False) -> Tokens:
     if language == "php":
         return php.lex(text)
     if language == "csharp":
         return csharp.lex(text)
-    return ecma.lex(text, language == "typescript")
+    return ecma.lex(text, language == "typescript", elements)
 
 
 def scripts(text: str, language: str) -> list[tuple[str, str, int]]:
@@ -64,12 +64,13 @@ def _lines(text: str) -> list[int]:
     return out
 
 
-def functions(text: str, language: str) -> list[Function]:
+def functions(text: str, language: str, elements: bool = False) -> list[Function]:
     """All functions and methods with a body, in the order of their heads."""
     lines = _lines(text)
     out: list[Function] = []
     for code, lang, offset in scripts(text, language):
-        tokens = lexed(code, lang)
+        with deep():
+            tokens = lexed(code, lang, elements)
         if lang == "php":
             found = _php(tokens)
         elif lang == "csharp":
@@ -272,7 +273,7 @@ def _arrow_body(tokens: Tokens, i: int, ts: bool) -> tuple[int, int]:
     if values[i] == "{" and kinds[i] == PUNCT:
         return (i, match[i]) if match[i] > 0 else (-1, -1)
     start = i
-    while kinds[i] < 11:
+    while kinds[i] != END:
         v = values[i]
         if kinds[i] == PUNCT:
             if v in ("(", "[", "{"):
@@ -335,7 +336,7 @@ def _ecma(tokens: Tokens, ts: bool) -> list[tuple[str, int, int, int, int, int]]
                 j = i + 2
                 if ts and values[j] == ":":
                     depth = 0
-                    while kinds[j] < 11 and not (values[j] == "=" and not depth):
+                    while kinds[j] != END and not (values[j] == "=" and not depth):
                         x = values[j]
                         if x in ("(", "[", "{") and match[j] > 0:
                             j = match[j]
@@ -462,14 +463,14 @@ def _csharp(tokens: Tokens) -> list[tuple[str, int, int, int, int, int]]:
             body = match[body + 2] + 1
         while values[body] == "where" and kinds[body] == NAME:
             body += 1
-            while kinds[body] < 11 and values[body] not in ("{", "=>", ";", "where"):
+            while kinds[body] != END and values[body] not in ("{", "=>", ";", "where"):
                 body = match[body] + 1 if values[body] == "(" and match[body] > 0 else body + 1
         if values[body] == "{" and match[body] > 0:
             end = match[body]
         elif values[body] == "=>":
             body += 1
             end = body
-            while kinds[end] < 11 and values[end] != ";":
+            while kinds[end] != END and values[end] != ";":
                 if values[end] in ("(", "[", "{") and kinds[end] == PUNCT:
                     if match[end] < 0:
                         break

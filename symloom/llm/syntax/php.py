@@ -190,9 +190,7 @@ class Php(Parser):
                 if v == "namespace" and self.v[p + 1].startswith("\\") or (v == "readonly"):
                     pass
                 else:
-                    self.deeper()
                     rule()
-                    self.depth -= 1
                     return
             if v == "function" and (self.k[p + 1] == NAME or (self.v[p + 1] == "&" and self.k[p + 2] == NAME)):
                 self.p = p + 1
@@ -493,9 +491,7 @@ class Php(Parser):
             while self.take(","):
                 self.class_name()
         self.need("{")
-        self.deeper()
         self.statements(self.member, "}")
-        self.depth -= 1
         self.need("}")
 
     def member(self) -> None:
@@ -608,14 +604,10 @@ class Php(Parser):
             self.type()
         if member and self.take(";"):
             return
-        self.deeper()
         self.block()
-        self.depth -= 1
 
     def expression(self) -> None:
-        self.deeper()
         self.binary(0)
-        self.depth -= 1
 
     def binary(self, least: int) -> None:
         kind = self.operand()
@@ -659,9 +651,7 @@ class Php(Parser):
                 if v == "&":
                     self.fail()
                 self.p = p + 1
-                self.deeper()
                 self.binary(19)
-                self.depth -= 1
                 return VALUE
             if v in ("++", "--"):
                 self.p = p + 1
@@ -811,9 +801,7 @@ class Php(Parser):
         if self.take(":"):
             self.type()
         self.need("=>")
-        self.deeper()
         self.binary(4)
-        self.depth -= 1
 
     def match_(self) -> None:
         self.p += 1
@@ -836,7 +824,6 @@ class Php(Parser):
 
     def items(self, close: str) -> None:
         self.p += 1
-        self.deeper()
         while not self.take(close):
             if self.take(","):
                 continue
@@ -849,7 +836,6 @@ class Php(Parser):
                     self.expression()
             if not self.at(close):
                 self.need(",")
-        self.depth -= 1
 
     def postfix(self, kind: int) -> int:
         k, v = self.k, self.v
@@ -879,9 +865,7 @@ class Php(Parser):
                     self.need("]")
                 kind = TARGET
             elif x == "(":
-                self.deeper()
                 self.arguments()
-                self.depth -= 1
                 kind = VALUE
             elif x == "++" or x == "--":
                 if kind != TARGET:

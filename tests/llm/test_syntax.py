@@ -66,6 +66,34 @@ def test_deep_and_long_texts():
     assert syntax_errors("[" * 5000, "javascript")
 
 
+@pytest.mark.parametrize("n", [2_500, 30_000])
+def test_depth_has_no_limit(n):
+    for language, start, x in (("javascript", "", "a"), ("typescript", "", "a"), ("php", "<?php ", "$a"), ("csharp", "", "a")):
+        assert syntax_errors(f"{start}if ({x}) {{}} " + f"else if ({x}) {{}} " * n, language) == []
+        assert syntax_errors(f"{start}{x} = " + "(" * n + "1" + ")" * n + ";", language) == []
+        assert syntax_errors(f"{start}{x} = " + "(" * n + "1" + ")" * (n - 1) + ";", language)
+        if language != "php":
+            assert syntax_errors(f"{x} = " + f"{x} ? b : " * n + "c;", language) == []
+            assert syntax_errors(f"{x} = " + f"{x} ? b : " * n + ";", language)
+
+
+ELEMENTS = [
+    "const a = <div className=\"x\" {...p} on={() => { f(<b/>) }}>hi {name} <B.C x='1'/> {/* c */}{list.map(i => <li key={i}>{i > 1 ? <a/> : null}</li>)}</div>;",
+    "function A() { return (<><p>don't</p></>); }", "const x = a < b && c > d;", "export default () => <input disabled value={`a${b}`} />;",
+]
+NO_ELEMENTS = ["const a = <div>;", "const a = <div></span>;", "a = <b c=>x</b>", "a = <b>{1 2}</b>", "a = <b>}</b>", "a = <b {c></b>"]
+
+
+def test_elements_where_the_name_of_the_file_allows_them():
+    for text in ELEMENTS:
+        assert syntax_errors(text, "javascript", "src/a.jsx") == [] and syntax_errors(text, "typescript", "src/a.tsx") == []
+    for text in NO_ELEMENTS:
+        assert syntax_errors(text, "javascript", "a.jsx")
+    generic = "const f = <T,>(x: T): T => x; const g = <T extends object>(x: T) => <b>{x as any}</b>; let y = a as B<C>;"
+    assert syntax_errors(generic, "typescript", "a.tsx") == []
+    assert syntax_errors(ELEMENTS[0], "javascript", "a.js") and syntax_errors("let a = <T>b;", "typescript", "a.ts") == []
+
+
 SCHEMA = "file_id long, repo_id long, path string, language string, content string, repo string"
 
 
