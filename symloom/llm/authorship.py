@@ -3,15 +3,21 @@
 Three passes over the texts. The first takes numbers of each file (compression
 ratio, token entropy, identifier lengths, comment density and the like) and the
 hashes of its line windows; leading comments, where notices stand, are cut off
-before, so no number knows of a notice. The second counts in how many
-repositories each window stands, which tells copies however they are named. A
-random forest then learns from the files whose notice says who wrote them, and
-decides on all files.
+before, so no number knows of a notice, and of a component with markup its
+scripts are measured. The second counts in how many
+repositories each window stands, which tells copies however they are named and
+even where some of their lines were changed. A random forest then learns from
+the files whose notice says who wrote them, and its score alone decides on all
+files, those with a notice included.
+
+Labels: a notice of a tool or a licence under which others may use a project is
+a 1, a remark that a file is written by hand or kept for internal use a 0. A
+copyright line says nothing, as own files carry it too. Files of literals carry
+no notices; their structure labels them as a 1, so that the forest sees them.
 
 Defined cases: a null or blank content is no file of any kind and is never
 flagged; a row with a null id is kept with that id; repeated rows give repeated
-results; without files of both labels nothing is flagged by the forest, and only
-notices count.
+results; without files of both labels nothing is flagged.
 """
 
 from __future__ import annotations
@@ -33,30 +39,31 @@ from symloom.session import cut, spread
 #: Labelled files of each label that the forest is fitted on, chosen by a hash of the content.
 FIT_ROWS = 4_000
 #: Lines in a window whose repeats in other repositories count as copying.
-WINDOW = 4
+WINDOW = 6
 #: Characters that a window holds at least; shorter ones are everybody's code.
-WINDOW_CHARS = 90
+WINDOW_CHARS = 150
 
 _LEAD = re.compile(
     r"\A(?:﻿|\s|<\?php\b|(['\"])use strict\1;?|#![^\n]*|/\*.*?(?:\*/|\Z)|//[^\n]*|#(?!\[)[^\n]*|<!--.*?-->)*", re.S
 )
+_COMPONENT = re.compile(r"<(?:template|script|style)\b", re.I)
+_SCRIPT = re.compile(r"<script\b[^>]*>(.*?)(?:</script\s*>|\Z)", re.S | re.I)
 _COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)|(?<![:\"'\w])//[^\n]*|^[ \t]*#(?!\[)[^\n]*|<!--.*?-->", re.S | re.M)
-#: Notices of tools (fixed phrases of code generators and bundlers).
+#: Notices of tools (common phrases of code generators and bundlers).
 _TOOL = re.compile(
     r"^\W*@generated\b|<auto-?generated|^\W*auto-?generated\b|^\W*(?:this (?:file|code) (?:was|is) |code )?(?:auto(?:matically|-)?\s*)?generated (?:by|from|on|with|using)\b|"
     r"produced by the \S+(?: \S+)? (?:compiler|generator|tool)|machine[- ]written|machine[- ]generated|^\W*output of\b|wird beim bauen erzeugt|automatisch (?:erzeugt|generiert)|"
     r"(?:code|file) generated by|do not (?:edit|modify)\s*(?:[.!;*\n]|$|by hand|manually|this file)|changes will be lost|rerun the tool|^/\*! \w+ bundle \*/",
     re.I | re.M,
 )
-#: Notices of other projects (fixed phrases of licences).
+#: Notices under which a project is given to others (common phrases of licences).
 _PROJECT = re.compile(
-    r"@license\b|\bv?\d+\.\d+\.\d+ \| [\w.-]+ licen[cs]e|\(c\)[^\n]{0,60}\bauthors\b|copyright \(c\)|release \d+\.\d+\.\d+|redistribution is permitted|sourcemappingurl",
+    r"@license\b|\bv?\d+\.\d+\.\d+ \| [\w.-]+ licen[cs]e|redistribution (?:and use|is permitted)|permission is hereby granted|licensed under the \S+ licen[cs]e|\b(?:MIT|BSD|ISC|Apache)(?:-[\d.]+)? licen[cs]e",
     re.I,
 )
-#: Notices of the people of the repository, and remarks that only speak of notices.
+#: Remarks that a file is one's own (common phrases).
 _OWN = re.compile(
-    r"written by hand|maintained manually|our own code|internal use only|of the workspace|workspace\b|this repository|without asking the team|are produced by the release job|"
-    r"builds the \"@generated\"|banner \"|handbook of the team",
+    r"\b(?:written|edited|maintained|kept|updated) (?:by hand|manually)|\bhand-?written\b|internal use only|\bproprietary\b|licen[cs]e file (?:of|in|at) (?:this|the) (?:repository|project|root)",
     re.I,
 )
 _TOKEN = re.compile(r"[^\W\d]\w*|\d[\w.]*|[^\s\w]")
@@ -64,31 +71,41 @@ _NAME = re.compile(r"[^\W\d]\w*")
 _STRING = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`")
 _LITERAL = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)*'?|-?\d[\d.eE+-]*|\b(?:true|false|null)\b")
 _CALLABLE = re.compile(r"\b(?:function|class|fn|=>|return|if|for|while|foreach|switch)\b|=>")
-_VERSION = re.compile(r"(?:[-_.]v?\d+(?:\.\d+)*)+$")
 
 FEATURES = (
     "ratio", "entropy", "name_mean", "name_short", "name_long", "comments", "comment_lines", "longest", "line_mean", "blank", "digits", "marks", "strings",
-    "unique_lines", "unique_names", "literals", "callables", "same_start", "named_after", "lower_stem", "shape_share", "copied", "copies",
+    "unique_lines", "unique_names", "literals", "callables", "same_start", "shape_share", "copied", "copies",
 )
 
 
+def script(text: str) -> str:
+    """The code to judge: of a single-file component its scripts, if it has any, of other files all."""
+    rest = text[_LEAD.match(text).end() :]
+    if _COMPONENT.match(rest):
+        return "\n".join(_SCRIPT.findall(rest)) or text
+    return text
+
+
 def label(text: str) -> int:
     """1 a notice of a tool or another project, 0 one of the people here, -1 none."""
+    code = script(text)
     lead = _LEAD.match(text)[0]
-    foot = text[-200:]
-    if _TOOL.search(lead) or _PROJECT.search(lead) or re.search(r"^//# sourceMappingURL=", foot, re.M):
+    if code is not text:
+        lead += "\n" + _LEAD.match(code)[0]
+    if _TOOL.search(lead) or _PROJECT.search(lead) or re.search(r"^//# sourceMappingURL=", text[-200:], re.M):
         return 1
     return 0 if _OWN.search(lead) else -1
 
 
 def body(text: str) -> str:
-    """The text without its leading comments and source map line, with line feeds only."""
-    rest = text[_LEAD.match(text).end() :]
+    """The code without its leading comments and source map line, with line feeds only."""
+    code = script(text)
+    rest = code[_LEAD.match(code).end() :]
     rest = re.sub(r"^//# sourceMappingURL=.*$", "", rest, flags=re.M)
     return rest.replace("\r\n", "\n").replace("\r", "\n")
 
 
-def measure(text: str, path: str) -> list[float]:
+def measure(text: str) -> list[float]:
     """The numbers of one file that need no other file."""
     code = body(text)
     raw = code.encode("utf-8", "replace")
@@ -106,10 +123,6 @@ def measure(text: str, path: str) -> list[float]:
     shapes = Counter(re.sub(r"\d+", "0", re.sub(r"[A-Za-z_]\w*", "a", x)) for x in full)
     starts = Counter(x.split(" ", 2)[0][:12] for x in full)
     literal = sum(len(x) for x in _LITERAL.findall(bare))
-    stem = re.sub(r"\.[^.]*$", "", path.rsplit("/", 1)[-1])
-    stem = re.sub(r"\.(?:min|bundle|generated|designer|g|d)$", "", stem, flags=re.I)
-    plain = _VERSION.sub("", stem)
-    heads = re.findall(r"\b(?:class|namespace|interface)\s+(?:[\w]+[.\\])*([A-Z][a-z0-9]*)", bare)
     return [
         len(zlib.compress(raw, 6)) / max(1, len(raw)),
         entropy / math.log2(total + 1),
@@ -129,15 +142,13 @@ def measure(text: str, path: str) -> list[float]:
         literal / n,
         len(_CALLABLE.findall(bare)) / total,
         max(starts.values(), default=0) / max(1, len(full)),
-        float(bool(plain) and plain.lower() == plain and any(h.lower() == plain for h in heads)),
-        float(plain.isalpha() and plain.lower() == plain),
         max(shapes.values(), default=0) / max(1, len(full)),
     ]
 
 
 def windows(text: str) -> list[int]:
-    """Hashes of runs of lines, for finding the same run in other repositories."""
-    full = [x for x in (" ".join(x.split()) for x in body(text).split("\n")) if len(x) > 1 and not x.startswith("// local:")]
+    """Hashes of runs of lines of code, for finding the same run in other repositories; comments do not count."""
+    full = [x for x in (" ".join(x.split()) for x in _COMMENT.sub(" ", body(text)).split("\n")) if len(x) > 1]
     out = set()
     for i in range(max(1, len(full) - WINDOW + 1)):
         run = "\n".join(full[i : i + WINDOW])
@@ -156,10 +167,10 @@ def is_data(numbers: list[float], text: str) -> bool:
 def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out: dict[str, list] = {"file_id": [], "repo_id": [], "label": [], "data": [], "numbers": [], "windows": []}
-        for file_id, repo_id, path, text in zip(pdf["file_id"], pdf["repo_id"], pdf["path"], pdf["content"], strict=True):
+        for file_id, repo_id, text in zip(pdf["file_id"], pdf["repo_id"], pdf["content"], strict=True):
             if not isinstance(text, str) or not text.strip():
                 continue
-            numbers = measure(text, path if isinstance(path, str) else "")
+            numbers = measure(text)
             data = is_data(numbers, text)
             out["file_id"].append(file_id)
             out["repo_id"].append(repo_id)
@@ -176,11 +187,10 @@ def measured(sources: DataFrame) -> DataFrame:
     Adds to the numbers the share of line windows that stand in another
     repository too, and the logarithm of the greatest number of files with one
     window. Window statistics are partial sums before they are shuffled, and
-    only windows of several repositories are joined back.
+    only windows of several repositories are joined back; a window of very many
+    files is a skewed key of that join, whose sides Spark splits as it runs.
     """
-    base = sources.select(
-        F.col("file_id").cast("long"), F.col("repo_id").cast("long"), F.col("path").cast("string"), F.col("content").cast("string")
-    )
+    base = sources.select(F.col("file_id").cast("long"), F.col("repo_id").cast("long"), F.col("content").cast("string"))
     first = cut(
         spread(base).mapInPandas(
             _measure, "file_id long, repo_id long, label int, data boolean, numbers array<double>, windows array<long>"
@@ -222,15 +232,7 @@ def fit(numbers: DataFrame, rows: int = FIT_ROWS) -> Forest | None:
     return Forest.fit(x, pdf["label"].to_numpy().astype(float))
 
 
-def classify(sources: DataFrame, rows: int = FIT_ROWS, threshold: float = 0.5) -> DataFrame:
-    """Every file with file_id, repo_id, label, score and is_foreign.
-
-    is_foreign is the decision: the forest's score, or the notice where one of a
-    tool or another project stands.
-    """
-    numbers = cut(measured(sources))
-    forest = fit(numbers, rows)
-
+def _scored(numbers: DataFrame, forest: Forest | None) -> DataFrame:
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if forest is None or not len(pdf):
@@ -239,5 +241,24 @@ def classify(sources: DataFrame, rows: int = FIT_ROWS, threshold: float = 0.5) -
                 s = forest.predict(np.array(pdf["numbers"].tolist(), float).reshape(len(pdf), -1))
             yield pdf[["file_id", "repo_id", "label", "data"]].assign(score=s)
 
-    scored = numbers.mapInPandas(score, "file_id long, repo_id long, label int, data boolean, score double")
-    return scored.withColumn("is_foreign", (F.col("score") >= threshold) | (F.col("label") == 1))
+    return numbers.mapInPandas(score, "file_id long, repo_id long, label int, data boolean, score double")
+
+
+def classify(sources: DataFrame, rows: int = FIT_ROWS, threshold: float = 0.5) -> DataFrame:
+    """Every file with file_id, repo_id, label, score and is_foreign, which is the forest's score against the threshold."""
+    numbers = cut(measured(sources))
+    return _scored(numbers, fit(numbers, rows)).withColumn("is_foreign", F.col("score") >= threshold)
+
+
+def held_out(sources: DataFrame, rows: int = FIT_ROWS, threshold: float = 0.5) -> DataFrame:
+    """Per label (and kind of label) files that the forest was not fitted on and how many it gets right.
+
+    Half of the repositories, chosen by a hash, are fitted on, the other half is
+    told; a window that a file shares with the other half still counts as shared.
+    """
+    numbers = cut(measured(sources).where("label >= 0"))
+    half = F.pmod(F.xxhash64(F.coalesce("repo_id", F.lit(-1)), F.lit(5)), F.lit(2))
+    told = _scored(numbers.where(half == 1), fit(numbers.where(half == 0), rows))
+    return told.groupBy("label", "data").agg(
+        F.count(F.lit(1)).alias("files"), F.count_if((F.col("score") >= threshold) == (F.col("label") == 1)).alias("right")
+    )

@@ -77,6 +77,11 @@ def p4_handwritten(spark: SparkSession, folder: str) -> DataFrame:
     return authorship.classify(_texts(spark, folder)).where("not is_foreign").select("file_id", "repo_id", F.round("score", 4).alias("score"))
 
 
+def p4_held_out(spark: SparkSession, folder: str) -> DataFrame:
+    """Files with a label that the forest did not learn from, and how many of them it tells right."""
+    return authorship.held_out(_texts(spark, folder))
+
+
 def p5_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Code and description of each documented function in hand-written files that parse."""
     texts = _texts(spark, folder)
@@ -90,7 +95,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_errors, p1_rates, p1_acceptance, p1_reported, p3_found, p3_pieces, p3_round_trip, p4_found, p4_handwritten, p5_found, p5_pairs)
+    for f in (p1_found, p1_errors, p1_rates, p1_acceptance, p1_reported, p3_found, p3_pieces, p3_round_trip, p4_found, p4_handwritten, p4_held_out, p5_found, p5_pairs)
 }
 
 _CUT = """
