@@ -26,7 +26,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -164,24 +164,42 @@ def is_data(numbers: list[float], text: str) -> bool:
     return bool(code.strip()) and numbers[15] >= 0.5 and not re.search(r"\w\s*\(|=>|\b(?:function|return|if|for|while|switch)\b", bare)
 
 
-def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out: dict[str, list] = {"file_id": [], "repo_id": [], "label": [], "data": [], "numbers": [], "windows": []}
-        for file_id, repo_id, text in zip(pdf["file_id"], pdf["repo_id"], pdf["content"], strict=True):
-            if not isinstance(text, str) or not text.strip():
-                continue
-            numbers = measure(text)
-            data = is_data(numbers, text)
-            out["file_id"].append(file_id)
-            out["repo_id"].append(repo_id)
-            out["label"].append(1 if data else label(text))
-            out["data"].append(data)
-            out["numbers"].append(numbers)
-            out["windows"].append(windows(text))
-        yield pd.DataFrame(out).astype({"file_id": "Int64", "repo_id": "Int64"})
-
-
-def measured(sources: DataFrame) -> DataFrame:
+#: Something else to take from each text in the pass that measures it: a batch in, one value per row out.
+Beside = Callable[[pd.DataFrame], list]
+
+
+def first_pass(sources: DataFrame, beside: Beside | None = None, kind: str = "") -> DataFrame:
+    """Per file its label, its numbers and its windows, and beside them what else is asked for, as a table.
+
+    kind is the type of the column beside.
+    """
+    columns = [F.col("file_id").cast("long"), F.col("repo_id").cast("long"), F.col("content").cast("string")]
+    if beside is not None:
+        columns += [F.col("path").cast("string"), F.col("language").cast("string")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf.loc[np.array([isinstance(t, str) and bool(t.strip()) for t in pdf["content"]], bool)]
+            texts = pdf["content"].tolist()
+            numbers = [measure(t) for t in texts]
+            data = [is_data(n, t) for n, t in zip(numbers, texts, strict=True)]
+            out = {
+                "file_id": pdf["file_id"].astype("Int64"),
+                "repo_id": pdf["repo_id"].astype("Int64"),
+                "label": [1 if d else label(t) for d, t in zip(data, texts, strict=True)],
+                "data": data,
+                "numbers": numbers,
+                "windows": [windows(t) for t in texts],
+            }
+            if beside is not None:
+                out["beside"] = beside(pdf)
+            yield pd.DataFrame(out, index=pdf.index)
+
+    schema = "file_id long, repo_id long, label int, data boolean, numbers array<double>, windows array<long>"
+    return cut(spread(sources.select(*columns)).mapInPandas(run, schema + (f", beside {kind}" if beside else "")))
+
+
+def measured(first: DataFrame) -> DataFrame:
     """Per file its label, its numbers and the copying seen across repositories.
 
     Adds to the numbers the share of line windows that stand in another
@@ -190,12 +208,6 @@ def measured(sources: DataFrame) -> DataFrame:
     only windows of several repositories are joined back; a window of very many
     files is a skewed key of that join, whose sides Spark splits as it runs.
     """
-    base = sources.select(F.col("file_id").cast("long"), F.col("repo_id").cast("long"), F.col("content").cast("string"))
-    first = cut(
-        spread(base).mapInPandas(
-            _measure, "file_id long, repo_id long, label int, data boolean, numbers array<double>, windows array<long>"
-        )
-    )
     runs = first.select("file_id", F.coalesce("repo_id", F.lit(-1)).alias("repo"), F.explode("windows").alias("run"))
     spreaded = (
         runs.groupBy("run")
@@ -244,19 +256,24 @@ def _scored(numbers: DataFrame, forest: Forest | None) -> DataFrame:
     return numbers.mapInPandas(score, "file_id long, repo_id long, label int, data boolean, score double")
 
 
-def classify(sources: DataFrame, rows: int = FIT_ROWS, threshold: float = 0.5) -> DataFrame:
-    """Every file with file_id, repo_id, label, score and is_foreign, which is the forest's score against the threshold."""
-    numbers = cut(measured(sources))
+def judged(first: DataFrame, rows: int = FIT_ROWS, threshold: float = 0.5) -> DataFrame:
+    """Every file of a first pass with file_id, repo_id, label, score and is_foreign, the score against the threshold."""
+    numbers = cut(measured(first))
     return _scored(numbers, fit(numbers, rows)).withColumn("is_foreign", F.col("score") >= threshold)
 
 
+def classify(sources: DataFrame, rows: int = FIT_ROWS, threshold: float = 0.5) -> DataFrame:
+    """judged() of source texts: file_id, repo_id, content."""
+    return judged(first_pass(sources), rows, threshold)
+
+
 def held_out(sources: DataFrame, rows: int = FIT_ROWS, threshold: float = 0.5) -> DataFrame:
     """Per label (and kind of label) files that the forest was not fitted on and how many it gets right.
 
     Half of the repositories, chosen by a hash, are fitted on, the other half is
     told; a window that a file shares with the other half still counts as shared.
     """
-    numbers = cut(measured(sources).where("label >= 0"))
+    numbers = cut(measured(first_pass(sources)).where("label >= 0"))
     half = F.pmod(F.xxhash64(F.coalesce("repo_id", F.lit(-1)), F.lit(5)), F.lit(2))
     told = _scored(numbers.where(half == 1), fit(numbers.where(half == 0), rows))
     return told.groupBy("label", "data").agg(

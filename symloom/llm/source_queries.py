@@ -84,9 +84,9 @@ def p4_held_out(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Code and description of each documented function in hand-written files that parse."""
-    texts = _texts(spark, folder)
-    foreign = authorship.classify(texts).where("is_foreign").select("file_id").distinct()
-    return sources.parsed_pairs(texts).join(foreign, "file_id", "left_anti")
+    first = authorship.first_pass(_texts(spark, folder), sources.pairs, sources.PAIRS)
+    foreign = authorship.judged(first).where("is_foreign").select("file_id").distinct()
+    return sources.exploded(first).join(foreign, "file_id", "left_anti")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

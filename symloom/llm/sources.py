@@ -140,26 +140,28 @@ def reported(parsed: DataFrame, errors: DataFrame) -> DataFrame:
     )
 
 
-_PAIRS = "file_id long, repo_id long, language string, name string, start_line int, end_line int, signature string, description string, code string"
+#: Type of the pairs of one file.
+PAIRS = "array<struct<language: string, name: string, start_line: int, end_line: int, signature: string, description: string, code: string>>"
 
 
-def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for file_id, repo_id, path, language, text in zip(
-            pdf["file_id"], pdf["repo_id"], pdf["path"], pdf["language"], pdf["content"], strict=True
-        ):
-            lang = language_of(language, path)
-            if not lang or not isinstance(text, str):
-                continue
-            for f in fn.functions(text, lang, has_elements(path)):
-                said = fn.describes(f.doc, f.name) if f.doc else ""
-                if said:
-                    head = " ".join(text[f.head : f.body].split())
-                    rows.append((file_id, repo_id, lang, f.name, f.start_line, f.end_line, head, said, text[f.head : f.end]))
-        yield pd.DataFrame(
-            rows, columns=["file_id", "repo_id", "language", "name", "start_line", "end_line", "signature", "description", "code"]
-        ).astype({"file_id": "Int64", "repo_id": "Int64", "start_line": "Int32", "end_line": "Int32"})
+def _pairs_of(text: object, lang: str, path: object) -> list[dict]:
+    if not lang or not isinstance(text, str):
+        return []
+    out = []
+    for f in fn.functions(text, lang, has_elements(path)):
+        said = fn.describes(f.doc, f.name) if f.doc else ""
+        if said:
+            head = " ".join(text[f.head : f.body].split())
+            out.append({"language": lang, "name": f.name, "start_line": f.start_line, "end_line": f.end_line, "signature": head, "description": said, "code": text[f.head : f.end]})
+    return out
+
+
+def pairs(pdf: pd.DataFrame) -> list[list[dict]]:
+    """Of each text that parses its functions with their documentation."""
+    return [
+        _pairs_of(text, lang, path) if lang and isinstance(text, str) and not syntax_errors(text, lang, path) else []
+        for text, lang, path in zip(pdf["content"], map(language_of, pdf["language"], pdf["path"]), pdf["path"], strict=True)
+    ]
 
 
 def documented_functions(sources: DataFrame) -> DataFrame:
@@ -168,18 +170,16 @@ def documented_functions(sources: DataFrame) -> DataFrame:
     Null and unknown languages give no rows, nor do functions whose comment is
     missing, shorter than five words, a repetition of the name or a placeholder.
     """
-    return spread(_base(sources)).mapInPandas(_pairs, _PAIRS)
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            languages = map(language_of, pdf["language"], pdf["path"])
+            found = [_pairs_of(t, lang, p) for t, lang, p in zip(pdf["content"], languages, pdf["path"], strict=True)]
+            yield pd.DataFrame({"file_id": pdf["file_id"].astype("Int64"), "repo_id": pdf["repo_id"].astype("Int64"), "beside": found})
 
-def parsed_pairs(sources: DataFrame) -> DataFrame:
-    """documented_functions of the files that parse, in one pass over the texts."""
+    return exploded(spread(_base(sources)).mapInPandas(run, f"file_id long, repo_id long, beside {PAIRS}"))
 
-    def both(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ok = [
-                bool(lang) and isinstance(text, str) and not syntax_errors(text, lang, path)
-                for lang, path, text in zip(map(language_of, pdf["language"], pdf["path"]), pdf["path"], pdf["content"], strict=True)
-            ]
-            yield from _pairs(iter([pdf[ok]]))
 
-    return spread(_base(sources)).mapInPandas(both, _PAIRS)
+def exploded(found: DataFrame) -> DataFrame:
+    """One row per pair from a column of pairs."""
+    return found.select("file_id", "repo_id", F.explode("beside").alias("pair")).select("file_id", "repo_id", "pair.*")

@@ -1,4 +1,4 @@
-from symloom.llm import sources
+from symloom.llm import authorship, sources
 from symloom.llm.syntax.functions import describes, functions, prose
 
 LONG = "Keeps the rows that were seen more than once today."
@@ -56,4 +56,4 @@ def test_what_counts_as_description():
 def test_operator(spark):
     rows = [(1, 1, "a.js", "javascript", f"// {LONG}\nfunction f() {{}}", "x"), (2, 1, "b.js", "javascript", None, "x"), (3, 1, "c.js", "javascript", f"// {LONG}\nfunction g() {{", "x")]
     df = spark.createDataFrame(rows, "file_id long, repo_id long, path string, language string, content string, name string")
-    assert [(r.file_id, r.name, r.start_line, r.description) for r in sources.parsed_pairs(df).collect()] == [(1, "f", 2, LONG)]
+    assert [(r.file_id, r.name, r.start_line, r.description) for r in sources.exploded(authorship.first_pass(df, sources.pairs, sources.PAIRS)).collect()] == [(1, "f", 2, LONG)]
