@@ -188,11 +188,11 @@ def first_pass(sources: DataFrame, beside: Beside | None = None, kind: str = "")
                 "repo_id": pdf["repo_id"].astype("Int64"),
                 "label": [1 if d else label(t) for d, t in zip(data, texts, strict=True)],
                 "data": data,
-                "numbers": numbers,
-                "windows": [windows(t) for t in texts],
+                "numbers": pd.Series(numbers, pdf.index, object),
+                "windows": pd.Series([windows(t) for t in texts], pdf.index, object),
             }
             if beside is not None:
-                out["beside"] = beside(pdf)
+                out["beside"] = pd.Series(beside(pdf), pdf.index, object)
             yield pd.DataFrame(out, index=pdf.index)
 
     schema = "file_id long, repo_id long, label int, data boolean, numbers array<double>, windows array<long>"

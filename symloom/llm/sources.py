@@ -175,7 +175,7 @@ def documented_functions(sources: DataFrame) -> DataFrame:
         for pdf in batches:
             languages = map(language_of, pdf["language"], pdf["path"])
             found = [_pairs_of(t, lang, p) for t, lang, p in zip(pdf["content"], languages, pdf["path"], strict=True)]
-            yield pd.DataFrame({"file_id": pdf["file_id"].astype("Int64"), "repo_id": pdf["repo_id"].astype("Int64"), "beside": found})
+            yield pd.DataFrame({"file_id": pdf["file_id"].astype("Int64"), "repo_id": pdf["repo_id"].astype("Int64"), "beside": pd.Series(found, pdf.index, object)})
 
     return exploded(spread(_base(sources)).mapInPandas(run, f"file_id long, repo_id long, beside {PAIRS}"))
 
