@@ -7,7 +7,9 @@ dominate all others with the same largest document, many equal ones at a time;
 what is left is packed by best fit in decreasing order, again by counts. The
 solution says of each size which ranks go to which containers; ranks are counted
 within (size, slice) and shifted by the counts of the slices before, so that a
-size a third of all documents share is not one task's work.
+size a third of all documents share is not one task's work. Only sizes of more
+than ``RANKED_PER_TASK`` documents are sliced, and the shifts are a table that
+stays in the cluster.
 
 Defined cases: a document above the capacity is split into full containers and
 a rest, which is packed like a document; a null or empty text takes no room and
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from symloom.session import cut, spread
@@ -38,19 +40,21 @@ RANKED_PER_TASK = 200_000
 
 
 @functools.cache
-def tokenizer(path: str):
+def tokenizer(vocabulary: bytes):
+    """The tokenizer of the lines of a vocabulary file."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id and its number of tokens."""
+    """doc_id and its number of tokens; the vocabulary is read by the driver and sent to the tasks (about 1 MB)."""
+    with open(vocabulary, "rb") as f:
+        sent = documents.sparkSession.sparkContext.broadcast(f.read())
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = tokenizer(vocabulary).encode_ordinary
+        encode = tokenizer(sent.value).encode_ordinary
         for pdf in batches:
             sizes = [len(encode(t)) if isinstance(t, str) else 0 for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "tokens": np.array(sizes, np.int64)})
@@ -251,29 +255,40 @@ def pack(counts: DataFrame, limit_id: int, capacity: int) -> tuple[DataFrame, di
             table[size] = n
     solution, fixed = solve(table, capacity)
     containers = sum(n for _, n in solution)
-    slices = max(1, max(histogram.values(), default=0) // RANKED_PER_TASK)
-    sliced = sized.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(slices)).cast("int"))
-    before: dict[tuple[int, int], int] = {}
-    running: dict[int, int] = {}
-    if slices > 1:
-        for r in sliced.groupBy("size", "slice").agg(F.count(F.lit(1)).alias("n")).orderBy("size", "slice").collect():
-            before[r["size"], r["slice"]] = running.get(r["size"], 0)
-            running[r["size"]] = running.get(r["size"], 0) + r["n"]
-    sent = spark.sparkContext.broadcast((_ranges(solution, capacity, 0), before))
+    hot = [(size, -(-n // RANKED_PER_TASK)) for size, n in histogram.items() if n > RANKED_PER_TASK]
+    slice_ = F.lit(0)
+    if hot:
+        # at most one entry per size, so the capacity bounds it
+        per_size = F.create_map(*[F.lit(x) for pair in hot for x in pair])
+        slice_ = F.pmod(F.xxhash64("doc_id", "piece"), F.coalesce(F.try_element_at(per_size, F.col("size")), F.lit(1)))
+    sliced = sized.withColumn("slice", slice_.cast("int"))
+    if hot:
+        sums = Window.partitionBy("b_size").orderBy("b_slice").rowsBetween(Window.unboundedPreceding, -1)
+        before = (
+            sliced.where(F.col("size").isin([s for s, _ in hot]))
+            .groupBy(F.col("size").alias("b_size"), F.col("slice").alias("b_slice"))
+            .agg(F.count(F.lit(1)).alias("n"))
+            .select("b_size", "b_slice", F.coalesce(F.sum("n").over(sums), F.lit(0)).alias("shift"))
+        )
+        sliced = sliced.join(before, (F.col("size") == F.col("b_size")) & (F.col("slice") == F.col("b_slice")), "left").drop("b_size", "b_slice")
+    else:
+        sliced = sliced.withColumn("shift", F.lit(0))
+    sliced = sliced.withColumn("shift", F.coalesce("shift", F.lit(0)).cast("long"))
+    sent = spark.sparkContext.broadcast(_ranges(solution, capacity, 0))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ranges, shift = sent.value
+        ranges = sent.value
         seen: dict[tuple[int, int], int] = {}
         for pdf in batches:
             out = np.zeros(len(pdf), np.int64)
-            sizes, slice_ = pdf["size"].to_numpy(), pdf["slice"].to_numpy()
-            for key, rows in pd.DataFrame({"a": sizes, "b": slice_}).groupby(["a", "b"]).indices.items():
+            sizes, slices, shift = pdf["size"].to_numpy(), pdf["slice"].to_numpy(), pdf["shift"].to_numpy()
+            for key, rows in pd.DataFrame({"a": sizes, "b": slices}).groupby(["a", "b"]).indices.items():
                 key = (int(key[0]), int(key[1]))
                 if not key[0]:
                     continue
                 start = seen.get(key, 0)
                 seen[key] = start + len(rows)
-                rank = shift.get(key, 0) + start + np.arange(len(rows))
+                rank = shift[rows] + start + np.arange(len(rows))
                 starts, first, per = ranges[key[0]]
                 i = np.searchsorted(starts, rank, side="right") - 1
                 out[rows] = first[i] + (rank - starts[i]) // per[i]
