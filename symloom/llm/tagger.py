@@ -14,7 +14,6 @@ import functools
 import io
 import pkgutil
 import unicodedata
-import zlib
 
 import numpy as np
 
@@ -104,13 +103,8 @@ def lstm(ids: np.ndarray, table: np.ndarray, recurrent: np.ndarray) -> np.ndarra
 
 class Tagger:
     def __init__(self, weights: dict[str, np.ndarray]):
-        #: Hashes of common words, which alone name nobody.
-        self.plain = frozenset(weights["plain"].tolist()) if "plain" in weights else frozenset()
         self.w = {k: np.ascontiguousarray(v, np.float32) for k, v in weights.items() if k != "plain"}
 
-    def is_plain(self, word: str) -> bool:
-        return zlib.crc32(word.lower().encode()) in self.plain
-
     @staticmethod
     @functools.cache
     def load() -> Tagger:
