@@ -16,9 +16,6 @@ LANGUAGE_OF_EXTENSION = {
 }
 #: Directories that are never scanned (fixed values).
 SKIPPED_DIRECTORIES = ("node_modules", ".git", "dist", "build", "coverage", ".next", ".nuxt", "vendor", "__pycache__", ".venv")
-#: Words of the CRUD family and of processing, for the semantic weight (fixed values).
-CRUD_WORDS = ("create", "update", "delete", "save", "insert", "store", "destroy", "remove")
-PROCESS_WORDS = ("process", "handle", "execute", "validate", "calculate", "transform")
 
 
 def extension(path: Column) -> Column:

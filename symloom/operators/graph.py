@@ -15,17 +15,15 @@ from __future__ import annotations
 import itertools
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from symloom.session import cut, cut_counting
+from symloom.session import as_table, cut, cut_counting
 
 #: Depths of the transitive operators: default and most.
 DEPTH, MAX_DEPTH = 10, 20
 #: Levels of a traversal after which what was seen is written as one table.
 MERGE = 8
-#: Nodes within two hops at which closeness is full.
-NEAR = 30
 
 
 def edges(dependencies: DataFrame, *types: str, reverse: bool = False) -> DataFrame:
@@ -37,40 +35,47 @@ def edges(dependencies: DataFrame, *types: str, reverse: bool = False) -> DataFr
     return df.select(F.col(a).alias("src"), F.col(b).alias("dst")).distinct()
 
 
-def reach(links: DataFrame, seeds: DataFrame, depth: int | None = DEPTH) -> DataFrame:
-    """Nodes reached from seeds (seed) within a depth, of any depth when None: seed, node, depth (the least)."""
+def reach(links: DataFrame, seeds: DataFrame, depth: int | None = DEPTH, reverse: bool = False) -> DataFrame:
+    """Nodes reached from seeds (seed) within a depth, of any depth when None: seed, node, depth (the least).
+
+    Links and seeds become tables once, so no level computes them anew; a level
+    reads the links and what was seen, nothing else. reverse goes against them.
+    """
+    src, dst = ("dst", "src") if reverse else ("src", "dst")
     rounds = itertools.count(1) if depth is None else range(1, max(1, min(depth, MAX_DEPTH)) + 1)
-    frontier = seeds.select(F.col("seed").cast("long"), F.col("seed").cast("long").alias("node")).distinct()
-    seen = frontier.withColumn("depth", F.lit(0))
-    links = cut(links)
+    seed = F.col("seed").cast("long")
+    seen, found = cut_counting(seeds.where("seed is not null").select(seed.alias("seed"), seed.alias("node"), F.lit(0).alias("depth")).distinct())
+    frontier = seen
+    links = as_table(links)
     for d in rounds:
+        if not found:
+            break
         step = (
-            frontier.join(links, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct()
+            frontier.select("seed", "node").join(links, F.col("node") == F.col(src)).select("seed", F.col(dst).alias("node")).distinct()
         )
         new, found = cut_counting(step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(d)))
-        if not found:
-            break
         seen = seen.unionByName(new)
         if d % MERGE == 0:
             seen = cut(seen)
-        frontier = new.select("seed", "node")
+        frontier = new
     return seen.where("depth > 0")
 
 
-def paths(links: DataFrame, seeds: DataFrame, depth: int, end: Column | None = None) -> DataFrame:
-    """All simple paths from seeds up to a depth: seed, node, depth, path (from the seed on).
+def paths(links: DataFrame, seeds: DataFrame, depth: int, end: Column | None = None, reverse: bool = False) -> DataFrame:
+    """All simple paths from seeds up to a depth: seed, node, depth, path (from the seed on); reverse goes against the links.
 
     end, a condition on node, keeps the paths that stop there; a path that met
     it is not carried on.
     """
     depth = max(1, min(depth, MAX_DEPTH))
-    links = cut(links)
+    src, dst = ("dst", "src") if reverse else ("src", "dst")
+    links = as_table(links)
     current = seeds.select(F.col("seed").cast("long")).distinct().select("seed", F.col("seed").alias("node"), F.array("seed").alias("path"))
     out: DataFrame | None = None
     for d in range(1, depth + 1):
         step, count = cut_counting(
-            current.join(links, (F.col("node") == F.col("src")) & ~F.array_contains("path", F.col("dst"))).select(
-                "seed", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path")
+            current.join(links, (F.col("node") == F.col(src)) & ~F.array_contains("path", F.col(dst))).select(
+                "seed", F.col(dst).alias("node"), F.concat("path", F.array(dst)).alias("path")
             )
         )
         found = step.where(end) if end is not None else step
@@ -82,34 +87,32 @@ def paths(links: DataFrame, seeds: DataFrame, depth: int, end: Column | None = N
     return out
 
 
-def shortest_path(links: DataFrame, start: int, goal: int, depth: int = MAX_DEPTH) -> DataFrame:
-    """One shortest path over edges taken as undirected: node ids in order, smallest ids preferred."""
-    both = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    both = cut(both)
+def shortest_path(links: DataFrame, start: int, goal: int, depth: int | None = None) -> DataFrame:
+    """One shortest path over edges taken as undirected: node ids in order, smallest ids preferred.
+
+    Every node met carries the smallest of its shortest paths, so the last level
+    holds the answer; levels go on until the goal is met, there are no new nodes
+    or, where one is given, the depth is reached.
+    """
     spark = links.sparkSession
-    layer = spark.createDataFrame([(start, None)], "node long, parent long")
-    tree = layer
-    met = start == goal
-    for _ in range(depth):
-        if met:
+    both = cut(links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    layer = spark.createDataFrame([(start, [start])], "node long, path array<long>")
+    seen = layer.select("node")
+    met, left = start == goal, 1
+    for d in itertools.count(1):
+        if met or not left or (depth is not None and d > depth):
             break
-        step = (
-            layer.join(both, F.col("node") == F.col("src"))
-            .groupBy(F.col("dst").alias("node"))
-            .agg(F.min("src").alias("parent"))
-        )
-        layer, count = cut_counting(step.join(tree.select("node"), "node", "left_anti"))
-        if not count:
-            return spark.createDataFrame([], "position int, node long")
-        tree = tree.unionByName(layer)
-        met = not layer.where(F.col("node") == goal).isEmpty()
+        step = layer.join(both, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("path").alias("path"))
+        fresh = step.join(seen, "node", "left_anti").select("node", F.concat("path", F.array("node")).alias("path"))
+        counts = Observation()
+        layer = cut(fresh.observe(counts, F.count(F.lit(1)).alias("n"), F.count_if(F.col("node") == goal).alias("goal")))
+        left, met = int(counts.get["n"] or 0), bool(counts.get["goal"])
+        seen = seen.unionByName(layer.select("node"))
+        if d % MERGE == 0:
+            seen = cut(seen)
     if not met:
         return spark.createDataFrame([], "position int, node long")
-    back, node = [goal], goal
-    while node != start:
-        node = tree.where(F.col("node") == node).select("parent").first()[0]
-        back.append(node)
-    return spark.createDataFrame(list(enumerate(reversed(back))), "position int, node long")
+    return layer.where(F.col("node") == goal).select(F.posexplode("path").alias("position", "node"))
 
 
 def on_cycles(links: DataFrame) -> DataFrame:
@@ -180,57 +183,3 @@ def degrees(links: DataFrame) -> DataFrame:
         links.select(F.col("dst").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o"))
     )
     return ends.groupBy("node").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
-
-
-def importance(symbols: DataFrame, links: DataFrame) -> DataFrame:
-    """Centrality proxies and composite score per symbol, in one batch for all symbols.
-
-    symbols: id, name, symbol_type, path. The formulas are local: betweenness is
-    the root of callers times callees, closeness the share reached in two hops.
-    """
-    d = degrees(links)
-    in_degree = d.select(F.col("node").alias("n"), F.col("in_degree").alias("caller_in"))
-    entering = (
-        links.join(in_degree, F.col("src") == F.col("n"))
-        .groupBy(F.col("dst").alias("e_id"))
-        .agg(F.sum("caller_in").alias("second"))
-    )
-    # closeness is capped at NEAR nodes, so NEAR + 1 neighbours of a node settle it however many there are
-    order = Window.partitionBy("src").orderBy("dst")
-    few = links.withColumn("n", F.row_number().over(order)).where(F.col("n") <= NEAR + 1).drop("n")
-    two = few.unionByName(
-        few.alias("a").join(few.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
-    )
-    near = two.groupBy(F.col("src").alias("c_id")).agg(F.count_distinct("dst").alias("near"))
-    one, zero = F.lit(1.0), F.lit(0)
-    i, o = F.coalesce("in_degree", zero), F.coalesce("out_degree", zero)
-    base = F.when(F.col("symbol_type").isin("function", "method"), 0.6).when(F.col("symbol_type") == "class", 0.7).when(
-        F.col("symbol_type") == "component", 0.5
-    ).when(F.col("symbol_type").isin("property", "interface"), 0.3).otherwise(0.5)
-    name = F.lower(F.coalesce("name", F.lit("")))
-    semantic = (
-        base
-        + F.when(name.rlike(r"\b(create|update|delete|save|insert|store|destroy|remove)\b"), 0.4).otherwise(0.0)
-        + F.when(name.rlike(r"\b(process|handle|execute|validate|calculate|transform)\b"), 0.3).otherwise(0.0)
-        + F.when(F.coalesce("path", F.lit("")).rlike(r"/Service|/Controller"), 0.2).otherwise(0.0)
-        - F.when(name.rlike(r"\b(log|debug|info|warn|error)\b"), 0.5).otherwise(0.0)
-    )
-    return (
-        symbols.join(d, F.col("id") == F.col("node"), "left")
-        .join(entering, F.col("id") == F.col("e_id"), "left")
-        .join(near, F.col("id") == F.col("c_id"), "left")
-        .select(
-            "id",
-            F.least(F.sqrt((i * o).cast("double")) / 10, one).alias("betweenness"),
-            F.least((i * 1.5 + o) / 20, one).alias("degree"),
-            F.least(F.coalesce("second", zero) / 50, one).alias("eigenvector"),
-            F.least(F.coalesce("near", zero) / NEAR, one).alias("closeness"),
-            F.greatest(F.lit(0.0), F.least(semantic, one)).alias("semantic"),
-        )
-        .withColumn(
-            "score",
-            F.least(
-                F.col("betweenness") * 0.3 + F.col("degree") * 0.2 + F.col("eigenvector") * 0.15 + F.col("closeness") * 0.1 + F.col("semantic") * 0.25, one
-            ),
-        )
-    )

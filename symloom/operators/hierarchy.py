@@ -213,8 +213,39 @@ def hierarchy(
     )
 
 
-def descendants(paths: DataFrame) -> DataFrame:
-    """Every pair of a node and one below it with their distance, from the paths of hierarchy()."""
+def circle_members(links: DataFrame, tree: DataFrame, id_col: str, parent_col: str) -> DataFrame:
+    """Nodes whose chain never ends: id, parent, circle (its smallest id) and whether the node lies on it.
+
+    A pointer that has been doubled past the number of these nodes lies on the
+    circle, and every node of a circle is where one of its own nodes ends up.
+    """
+    lost = cut(tree.where("is_cyclic").select(F.col("node_id").alias("id"), F.col("root_id").alias("circle")))
+    parents = (
+        links.select(F.col(id_col).cast("long").alias("p_id"), F.col(parent_col).cast("long").alias("parent")).where("p_id is not null").groupBy("p_id").agg(F.max("parent").alias("parent"))
+    )
+    nodes, count = cut_counting(lost.join(parents, F.col("id") == F.col("p_id")).select("id", "parent", "circle"))
+    state, reach = nodes.select("id", F.col("parent").alias("ptr")), 1
+    while reach < count:
+        t = state.select(F.col("id").alias("t_id"), F.col("ptr").alias("t_ptr"))
+        state = cut(state.join(t, F.col("ptr") == F.col("t_id")).select("id", F.col("t_ptr").alias("ptr")))
+        reach *= 2
+    turning = state.select(F.col("ptr").alias("c_id")).distinct()
+    return cut(
+        nodes.join(turning, F.col("id") == F.col("c_id"), "left").select("id", "parent", "circle", F.col("c_id").isNotNull().alias("on_circle"))
+    )
+
+
+def descendants(paths: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """Every pair of a node and one below it with their distance, from the paths of hierarchy().
+
+    members, from circle_members(), adds the nodes below circles: each with all
+    that lie above it up to the node of the circle that it hangs from. All nodes
+    of a circle are above each other and above whatever hangs from it; they are
+    not paired one by one, circle_members() names them.
+    """
+    if members is not None:
+        hanging = members.select("id", F.when(~F.col("on_circle"), F.col("parent")).alias("parent"), F.lit(None).cast("string").alias("name"))
+        paths = paths.where("not is_cyclic").unionByName(hierarchy(hanging, "id", "parent", "name"))
     return (
         paths.where("not is_cyclic and depth > 0")
         .select("node_id", "depth", F.posexplode(F.slice("path_ids", 1, F.size("path_ids") - 1)).alias("at", "ancestor_id"))

@@ -36,8 +36,20 @@ def p2_paths(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _members(spark: SparkSession, folder: str, tree: DataFrame) -> DataFrame:
+    return H.circle_members(current_symbols(table(spark, folder, "symbols"), "parent_symbol_id", "name"), tree, "id", "parent_symbol_id")
+
+
 def p2_descendants(spark: SparkSession, folder: str) -> DataFrame:
-    return H.descendants(_symbol_tree(spark, folder, names=True))
+    """All descendants of every symbol, those below circles included."""
+    tree = _symbol_tree(spark, folder, names=True)
+    return H.descendants(tree, _members(spark, folder, tree))
+
+
+def p2_members(spark: SparkSession, folder: str) -> DataFrame:
+    """Symbols on and below circles; all those on one circle are above each other and above all below it."""
+    tree = _symbol_tree(spark, folder, names=False)
+    return _members(spark, folder, tree).select(F.col("id").alias("symbol_id"), F.col("circle").alias("circle_id"), "on_circle")
 
 
 def p2_circles(spark: SparkSession, folder: str) -> DataFrame:
@@ -139,6 +151,7 @@ QUERIES: dict[str, Query] = {
     "p2_paths": p2_paths,
     "p2_descendants": p2_descendants,
     "p2_circles": p2_circles,
+    "p2_members": p2_members,
     "p6_found": p6_found,
     "p6_by_month": p6_by_month,
 }
@@ -152,12 +165,14 @@ SELECT id AS symbol_id, root_id, depth, false AS is_cyclic, full_path, id_path F
 UNION ALL SELECT id, root_id, NULL, true, NULL, NULL FROM circles""",
     "p2_descendants": f"""{_TREE},
 pairs AS (
-  SELECT id AS ancestor_id, id AS descendant_id, 0 AS distance FROM tree
+  SELECT id AS ancestor_id, id AS descendant_id, 0 AS distance FROM cur
   UNION ALL
-  SELECT p.ancestor_id, c.id, p.distance + 1 FROM pairs p JOIN cur c ON c.parent_symbol_id = p.descendant_id)
+  SELECT p.ancestor_id, c.id, p.distance + 1 FROM pairs p JOIN cur c ON c.parent_symbol_id = p.descendant_id WHERE c.id NOT IN (SELECT id FROM on_circle))
 SELECT ancestor_id, descendant_id, distance FROM pairs WHERE distance > 0""",
     "p2_circles": f"""{_TREE}
 SELECT root_id AS circle_id, count(*) AS symbols FROM circles GROUP BY root_id""",
+    "p2_members": f"""{_TREE}
+SELECT c.id AS symbol_id, c.root_id AS circle_id, o.id IS NOT NULL AS on_circle FROM circles c LEFT JOIN on_circle o ON o.id = c.id""",
     "p6_found": f"{_MISSES} SELECT DISTINCT table_name, field_name, row_id FROM misses",
     "p6_by_month": f"""{_MISSES}
 SELECT table_name, field_name, strftime(created_at, '%Y-%m') AS month, count(*) AS dangling, count(DISTINCT target_id) AS targets

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from symloom.functions import exprs as X
-from symloom.operators import crossstack, deadcode, discovery, graph, resolve, search
+from symloom.operators import crossstack, deadcode, discovery, graph, importance, resolve, search
+from symloom.session import cut
 from symloom.sources.graph import view, view_sql
 from symloom.sources.tables import table
 
@@ -45,12 +46,18 @@ def _seed_of(spark: SparkSession, folder: str) -> DataFrame:
     return _seed(_edges(spark, folder, "calls"))
 
 
+def _calls(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Call edges as a table, and the seed taken from it: one scan of the dependencies for a whole query."""
+    links = cut(_edges(spark, folder, "calls"))
+    return links, cut(_seed(links))
+
+
 @query(f"""WITH RECURSIVE {_EDGES}, {_SEED},
 w AS (SELECT seed, e.src AS node, 1 AS depth, [seed, e.src] AS path FROM seed JOIN e ON e.dst = seed
       UNION ALL SELECT w.seed, e.src, w.depth + 1, list_append(w.path, e.src) FROM w JOIN e ON e.dst = w.node WHERE w.depth < 3 AND NOT list_contains(w.path, e.src))
 SELECT node, depth, list_aggregate(path, 'string_agg', '>') AS path FROM w""")
 def gt01_transitive_caller_paths(spark: SparkSession, folder: str) -> DataFrame:
-    found = graph.paths(_edges(spark, folder, "calls", reverse=True), _seed_of(spark, folder), 3)
+    found = graph.paths(*_calls(spark, folder), 3, reverse=True)
     return found.select("node", "depth", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
@@ -59,7 +66,7 @@ w AS (SELECT seed, e.dst AS node, 1 AS depth, [seed, e.dst] AS path FROM seed JO
       UNION ALL SELECT w.seed, e.dst, w.depth + 1, list_append(w.path, e.dst) FROM w JOIN e ON e.src = w.node WHERE w.depth < 4 AND NOT list_contains(w.path, e.dst))
 SELECT node, depth, list_aggregate(path, 'string_agg', '>') AS path FROM w""")
 def gt02_transitive_dependency_paths(spark: SparkSession, folder: str) -> DataFrame:
-    found = graph.paths(_edges(spark, folder, "calls"), _seed_of(spark, folder), 4)
+    found = graph.paths(*_calls(spark, folder), 4)
     return found.select("node", "depth", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
@@ -81,7 +88,7 @@ w AS (SELECT seed AS node, 0 AS depth FROM seed UNION SELECT e.src, w.depth + 1
 
 @query(f"{_REACH} SELECT node, min(depth) AS depth FROM w WHERE node <> (SELECT seed FROM seed) GROUP BY node")
 def gt07_transitive_callers(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.reach(_edges(spark, folder, "calls", reverse=True), _seed_of(spark, folder), 5).select("node", "depth")
+    return graph.reach(*_calls(spark, folder), 5, reverse=True).select("node", "depth")
 
 
 @query(f"""{_REACH}, m AS (SELECT node, min(depth) AS depth FROM w WHERE node <> (SELECT seed FROM seed) GROUP BY node)
@@ -93,23 +100,38 @@ def ga02_call_depth(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def gt07_callers_default_depth(spark: SparkSession, folder: str) -> DataFrame:
     """Transitive callers down to the default depth; gt07_transitive_callers stops where its SQL twin does."""
-    return graph.reach(_edges(spark, folder, "calls", reverse=True), _seed_of(spark, folder)).select("node", "depth")
+    return graph.reach(*_calls(spark, folder), reverse=True).select("node", "depth")
 
 
 @query()
 def ga02_full_call_depth(spark: SparkSession, folder: str) -> DataFrame:
     """Callers on every level until there is none left; ga02_call_depth stops where its SQL twin does."""
-    found = graph.reach(_edges(spark, folder, "calls", reverse=True), _seed_of(spark, folder), None)
+    found = graph.reach(*_calls(spark, folder), None, reverse=True)
     return found.groupBy("depth").agg(F.count(F.lit(1)).alias("nodes"))
 
 
-@query()
+def _ends(links: DataFrame) -> tuple[int | None, int | None]:
+    """The symbols between which flows are traced: the smallest caller and the greatest callee."""
+    return tuple(links.agg(F.min("src"), F.max("dst")).first())
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, u AS (SELECT src, dst FROM (SELECT DISTINCT from_symbol_id AS src, to_symbol_id AS dst FROM d WHERE from_symbol_id IS NOT NULL AND to_symbol_id IS NOT NULL AND from_symbol_id <> to_symbol_id)),
+both_ways AS (SELECT src, dst FROM u UNION SELECT dst, src FROM u),
+w AS (SELECT min(src) AS node, 0 AS depth FROM e UNION SELECT b.dst, w.depth + 1 FROM w JOIN both_ways b ON b.src = w.node WHERE w.depth < 8),
+far AS (SELECT node, min(depth) AS depth FROM w GROUP BY node)
+SELECT (SELECT depth FROM far WHERE node = (SELECT max(dst) FROM e)) AS steps, (SELECT min(src) FROM e) AS first, (SELECT max(dst) FROM e) AS last, true AS linked WHERE (SELECT depth FROM far WHERE node = (SELECT max(dst) FROM e)) IS NOT NULL""")
 def gt09_shortest_path(spark: SparkSession, folder: str) -> DataFrame:
-    links = _edges(spark, folder)
-    ends = _edges(spark, folder, "calls").agg(F.min("src"), F.max("dst")).first()
-    if ends[0] is None:
-        return spark.createDataFrame([], "position int, node long")
-    return graph.shortest_path(links, ends[0], ends[1])
+    """Length and ends of the shortest path between two symbols, and whether each of its steps is an edge."""
+    links = cut(_edges(spark, folder))
+    start, goal = _ends(_edges(spark, folder, "calls"))
+    if start is None:
+        return spark.createDataFrame([], "steps int, first long, last long, linked boolean")
+    path = cut(graph.shortest_path(links, start, goal))
+    steps = path.alias("a").join(path.alias("b"), F.col("b.position") == F.col("a.position") + 1).select(F.col("a.node").alias("p"), F.col("b.node").alias("q"))
+    both = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    held = steps.join(both, (F.col("p") == F.col("src")) & (F.col("q") == F.col("dst"))).agg(F.count(F.lit(1)).alias("held"))
+    ends = path.agg(F.max("position").alias("steps"), F.min_by("node", "position").alias("first"), F.max_by("node", "position").alias("last"))
+    return ends.where("steps is not null").join(F.broadcast(held)).select("steps", "first", "last", (F.col("held") == F.col("steps")).alias("linked"))
 
 
 @query(f"""WITH RECURSIVE {_EDGES}, {_SEED},
@@ -118,10 +140,9 @@ w AS (SELECT e.src AS node, [seed, e.src] AS path FROM seed JOIN e ON e.dst = se
 SELECT list_aggregate(path, 'string_agg', '>') AS path FROM w WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.dst = w.node)""")
 def gt10_all_simple_paths(spark: SparkSession, folder: str) -> DataFrame:
     # the goals are entry points: symbols that nothing calls
-    links = _edges(spark, folder, "calls")
+    links, seed = _calls(spark, folder)
     called = links.select(F.col("dst").alias("c")).distinct()
-    back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    found = graph.paths(back, _seed(links), 3).join(called, F.col("node") == F.col("c"), "left_anti")
+    found = graph.paths(links, seed, 3, reverse=True).join(called, F.col("node") == F.col("c"), "left_anti")
     return found.select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
@@ -130,9 +151,9 @@ w AS (SELECT e.dst AS node, [seed, e.dst] AS path FROM seed JOIN e ON e.src = se
       UNION ALL SELECT e.dst, list_append(w.path, e.dst) FROM w JOIN e ON e.src = w.node WHERE len(w.path) < 5 AND NOT list_contains(w.path, e.dst))
 SELECT list_aggregate(path, 'string_agg', '>') AS path FROM w WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.src = w.node)""")
 def ga03_leaf_call_chains(spark: SparkSession, folder: str) -> DataFrame:
-    links = _edges(spark, folder, "calls")
+    links, seed = _calls(spark, folder)
     callers = links.select(F.col("src").alias("c")).distinct()
-    found = graph.paths(links, _seed(links), 4).join(callers, F.col("node") == F.col("c"), "left_anti")
+    found = graph.paths(links, seed, 4).join(callers, F.col("node") == F.col("c"), "left_anti")
     return found.select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
@@ -151,60 +172,94 @@ def ga05_file_cycles(spark: SparkSession, folder: str) -> DataFrame:
     return graph.on_cycles(links.where("src <> dst").select("src", "dst").distinct())
 
 
-def _importance(spark: SparkSession, folder: str) -> DataFrame:
-    s = view(spark, folder, "s", "name", "symbol_type", "file_id")
+def _ranking_symbols(spark: SparkSession, folder: str) -> DataFrame:
+    s = view(spark, folder, "s", "name", "symbol_type", "file_id", "qualified_name")
     f = view(spark, folder, "f", "path").select(F.col("id").alias("f_id"), "path")
-    return graph.importance(s.join(f, F.col("file_id") == F.col("f_id"), "left"), _edges(spark, folder))
-
-
-_IMPORTANCE = f"""WITH {_D}, {view_sql("s", "name", "symbol_type", "file_id")}, {view_sql("f", "path")},
-e AS (SELECT DISTINCT from_symbol_id AS src, to_symbol_id AS dst FROM d WHERE from_symbol_id IS NOT NULL AND to_symbol_id IS NOT NULL AND from_symbol_id <> to_symbol_id),
-i AS (SELECT dst AS id, count(*) AS n FROM e GROUP BY dst), o AS (SELECT src AS id, count(*) AS n FROM e GROUP BY src),
-sec AS (SELECT e.dst AS id, sum(i.n) AS n FROM e JOIN i ON i.id = e.src GROUP BY e.dst),
-near AS (SELECT id, count(DISTINCT x) AS n FROM (SELECT src AS id, dst AS x FROM e UNION ALL SELECT a.src, b.dst FROM e a JOIN e b ON b.src = a.dst) GROUP BY id),
-m AS (SELECT s.id, lower(coalesce(s.name, '')) AS nm, s.symbol_type AS st, coalesce(f.path, '') AS p, coalesce(i.n, 0) AS i, coalesce(o.n, 0) AS o, coalesce(sec.n, 0) AS sec, coalesce(near.n, 0) AS near
-      FROM s LEFT JOIN f ON f.id = s.file_id LEFT JOIN i ON i.id = s.id LEFT JOIN o ON o.id = s.id LEFT JOIN sec ON sec.id = s.id LEFT JOIN near ON near.id = s.id),
-c AS (SELECT id, least(sqrt(i * o) / 10, 1.0e0) AS betweenness, least((i * 1.5e0 + o) / 20, 1.0e0) AS degree, least(sec / 50, 1.0e0) AS eigenvector, least(near / 30, 1.0e0) AS closeness,
-  greatest(0.0e0, least(1.0e0, CASE WHEN st IN ('function', 'method') THEN 0.6e0 WHEN st = 'class' THEN 0.7e0 WHEN st = 'component' THEN 0.5e0 WHEN st IN ('property', 'interface') THEN 0.3e0 ELSE 0.5e0 END
-    + CASE WHEN regexp_matches(nm, '\\b(create|update|delete|save|insert|store|destroy|remove)\\b') THEN 0.4e0 ELSE 0.0e0 END
-    + CASE WHEN regexp_matches(nm, '\\b(process|handle|execute|validate|calculate|transform)\\b') THEN 0.3e0 ELSE 0.0e0 END
-    + CASE WHEN p LIKE '%/Service%' OR p LIKE '%/Controller%' THEN 0.2e0 ELSE 0.0e0 END
-    - CASE WHEN regexp_matches(nm, '\\b(log|debug|info|warn|error)\\b') THEN 0.5e0 ELSE 0.0e0 END)) AS semantic FROM m)"""
+    return s.join(f, F.col("file_id") == F.col("f_id"), "left")
+
+
+def _pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return cut(importance.weighted(view(spark, folder, "d", "from_symbol_id", "to_symbol_id", "dependency_type")))
+
+
+def _words(text: str) -> str:
+    return "\\b(" + text + ")\\b"
+
+
+def _importance_sql(depth: str = "NULL") -> str:
+    """Scores by counting rows per symbol; m names the symbols (id, name, symbol_type, qualified_name, path, depth)."""
+    low, file, full = "lower(coalesce(name, ''))", "lower(coalesce(path, ''))", "coalesce(nullif(qualified_name, ''), name, '')"
+    has = lambda c, *ws: "(" + " OR ".join(f"contains({c}, '{w}')" for w in ws) + ")"
+    rx = lambda c, p, flags="c": f"regexp_matches({c}, '{p}', '{flags}')"
+    return f"""
+rows_in AS (SELECT to_symbol_id AS id, count(*) AS n, count(DISTINCT from_symbol_id) AS k FROM d WHERE to_symbol_id IS NOT NULL GROUP BY 1),
+rows_out AS (SELECT from_symbol_id AS id, count(*) AS n, count(DISTINCT to_symbol_id) AS k FROM d WHERE from_symbol_id IS NOT NULL GROUP BY 1),
+rows_second AS (SELECT a.to_symbol_id AS id, count(b.id) AS n FROM d a LEFT JOIN d b ON a.from_symbol_id = b.to_symbol_id WHERE a.to_symbol_id IS NOT NULL GROUP BY 1),
+hops AS (SELECT DISTINCT from_symbol_id AS a, to_symbol_id AS b FROM d WHERE from_symbol_id IS NOT NULL AND to_symbol_id IS NOT NULL),
+rows_near AS (SELECT id, count(DISTINCT x) AS n FROM (SELECT a AS id, b AS x FROM hops UNION SELECT h.a, g.b FROM hops h JOIN hops g ON g.a = h.b) GROUP BY id),
+lang AS (SELECT m.*, CASE WHEN {file} LIKE '%.php' THEN 'php' WHEN {file} LIKE '%.cs' THEN 'csharp' WHEN {file} LIKE '%.ts' OR {file} LIKE '%.js' THEN 'script' WHEN {file} LIKE '%.gd' THEN 'godot'
+  WHEN {full} <> coalesce(name, '') AND contains({full}, chr(92)) THEN 'php' WHEN {full} <> coalesce(name, '') AND {rx(full, '^[A-Z][a-zA-Z0-9]*(\\.[A-Z][a-zA-Z0-9]*)+')} AND NOT contains({full}, '::') THEN 'csharp'
+  WHEN {full} <> coalesce(name, '') AND {rx(full, '^[a-z]+(\\.[a-z]+)+\\.[A-Z]')} THEN 'java' WHEN {full} <> coalesce(name, '') AND {has(full, '@/', '../')} THEN 'script' ELSE 'unknown' END AS lang FROM m),
+stores AS (SELECT *, {rx(low, _words(importance.STORING))} AND CASE lang
+  WHEN 'php' THEN {rx(full, '::(create|insert|update|save|delete|destroy|upsert)\\b', 'i')} OR {rx(full, '\\\\models\\\\', 'i')} OR {has(file, '/models/')} OR {rx(file, '\\b(eloquent|repository)\\b')} OR {has(low, 'repository')}
+  WHEN 'csharp' THEN {rx(low, '\\b(savechanges|add|update|remove|delete|insert|executesql|execute)\\b')} OR {rx(file, '\\b(repository|dbcontext|database|entity)\\b')} OR {has(low, 'repository', 'db')}
+  WHEN 'script' THEN {has(low, 'repository', 'prisma', 'orm')} OR {rx(file, '\\b(model|schema|entity|collection)\\b')}
+  WHEN 'godot' THEN {rx(low, '(save|load)_(resource|scene|config|data|game)')} OR {rx(low, 'resource_?saver|config_?file')}
+  ELSE {has(low, 'repository', 'db', 'database', 'persist')} END AS stores FROM lang),
+parts AS (SELECT m.id, m.stores, m.depth, least(sqrt(coalesce(i.k, 0) * coalesce(o.k, 0)) / 10, 1.0e0) AS betweenness, least((coalesce(i.n, 0) * 1.5e0 + coalesce(o.n, 0)) / 20, 1.0e0) AS degree,
+  least(coalesce(x.n, 0) / 50, 1.0e0) AS eigenvector, least(coalesce(nr.n, 0) / 30, 1.0e0) AS closeness,
+  greatest(0.0e0, least(1.0e0, CASE symbol_type WHEN 'method' THEN 0.6e0 WHEN 'function' THEN 0.6e0 WHEN 'class' THEN 0.7e0 WHEN 'interface' THEN 0.5e0 WHEN 'variable' THEN 0.3e0 WHEN 'property' THEN 0.3e0 ELSE 0.5e0 END
+   + CASE WHEN {rx(low, _words(importance.STORING))} THEN 0.4e0 ELSE 0 END + CASE WHEN {rx(low, _words(importance.PROCESSING))} THEN 0.3e0 ELSE 0 END
+   + CASE WHEN path LIKE '%/Service%' OR path LIKE '%/Controller%' THEN 0.2e0 ELSE 0 END - CASE WHEN {rx(low, _words(importance.REPORTING))} THEN 0.5e0 ELSE 0 END
+   - CASE WHEN {rx(low, '^(' + importance.ANSWERING + ')\\b', 'i')} THEN 0.3e0 ELSE 0 END + coalesce(greatest(0.0e0, (1 - m.depth / 5.0e0) * 0.2e0), 0))) AS semantic
+  FROM stores m LEFT JOIN rows_in i ON i.id = m.id LEFT JOIN rows_out o ON o.id = m.id LEFT JOIN rows_second x ON x.id = m.id LEFT JOIN rows_near nr ON nr.id = m.id),
+plain AS (SELECT *, 0.3e0 * betweenness + 0.2e0 * degree + 0.15e0 * eigenvector + 0.1e0 * closeness + 0.25e0 * semantic AS plain FROM parts),
+scored AS (SELECT *, least(CASE WHEN stores THEN greatest(plain * 2.5e0 - coalesce(depth, 0) * 0.02e0, 0.0e0) ELSE plain END, 1.0e0) AS score FROM plain)"""
+
+
+_RANKED = f"""{_D}, {view_sql("s", "name", "symbol_type", "file_id", "qualified_name")}, {view_sql("f", "path")}"""
+_ALL = "m AS (SELECT s.id, s.name, s.symbol_type, s.qualified_name, f.path, CAST(NULL AS INTEGER) AS depth FROM s LEFT JOIN f ON f.id = s.file_id)"
+_IMPORTANCE = f"WITH {_RANKED}, {_ALL}, {_importance_sql()}"
 
 
 @query(f"""{_IMPORTANCE} SELECT id, round(CAST(betweenness AS DOUBLE), 6) AS betweenness, round(CAST(degree AS DOUBLE), 6) AS degree, round(CAST(eigenvector AS DOUBLE), 6) AS eigenvector,
-round(CAST(closeness AS DOUBLE), 6) AS closeness, round(CAST(semantic AS DOUBLE), 6) AS semantic FROM c""")
+round(CAST(closeness AS DOUBLE), 6) AS closeness, round(CAST(semantic AS DOUBLE), 6) AS semantic, stores AS is_database FROM scored""")
 def ce01_centrality_proxies(spark: SparkSession, folder: str) -> DataFrame:
-    r = _importance(spark, folder)
-    return r.select("id", *[F.round(c, 6).alias(c) for c in ("betweenness", "degree", "eigenvector", "closeness", "semantic")])
+    r = importance.importance(_ranking_symbols(spark, folder), _pairs(spark, folder))
+    return r.select("id", *[F.round(c, 6).alias(c) for c in ("betweenness", "degree", "eigenvector", "closeness", "semantic")], "is_database")
 
 
-@query(f"""{_IMPORTANCE} SELECT id, round(CAST(least(betweenness * 0.3e0 + degree * 0.2e0 + eigenvector * 0.15e0 + closeness * 0.1e0 + semantic * 0.25e0, 1.0e0) AS DOUBLE), 4) AS score FROM c""")
+@query(f"{_IMPORTANCE} SELECT id, round(CAST(score AS DOUBLE), 4) AS score FROM scored")
 def ce07_importance(spark: SparkSession, folder: str) -> DataFrame:
-    return _importance(spark, folder).select("id", F.round("score", 4).alias("score"))
+    scored = importance.importance(_ranking_symbols(spark, folder), _pairs(spark, folder))
+    return scored.select("id", F.round("score", 4).alias("score"))
+
+
+@query(f"{_IMPORTANCE} SELECT id, round(CAST(score AS DOUBLE), 4) AS score, row_number() OVER (ORDER BY score DESC, id) AS place FROM scored QUALIFY place <= 100")
+def ce08_ranked(spark: SparkSession, folder: str) -> DataFrame:
+    """The hundred most important symbols, in order."""
+    scored = importance.importance(_ranking_symbols(spark, folder), _pairs(spark, folder))
+    top = importance.ranked(scored.withColumn("score", F.col("score")), 100)
+    return top.select("id", F.round("score", 4).alias("score"), F.row_number().over(Window.orderBy(F.desc("score"), F.asc("id"))).alias("place"))
 
 
 def gt13_who_calls(spark: SparkSession, folder: str) -> DataFrame:
-    """Callers of the seed up to three steps away with name, file and importance, most important first."""
-    callers = graph.reach(_edges(spark, folder, "calls", reverse=True), _seed_of(spark, folder), 3)
-    s = view(spark, folder, "s", "name", "symbol_type", "file_id")
+    """Callers of the seed up to three steps away with name, file and importance."""
+    links, seed = _calls(spark, folder)
+    callers = cut(graph.reach(links, seed, 3, reverse=True).select("node", "depth"))
+    s = view(spark, folder, "s", "name", "symbol_type", "file_id", "qualified_name")
     f = view(spark, folder, "f", "path").select(F.col("id").alias("f_id"), "path")
-    scores = _importance(spark, folder).select(F.col("id").alias("i_id"), F.round("score", 4).alias("score"))
-    return (
-        callers.join(s, F.col("node") == F.col("id"))
-        .join(f, F.col("file_id") == F.col("f_id"), "left")
-        .join(scores, F.col("node") == F.col("i_id"))
-        .select("node", "depth", "name", "symbol_type", "path", "score")
-    )
+    named = cut(callers.join(s, F.col("node") == F.col("id")).join(f, F.col("file_id") == F.col("f_id"), "left").drop("f_id"))
+    scored = importance.importance(named, _pairs(spark, folder), few=True).select(F.col("id").alias("i_id"), F.round("score", 4).alias("score"))
+    return named.join(scored, F.col("node") == F.col("i_id")).select("node", "depth", "name", "symbol_type", "path", "score")
 
 
-_WHO = _IMPORTANCE.replace("WITH ", "WITH RECURSIVE ", 1)
-query(f"""{_WHO}, ec AS (SELECT DISTINCT from_symbol_id AS src, to_symbol_id AS dst FROM d WHERE from_symbol_id IS NOT NULL AND to_symbol_id IS NOT NULL AND from_symbol_id <> to_symbol_id AND dependency_type = 'calls'),
+query(f"""WITH RECURSIVE {_RANKED}, ec AS (SELECT DISTINCT from_symbol_id AS src, to_symbol_id AS dst FROM d WHERE from_symbol_id IS NOT NULL AND to_symbol_id IS NOT NULL AND from_symbol_id <> to_symbol_id AND dependency_type = 'calls'),
 seed AS (SELECT min(dst) AS seed FROM (SELECT dst FROM ec GROUP BY dst HAVING count(*) BETWEEN 3 AND 8) WHERE dst IN (SELECT src FROM ec)),
 w AS (SELECT seed AS node, 0 AS depth FROM seed UNION SELECT ec.src, w.depth + 1 FROM w JOIN ec ON ec.dst = w.node WHERE w.depth < 3),
-mn AS (SELECT node, min(depth) AS depth FROM w WHERE node <> (SELECT seed FROM seed) GROUP BY node)
-SELECT mn.node, mn.depth, s.name, s.symbol_type, f.path, round(CAST(least(c.betweenness * 0.3e0 + c.degree * 0.2e0 + c.eigenvector * 0.15e0 + c.closeness * 0.1e0 + c.semantic * 0.25e0, 1.0e0) AS DOUBLE), 4) AS score
-FROM mn JOIN s ON s.id = mn.node LEFT JOIN f ON f.id = s.file_id JOIN c ON c.id = mn.node""")(gt13_who_calls)
+mn AS (SELECT node, min(depth) AS depth FROM w WHERE node <> (SELECT seed FROM seed) GROUP BY node),
+m AS (SELECT s.id, s.name, s.symbol_type, s.qualified_name, f.path, mn.depth FROM mn JOIN s ON s.id = mn.node LEFT JOIN f ON f.id = s.file_id), {_importance_sql()}
+SELECT m.id AS node, m.depth, m.name, m.symbol_type, m.path, round(CAST(scored.score AS DOUBLE), 4) AS score FROM m JOIN scored ON scored.id = m.id""")(gt13_who_calls)
 
 
 _S4 = view_sql("s", "name", "signature", "description")
@@ -227,18 +282,18 @@ def se03_fulltext(spark: SparkSession, folder: str) -> DataFrame:
     return search.fulltext(view(spark, folder, "s", "name", "signature", "description"), "merge order")
 
 
-_VEC = """q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0),
-sim AS (SELECT e.vec_id, round(CAST(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.v AS DOUBLE[])) / (sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(q.v AS DOUBLE[])))) AS DOUBLE), 6) AS similarity FROM embeddings e, q)"""
-
-
 def _query_vector(spark: SparkSession, folder: str) -> list[float]:
     row = table(spark, folder, "embeddings").where("vec_id = 0").select("embedding").first()
     return list(row[0]) if row else []
 
 
-@query(f"WITH {_VEC} SELECT vec_id, similarity FROM sim WHERE similarity >= 0.25 ORDER BY similarity DESC, vec_id LIMIT 100")
+@query("""WITH n AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+sim AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.v, q.v), 6) AS similarity FROM n q JOIN n e ON q.vec_id % 20 = 0)
+SELECT query_id, vec_id, similarity FROM sim WHERE similarity >= 0.25 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) <= 100""")
 def se04_vector(spark: SparkSession, folder: str) -> DataFrame:
-    return search.vector(table(spark, folder, "embeddings"), _query_vector(spark, folder), 0.25)
+    """The nearest rows of every row whose id is divisible by 20, exactly."""
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return search.neighbours(vectors.where("vec_id % 20 = 0"), vectors, 0.25)
 
 
 @query()
@@ -316,20 +371,59 @@ def st07_endpoint_diff(spark: SparkSession, folder: str) -> DataFrame:
     return crossstack.coverage(view(spark, folder, "a", *_A), view(spark, folder, "r", "language_primary"))
 
 
-@query(f"""{_CALLS}, k AS (SELECT method, url, string_split(url, '/') AS p FROM routes),
-pairs AS (SELECT a.method, a.url AS url_a, b.url AS url_b, list_sum([CASE WHEN a.p[i] = b.p[i] THEN 1 ELSE 0 END for i in range(1, len(a.p) + 1)]) / len(a.p) AS s
-  FROM k a JOIN k b ON a.method = b.method AND len(a.p) = len(b.p) AND a.p[-1] = b.p[-1] AND a.url < b.url)
-SELECT method, url_a, url_b, round(CAST(s AS DOUBLE), 6) AS similarity FROM pairs WHERE s >= 0.5""")
+_PATTERN = r"""regexp_extract(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(coalesce(endpoint_path, '')), '^`(.*)`$', '\1'), '/+', '/', 'g'), '(.)/$', '\1'), '\$\{\s*([^}]*?)\s*\}', '{\1}', 'g'), '\{([^}?]*)\?([^}]*)\}', '{\1\2}', 'g'), '[''"`]\s*\+\s*([a-zA-Z_$][a-zA-Z0-9_$]*)\s*\+\s*[''"`]', '{\1}', 'g'), '^([^?]*)', 1)"""
+
+
+def _fits(x: str, y: str) -> str:
+    """SQL of two parameter names that can mean the same."""
+    aliases = " OR ".join(f"(lower({x}) IN {g} AND lower({y}) IN {g})" for g in crossstack.ALIASES)
+    root = lambda c: f"lower(regexp_replace({c}, '(_id|Id)$', '', 'i'))"
+    return f"({x} = {y} OR {aliases} OR lower({x}) = replace(lower({y}), '_', '') OR ({root(x)} = {root(y)} AND length({root(x)}) > 2) OR (lower({x}) LIKE '%id' AND lower({y}) LIKE '%id'))"
+
+
+_SIMILAR = f"""WITH {view_sql("a", *_A)}, side AS (SELECT id AS r_id, coalesce(language_primary, '') IN ('javascript', 'typescript', 'vue') AS front FROM repositories),
+u AS (SELECT DISTINCT front, upper(coalesce(http_method, 'GET')) AS method, {_PATTERN} AS url FROM a JOIN side ON r_id = repo_id),
+k AS (SELECT *, list_filter(string_split(url, '/'), lambda s: s <> '') AS p FROM u WHERE url <> ''),
+x AS (SELECT a.method, a.url AS url_a, b.url AS url_b, a.p AS pa, b.p AS pb, len(a.p) AS n FROM k a JOIN k b ON a.front AND NOT b.front AND a.method = b.method AND len(a.p) = len(b.p) WHERE len(a.p) > 0),
+steps AS (SELECT *, unnest(pa) AS sa, unnest(pb) AS sb FROM x),
+c AS (SELECT method, url_a, url_b, any_value(n) AS n, any_value(array_to_string(pa, '/') = array_to_string(pb, '/')) AS same, count(*) FILTER (WHERE sa = sb) AS eq,
+  count(*) FILTER (WHERE sa <> sb AND sa LIKE '{{%}}' AND sb LIKE '{{%}}') AS par, count(*) FILTER (WHERE sa <> sb AND sa LIKE '{{%}}' AND sb LIKE '{{%}}' AND {_fits("sa[2:-2]", "sb[2:-2]")}) AS fit,
+  bool_or(sa LIKE '{{%}}' OR sb LIKE '{{%}}') AS has FROM steps GROUP BY method, url_a, url_b),
+scores AS (SELECT *, CASE WHEN same THEN 1.0e0 ELSE round(CAST(eq AS DOUBLE) / n * 0.6e0 + CAST(par AS DOUBLE) / n * 0.3e0 + CASE WHEN par > 0 THEN CAST(fit AS DOUBLE) / par ELSE 1.0e0 END * 0.1e0, 3) END AS score FROM c),
+found AS (SELECT method, url_a, url_b, CAST(score AS DOUBLE) AS score, CASE WHEN score >= 0.95 AND NOT has THEN 'exact' WHEN score >= 0.7 THEN 'parameters' WHEN score >= 0.5 THEN 'structure' WHEN score >= 0.3 THEN 'partial' ELSE 'none' END AS match_type FROM scores WHERE score >= 0.5e0)"""
+
+
+def _front_and_back(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return crossstack.sides(view(spark, folder, "a", *_A), view(spark, folder, "r", "language_primary"))
+
+
+@query(f"{_SIMILAR} SELECT method, url_a, url_b, score, match_type FROM found")
 def xs03_similar_urls(spark: SparkSession, folder: str) -> DataFrame:
-    """Those pairs of xs03_all_similar_urls whose last segments are equal too, as the SQL twin asks."""
-    tail = [F.element_at(F.split(c, "/"), -1) for c in ("url_a", "url_b")]
-    return xs03_all_similar_urls(spark, folder).where(tail[0] == tail[1])
+    """Pairs of frontend and backend URLs with a similarity of 0.5 or more."""
+    return crossstack.similar(*_front_and_back(spark, folder))
 
 
-@query()
-def xs03_all_similar_urls(spark: SparkSession, folder: str) -> DataFrame:
-    """All pairs of URLs of one method and length with at least half of their segments equal."""
-    return crossstack.similar(view(spark, folder, "a", *_A))
+@query(f"{_SIMILAR} SELECT k.method, k.url, f.url_b AS route, f.score, f.match_type FROM k LEFT JOIN (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY method, url_a ORDER BY score DESC, url_b) = 1) f ON f.method = k.method AND f.url_a = k.url WHERE k.front AND len(k.p) > 0")
+def xs05_relationships(spark: SparkSession, folder: str) -> DataFrame:
+    """Of every frontend URL the backend URL that fits best, if any does."""
+    return crossstack.best_matches(view(spark, folder, "a", *_A), view(spark, folder, "r", "language_primary"))
+
+
+@query(f"""{_SIMILAR}, y AS (SELECT a.method, a.url AS url_a, b.url AS url_b, a.p AS pa, b.p AS pb, least(len(a.p), len(b.p)) AS n FROM k a JOIN k b ON a.front AND NOT b.front AND a.method = b.method WHERE len(a.p) > 0 AND len(b.p) > 0),
+z AS (SELECT method, url_a, url_b, n, list_sum([CASE WHEN pa[i] = pb[i] THEN 1 ELSE 0 END for i in range(1, n + 1)]) AS eq FROM y)
+SELECT method, url_a, url_b, round(CAST(eq AS DOUBLE) / n * 0.6e0, 6) AS score FROM z WHERE CAST(eq AS DOUBLE) / n > 0.3e0""")
+def xs04_fallback_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of URLs of any lengths of which more than 0.3 of the common places are equal."""
+    return crossstack.basic_matches(*_front_and_back(spark, folder))
+
+
+@query(rf"""WITH {view_sql("a", *_A)}, u AS (SELECT DISTINCT endpoint_path, {_PATTERN} AS normalized FROM a)
+SELECT coalesce(endpoint_path, '') AS endpoint_path, normalized, len(list_distinct(regexp_extract_all(normalized, '\{{([^}}]*)\}}', 1))) AS parameters FROM u""")
+def xs02_url_patterns(spark: SparkSession, folder: str) -> DataFrame:
+    """Every spelling of an endpoint with its pattern and number of parameters."""
+    p = crossstack.url_pattern(F.col("endpoint_path"))
+    paths = view(spark, folder, "a", *_A).select("endpoint_path").distinct()
+    return paths.select(F.coalesce("endpoint_path", F.lit("")).alias("endpoint_path"), p["normalized"].alias("normalized"), F.size(p["parameters"]).alias("parameters"))
 
 
 _RS = f"""WITH {view_sql("d", "from_symbol_id", "to_symbol_id", "to_symbol", "to_qualified_name")}, {view_sql("s", "name", "qualified_name", "file_id")}, {view_sql("f", "repo_id")},

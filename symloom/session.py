@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -36,27 +38,61 @@ def local_session(cores: str = "*", **settings: str) -> SparkSession:
     return spark
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors share one machine."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoints(spark: SparkSession) -> str:
-    """The folder for checkpoints: the one the session names, else a temporary one for local runs."""
+    """The folder for checkpoints: the one the session names, else a temporary one, on one machine only.
+
+    A temporary folder is removed when the driver's process ends.
+    """
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current is None:
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="symloom-checkpoints-"))
+        named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            if not is_local(spark):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="symloom-checkpoints-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
         current = sc.getCheckpointDir()
     return current
 
 
+def _folder(spark: SparkSession) -> str:
+    """Where the tables of this application lie."""
+    return f"{ensure_checkpoints(spark).rstrip('/')}/symloom-{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute a frame once, as a table in the checkpoint folder, and go on from that table.
 
     A written table cuts the lineage as checkpoint() does, outlives any
     executor, and carries neither plans nor constraints from round to round.
+    The tables of an application lie in one folder: forget() removes one that
+    nothing reads any more, release() all of them.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoints(spark).rstrip('/')}/symloom-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def as_table(df: DataFrame) -> DataFrame:
+    """cut(), unless the frame is a table already."""
+    return df if hasattr(df, "_cut_path") else cut(df)
 
 
 def cut_counting(df: DataFrame, condition: str = "true") -> tuple[DataFrame, int]:
@@ -66,6 +102,19 @@ def cut_counting(df: DataFrame, condition: str = "true") -> tuple[DataFrame, int
     return out, int(seen.get.get("n") or 0)
 
 
+def forget(df: DataFrame) -> None:
+    """Remove the table behind a frame that cut() gave, once nothing will read it again."""
+    path = getattr(df, "_cut_path", None)
+    if path:
+        _delete(df.sparkSession, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all tables that operators of this application wrote; call it when their results are stored."""
+    if spark.sparkContext.getCheckpointDir() is not None:
+        _delete(spark, _folder(spark))
+
+
 def cores(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 
@@ -75,7 +124,10 @@ def spread(df: DataFrame, waves: int = WAVES) -> DataFrame:
 
     Nothing happens when the scan already has that many splits, as on large inputs.
     """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, "-1", str(2**31 - 1), "2147483647b"):
+        # long texts must not come by the ten thousand; a bound of the session's own stands
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     want = cores(df.sparkSession) * waves
     return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
 
@@ -83,7 +135,7 @@ def spread(df: DataFrame, waves: int = WAVES) -> DataFrame:
 def ship(spark: SparkSession) -> None:
     """Send this package to executors that do not share the driver's files."""
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or sc.master == "local":
+    if is_local(spark):
         return
     root = Path(__file__).resolve().parent
     if not root.is_dir() or getattr(sc, "_symloom_shipped", False):
