@@ -1,14 +1,15 @@
-"""Relational shapes over the code graph: lookups, joins, aggregates, windows, pages, sets and audits."""
+"""Relational operators with the parameters they are registered with, and SQL that says the same on its own."""
 
 from __future__ import annotations
 
-from symloom.plans.sqlquery import build
+from symloom.operators import relations as R
+from symloom.plans.sqlquery import bound, twins
 
 #: The symbol that is called most, as a common table expression for queries about one symbol.
 _HOT = """hot AS (SELECT d0.to_symbol_id AS hot_id FROM {d} d0 JOIN {s} s0 ON s0.id = d0.to_symbol_id
   WHERE d0.dependency_type = 'calls' GROUP BY d0.to_symbol_id ORDER BY count(*) DESC, d0.to_symbol_id LIMIT 1)"""
 
-TEXTS: dict[str, tuple[str, str] | str] = {
+TWINS: dict[str, tuple[str, str] | str] = {
     # scans and writes
     "sc08_symbols_by_repository": "SELECT f.repo_id, s.id, s.name, s.symbol_type FROM {s} s JOIN {f} f ON f.id = s.file_id WHERE f.repo_id = 7",
     "sc09_keyset_batch": "SELECT id, name, description FROM {s} WHERE id > 1500 AND description IS NOT NULL ORDER BY id LIMIT 100",
@@ -17,11 +18,13 @@ TEXTS: dict[str, tuple[str, str] | str] = {
     "sc13_cascade_delete": ("gone AS (SELECT id FROM {f} WHERE repo_id = 3), gone_symbols AS (SELECT s.id FROM {s} s WHERE s.file_id IN (SELECT id FROM gone))", "SELECT d.id, d.from_symbol_id, d.to_symbol_id FROM {d} d WHERE NOT EXISTS (SELECT 1 FROM gone_symbols g WHERE g.id = d.from_symbol_id) AND NOT EXISTS (SELECT 1 FROM gone_symbols g WHERE g.id = d.to_symbol_id)"),
     "sc14_set_null_on_delete": ("gone_symbols AS (SELECT s.id FROM {s} s JOIN {f} f ON f.id = s.file_id WHERE f.repo_id = 3)", "SELECT d.id, CASE WHEN g.id IS NULL THEN d.to_symbol_id END AS to_symbol_id FROM {d} d LEFT JOIN gone_symbols g ON g.id = d.to_symbol_id"),
     "sc15_graph_export_edges": "SELECT DISTINCT 'IN_FILE' AS rel, s.id AS start_id, s.file_id AS end_id FROM {s} s WHERE s.file_id IS NOT NULL UNION ALL SELECT DISTINCT upper(dependency_type), from_symbol_id, to_symbol_id FROM {d} WHERE from_symbol_id IS NOT NULL AND to_symbol_id IS NOT NULL",
+    "sc15_graph_export_nodes": "SELECT 'File' AS label, id AS node_id, path AS name FROM {f} UNION ALL SELECT 'Symbol', id, name FROM {s}",
     "sc18_repository_listing": "SELECT r.id, r.name, r.language_primary, count(f.id) AS files FROM {r} r LEFT JOIN {f} f ON f.repo_id = r.id GROUP BY r.id, r.name, r.language_primary",
     # projections and filters
     "pr01_point_lookup": "SELECT id, name, qualified_name, file_id FROM {s} WHERE id = 1234",
     "pr02_batch_lookup": (_HOT, "SELECT DISTINCT s.id, s.name, s.symbol_type FROM {s} s JOIN {d} d ON d.from_symbol_id = s.id JOIN hot ON hot.hot_id = d.to_symbol_id"),
     "pr03_fuzzy_path": ("hits AS (SELECT id, path, 1 AS priority FROM {f} WHERE path = 'src/index.ts' UNION ALL SELECT id, path, 2 FROM {f} WHERE path LIKE '%/Order%Manager.php' UNION ALL SELECT id, path, 3 FROM {f} WHERE path LIKE '%Manager.%')", "SELECT id, path, priority FROM hits ORDER BY priority, path, id LIMIT 1"),
+    "pr04_nested_rows": "SELECT d.id, CASE WHEN a.id IS NOT NULL THEN CAST(to_json(struct_pack(id := a.id, name := a.name, file := struct_pack(id := fa.id, path := fa.path))) AS VARCHAR) END AS from_symbol, CASE WHEN b.id IS NOT NULL THEN CAST(to_json(struct_pack(id := b.id, name := b.name, file := struct_pack(id := fb.id, path := fb.path))) AS VARCHAR) END AS to_symbol FROM {d} d LEFT JOIN {s} a ON a.id = d.from_symbol_id LEFT JOIN {f} fa ON fa.id = a.file_id LEFT JOIN {s} b ON b.id = d.to_symbol_id LEFT JOIN {f} fb ON fb.id = b.file_id WHERE d.dependency_type IN ('inherits', 'implements')",
     "pr05_escaped_substring": "SELECT id, name FROM {s} WHERE lower(name) LIKE '%!_order%' ESCAPE '!'",
     "pr08_symbols_by_type": "SELECT id, name FROM {s} WHERE symbol_type = 'interface'",
     "pr08_files_by_language": "SELECT id, path FROM {f} WHERE lower(language) = 'vue'",
@@ -41,13 +44,14 @@ TEXTS: dict[str, tuple[str, str] | str] = {
     "jn08_not_exists": "SELECT d.id FROM {d} d WHERE d.to_symbol_id IS NULL AND d.dependency_type <> 'imports' AND NOT EXISTS (SELECT 1 FROM {s} s WHERE s.qualified_name = d.to_qualified_name)",
     "jn09_nested_in": "SELECT id, name FROM {s} WHERE file_id IN (SELECT id FROM {f} WHERE repo_id IN (SELECT id FROM {r} WHERE language_primary = 'php'))",
     "jn10_not_in_paths": "SELECT f.id FROM {f} f WHERE NOT EXISTS (SELECT 1 FROM {source_texts} t WHERE t.repo_id = f.repo_id AND t.path = f.path)",
-    "jn11_two_hop_degree": ("e AS (SELECT DISTINCT from_symbol_id AS a, to_symbol_id AS b FROM {d} WHERE dependency_type = 'inherits' AND from_symbol_id IS NOT NULL AND to_symbol_id IS NOT NULL)", "SELECT x.a AS id, count(DISTINCT y.b) AS two_hops FROM e x JOIN e y ON y.a = x.b GROUP BY x.a"),
+    "jn11_two_hop_degree": ("e AS (SELECT DISTINCT from_symbol_id AS a, to_symbol_id AS b FROM {d} WHERE from_symbol_id IS NOT NULL AND to_symbol_id IS NOT NULL)", "SELECT x.a AS id, count(DISTINCT y.b) AS two_hops FROM e x JOIN e y ON y.a = x.b GROUP BY x.a"),
     "jn12_container_path": "SELECT m.id AS method_id, c.id AS container_id, f.path FROM {s} m JOIN {d} d ON d.to_symbol_id = m.id AND d.dependency_type = 'contains' JOIN {s} c ON c.id = d.from_symbol_id JOIN {f} f ON f.id = c.file_id WHERE m.symbol_type = 'method'",
     "jn13_service_calls": "SELECT DISTINCT k.from_symbol_id AS caller_id, p.id AS service_id FROM {d} k JOIN {s} m ON m.id = k.to_symbol_id JOIN {s} p ON p.id = m.parent_symbol_id WHERE k.dependency_type = 'calls' AND m.symbol_type = 'method' AND p.entity_type = 'service'",
     "jn14_interface_pairs": ("im AS (SELECT DISTINCT d.from_symbol_id AS class_id, d.to_symbol_id AS interface_id FROM {d} d WHERE d.dependency_type = 'implements')", "SELECT im.interface_id, im.class_id, a.id AS interface_method, b.id AS class_method FROM im JOIN {s} a ON a.parent_symbol_id = im.interface_id JOIN {s} b ON b.parent_symbol_id = im.class_id AND b.name = a.name"),
     "jn16_innermost_class": ("pairs AS (SELECT i.id AS inner_id, o.id AS outer_id, row_number() OVER (PARTITION BY i.id ORDER BY o.end_line - o.start_line, o.id) AS rn FROM {s} i JOIN {s} o ON o.file_id = i.file_id AND o.symbol_type = 'class' AND i.id <> o.id AND i.start_line >= o.start_line AND i.end_line <= o.end_line WHERE i.symbol_type IN ('method', 'property'))", "SELECT inner_id, outer_id FROM pairs WHERE rn = 1"),
     "jn19_lateral_aggregate": ("per AS (SELECT file_id, count(*) AS symbols, count(DISTINCT symbol_type) AS kinds FROM {s} GROUP BY file_id)", "SELECT f.id, coalesce(p.symbols, 0) AS symbols, coalesce(p.kinds, 0) AS kinds FROM {f} f LEFT JOIN per p ON p.file_id = f.id"),
     "jn20_scalar_subquery": "SELECT language, count(*) AS files, round(100.0 * count(*) / (SELECT count(*) FROM {f}), 2) AS pct FROM {f} GROUP BY language",
+    "jn21_lateral_rows": ("e AS (SELECT s.file_id, d.id, d.line_number FROM {d} d JOIN {s} s ON s.id = d.from_symbol_id WHERE d.line_number IS NOT NULL AND s.file_id IS NOT NULL)", "SELECT k.file_id, l.id, l.line_number, l.place FROM (SELECT DISTINCT file_id FROM e) k CROSS JOIN LATERAL (SELECT e.id, e.line_number, row_number() OVER (ORDER BY e.line_number DESC, e.id) AS place FROM e WHERE e.file_id = k.file_id QUALIFY place <= 3) l"),
     "jn22_first_source_wins": ("src AS (SELECT endpoint_symbol_id AS id, 'endpoint' AS kind, 1 AS p FROM {a} WHERE endpoint_symbol_id IS NOT NULL UNION ALL SELECT id, 'component', 2 FROM {s} WHERE symbol_type = 'component' UNION ALL SELECT id, 'framework', 3 FROM {x}), ranked AS (SELECT id, kind, row_number() OVER (PARTITION BY id ORDER BY p, kind) AS rn FROM src)", "SELECT id, kind FROM ranked WHERE rn = 1"),
     # aggregates
     "ag01_counts": "SELECT (SELECT count(*) FROM {r}) AS repositories, (SELECT count(*) FROM {f}) AS files, (SELECT count(*) FROM {s}) AS symbols, (SELECT count(*) FROM {d}) AS dependencies",
@@ -85,10 +89,13 @@ TEXTS: dict[str, tuple[str, str] | str] = {
     # sets
     "st01_labelled_metrics": "SELECT 'files' AS metric, count(*) AS value FROM {f} UNION ALL SELECT 'symbols', count(*) FROM {s} UNION ALL SELECT 'edges', count(*) FROM {d} UNION ALL SELECT 'api_calls', count(*) FROM {a}",
     "st04_heterogeneous_edges": "SELECT from_symbol_id AS src, to_symbol_id AS dst, dependency_type AS kind FROM {d} UNION ALL SELECT caller_symbol_id, endpoint_symbol_id, 'api_call' FROM {a}",
+    "st05_linked_ids": "SELECT id FROM (SELECT from_symbol_id AS id FROM {d} UNION SELECT to_symbol_id FROM {d} UNION SELECT caller_symbol_id FROM {a} UNION SELECT endpoint_symbol_id FROM {a}) q WHERE id IS NOT NULL",
     "st06_new_relationships": "SELECT DISTINCT a.caller_symbol_id AS src, a.endpoint_symbol_id AS dst FROM {a} a WHERE a.endpoint_symbol_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {d} d WHERE d.from_symbol_id = a.caller_symbol_id AND d.to_symbol_id = a.endpoint_symbol_id)",
     "st08_intersect_except": "SELECT parent_symbol_id AS id FROM {s} WHERE parent_symbol_id IS NOT NULL INTERSECT SELECT from_symbol_id FROM {d} WHERE dependency_type = 'contains'",
     # lookups of impact and framework data
     "gt16_test_impact": (_HOT, "SELECT DISTINCT f.id AS file_id, f.path FROM {d} d JOIN hot ON hot.hot_id = d.to_symbol_id JOIN {s} s ON s.id = d.from_symbol_id JOIN {f} f ON f.id = s.file_id WHERE f.path LIKE '%test%' OR f.path LIKE '%spec%'"),
+    "gt16_impact_sets": (_HOT + ", k AS (SELECT DISTINCT d.from_symbol_id AS id FROM {d} d JOIN hot ON hot.hot_id = d.to_symbol_id WHERE d.from_symbol_id IN (SELECT id FROM {s}))", "SELECT DISTINCT 'route' AS kind, endpoint_symbol_id AS symbol_id FROM {a} WHERE endpoint_symbol_id IN (SELECT id FROM k) UNION SELECT 'job', s.id FROM {s} s LEFT JOIN {f} f ON f.id = s.file_id WHERE s.id IN (SELECT id FROM k) AND (f.path ILIKE '%/jobs/%' OR s.name LIKE '%Job') UNION SELECT 'test', s.id FROM {s} s JOIN {f} f ON f.id = s.file_id WHERE s.id IN (SELECT id FROM k) AND (f.path ILIKE '%test%' OR f.path ILIKE '%spec%')"),
+    "ga01_relatives": (_HOT, "SELECT DISTINCT 'caller' AS relation, from_symbol_id AS other_id FROM {d} d JOIN hot ON hot_id = to_symbol_id WHERE dependency_type = 'calls' AND from_symbol_id IS NOT NULL UNION SELECT 'implementation', from_symbol_id FROM {d} d JOIN hot ON hot_id = to_symbol_id WHERE dependency_type IN ('implements', 'inherits') AND from_symbol_id IS NOT NULL UNION SELECT 'callee', to_symbol_id FROM {d} d JOIN hot ON hot_id = from_symbol_id WHERE dependency_type = 'calls' AND to_symbol_id <> hot_id UNION SELECT 'parent', to_symbol_id FROM {d} d JOIN hot ON hot_id = from_symbol_id WHERE dependency_type IN ('implements', 'inherits') AND to_symbol_id <> hot_id"),
     "ga01_implementations": "SELECT d.to_symbol_id AS interface_id, d.from_symbol_id AS class_id FROM {d} d WHERE d.dependency_type = 'implements' AND d.to_symbol_id IS NOT NULL GROUP BY d.to_symbol_id, d.from_symbol_id",
     "ga04_direct_recursion": "SELECT DISTINCT from_symbol_id AS id FROM {d} WHERE from_symbol_id = to_symbol_id AND dependency_type = 'calls'",
     "ga06_unused_functions": "SELECT s.id, s.name FROM {s} s WHERE s.symbol_type = 'function' AND NOT coalesce(s.is_exported, false) AND NOT EXISTS (SELECT 1 FROM {d} d WHERE d.to_symbol_id = s.id AND d.dependency_type = 'calls')",
@@ -122,4 +129,114 @@ TEXTS: dict[str, tuple[str, str] | str] = {
     "au12_rollup_cube": "SELECT f.repo_id, s.symbol_type, count(*) AS n FROM {s} s JOIN {f} f ON f.id = s.file_id GROUP BY CUBE (f.repo_id, s.symbol_type)",
 }
 
-QUERIES, ORACLES = build(TEXTS)
+QUERIES = {
+    "sc08_symbols_by_repository": bound(R.symbols_of_repository, repo_id=7),
+    "sc09_keyset_batch": bound(R.described_after, after=1500, size=100),
+    "sc11_upsert_keep_latest": bound(R.upserted, "repo_id", "path", "language", "is_test"),
+    "sc12_insert_skip_rate": lambda spark, folder: R.skip_rate(R.Graph(spark, folder).table("api_calls")),
+    "sc13_cascade_delete": bound(R.without_repository, repo_id=3),
+    "sc14_set_null_on_delete": bound(R.unlinked_from_repository, repo_id=3),
+    "sc15_graph_export_edges": bound(R.exported_edges),
+    "sc15_graph_export_nodes": bound(R.exported_nodes),
+    "sc18_repository_listing": bound(R.repositories_with_files),
+    "pr01_point_lookup": bound(R.symbol_by_id, symbol_id=1234),
+    "pr02_batch_lookup": bound(R.callers_of_most_called),
+    "pr03_fuzzy_path": bound(R.file_by_path, exact="src/index.ts", suffix="%/Order%Manager.php", part="%Manager.%"),
+    "pr04_nested_rows": bound(R.nested_json, "inherits", "implements"),
+    "pr05_escaped_substring": bound(R.names_with, text="_order"),
+    "pr08_symbols_by_type": bound(R.symbols_of_type, "interface"),
+    "pr08_files_by_language": bound(R.files_of_language, language="vue"),
+    "pr13_edge_type_lists": bound(R.edges_of_types, include=["inherits", "implements"], exclude=["contains"]),
+    "pr14_regex_predicate": bound(R.names_like, "^(resolve|merge)[A-Z].*Order$"),
+    "pr15_line_containment": bound(R.containment, inner=["method"], outer=["class"]),
+    "pr16_modified_since": bound(R.modified_since_indexed),
+    "pr17_array_predicates": bound(R.stacks_of_at_least, n=2),
+    "pr19_symbol_with_framework": bound(R.with_framework_symbol, symbol_type="function"),
+    "jn01_symbols_files": bound(R.symbols_with_files),
+    "jn02_edge_with_both_ends": bound(R.edges_with_ends),
+    "jn03_callers_distinct": bound(R.distinct_callers),
+    "jn05_calls_with_endpoint": bound(R.calls_with_endpoint),
+    "jn06_constant_in_on": bound(R.calls_per_symbol),
+    "jn07_never_called": bound(R.never_called, "function", "method"),
+    "jn08_not_exists": bound(R.unknown_targets),
+    "jn09_nested_in": bound(R.symbols_of_primary_language, language="php"),
+    "jn10_not_in_paths": bound(R.files_without_text),
+    "jn11_two_hop_degree": bound(R.two_hop_degree),
+    "jn12_container_path": bound(R.container_paths),
+    "jn13_service_calls": bound(R.service_calls),
+    "jn14_interface_pairs": bound(R.interface_pairs),
+    "jn16_innermost_class": bound(R.innermost_class),
+    "jn19_lateral_aggregate": bound(R.symbols_per_file),
+    "jn20_scalar_subquery": bound(R.share_of_languages),
+    "jn21_lateral_rows": bound(R.latest_edges_of, n=3),
+    "jn22_first_source_wins": bound(R.entity_lookup),
+    "ag01_counts": lambda spark, folder: (lambda g: R.totals(g, repositories=g.r("name"), files=g.f("path"), symbols=g.s("name"), dependencies=g.d("line_number")))(R.Graph(spark, folder)),
+    "ag02_count_distinct": bound(R.ends_per_type),
+    "ag03_distinct_tuples": bound(R.distinct_tuples, "from_symbol_id", "to_symbol_id", "dependency_type", "line_number"),
+    "ag04_filtered_counts": bound(R.file_flags_per_repository),
+    "ag05_having": bound(R.frequent_names, more_than=3),
+    "ag06_group_by_case": bound(R.files_by_ending, endings={".vue": "vue", ".ts": "typescript", ".php": "php", ".cs": "csharp"}),
+    "ag07_min_id_per_key": bound(R.first_id_per_pair),
+    "ag08_percentages": bound(R.described_share),
+    "ag09_roll_ups": bound(R.line_statistics),
+    "ag10_string_agg": bound(R.languages_per_repository),
+    "ag11_parameter_groups": bound(R.parameter_groups),
+    "ag12_parameter_insights": bound(R.parameter_insights),
+    "ag13_health": bound(R.call_health),
+    "ag14_frameworks_per_repository": bound(R.frameworks_per_repository),
+    "ag15_pivot": bound(R.methods_per_repository),
+    "ag17_first_wins": bound(R.first_edge_per_pair),
+    "ag18_most_complete": bound(R.most_complete),
+    "ag19_specific_then_short": bound(R.specific_then_short),
+    "ag21_primary_language": bound(R.primary_language),
+    "wn01_keep_latest": bound(R.keep_latest),
+    "wn02_sample_per_group": bound(R.samples_per_type, n=5),
+    "wn03_count_over": bound(R.siblings),
+    "wn04_share_of_category": bound(R.share_within_type),
+    "so01_order_limit": bound(R.longest_symbols, limit=25),
+    "so02_ranked_choice": bound(R.first_by_rank, "function", "method", "class"),
+    "so03_cursor_page": bound(R.page_after, after=2000, size=50),
+    "so04_offset_page": bound(R.page_at, offset=80, size=40),
+    "so05_page_with_total": bound(R.page_with_total, size=20),
+    "so06_callers_page": bound(R.callers_page, after=1000, size=50),
+    "so10_samples_with_totals": bound(R.samples_with_totals, n=50),
+    "st01_labelled_metrics": bound(R.labelled_metrics),
+    "st04_heterogeneous_edges": bound(R.all_edges),
+    "st05_linked_ids": bound(R.linked_ids),
+    "st06_new_relationships": bound(R.new_relationships),
+    "st08_intersect_except": bound(R.parents_with_edges),
+    "gt16_test_impact": bound(R.tests_touched),
+    "gt16_impact_sets": lambda spark, folder: (lambda g: R.impact_sets(g, R.callers_of_most_called(g)))(R.Graph(spark, folder)),
+    "ga01_implementations": bound(R.implementations),
+    "ga01_relatives": lambda spark, folder: (lambda g: R.relatives(g, R.most_called(g).first()[0]))(R.Graph(spark, folder)),
+    "ga04_direct_recursion": bound(R.self_calls),
+    "ga06_unused_functions": bound(R.unused_functions),
+    "ga07_complexity": bound(R.complexity),
+    "ga08_file_importers": bound(R.file_importers),
+    "ga12_file_edges": bound(R.file_edges),
+    "xs13_feature_clusters": bound(R.feature_clusters),
+    "xs15_multi_framework": bound(R.with_all_frameworks, "vue", "laravel"),
+    "in01_change_detection": bound(R.change_states),
+    "in03_deleted_files": bound(R.deleted_files),
+    "in04_orphan_files": bound(R.orphan_texts),
+    "rs12_resolve_by_name": bound(R.resolved_by_name),
+    "rs13_orphan_edges": bound(R.orphan_edges),
+    "rs19_edges_with_both_ends": bound(R.storable_edges),
+    "se07_qualified_context": bound(R.contexts_with, text="manager"),
+    "se08_method_signatures": bound(R.signatures_with, text="(userId"),
+    "se09_namespace_context": bound(R.namespaces_with, text="store"),
+    "se14_route_substring": bound(lambda g: R.routes(g, text="invoice").select("endpoint_path", "method")),
+    "au01_unresolved_by_type": bound(R.unresolved_by_type),
+    "au02_name_collisions": bound(R.name_collisions),
+    "au03_files_without_symbols": bound(R.files_without_symbols),
+    "au04_lines_out_of_order": bound(R.lines_out_of_order),
+    "au05_cross_language_edges": bound(R.edges_across_languages),
+    "au06_edges_per_month": bound(R.edges_per_month),
+    "au07_store_naming": bound(R.names_like, "^use[A-Z].*Store$", "Store$"),
+    "au08_blank_descriptions": bound(R.description_gaps),
+    "au09_errors_by_repository": bound(R.errors_per_repository),
+    "au10_scene_nodes": bound(R.nodes_per_scene),
+    "au11_signal_edges": bound(R.signals_by_name),
+    "au12_rollup_cube": bound(R.cube_of_types),
+}
+ORACLES = twins(TWINS)

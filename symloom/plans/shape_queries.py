@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symloom.operators import graph
-from symloom.plans.graph_queries import _EDGES, _SEED, _edges, _seed_of
-from symloom.plans.sqlquery import build
+from symloom.operators import relations as R
+from symloom.plans.graph_queries import _EDGES, _SEED, _calls
+from symloom.plans.sqlquery import bound, twins
 from symloom.sources import code
 from symloom.sources.graph import view, view_sql
 from symloom.sources.tables import table
 
-TEXTS: dict[str, tuple[str, str] | str] = {
+TWINS: dict[str, tuple[str, str] | str] = {
     "sc16_json_rows": "SELECT id, to_json(STRUCTOF(id AS id, coalesce(name, '') AS name, coalesce(symbol_type, '') AS type)) AS response FROM {s}",
     "pr09_routes_filtered": "SELECT DISTINCT upper(http_method) AS method, endpoint_path FROM {a} WHERE upper(http_method) = 'POST' AND endpoint_path ILIKE '%order%' ORDER BY method, endpoint_path LIMIT 50",
     "pr10_components": "SELECT s.id, s.name, f.path FROM {s} s JOIN {f} f ON f.id = s.file_id WHERE s.symbol_type = 'component' OR s.entity_type = 'component'",
@@ -54,12 +55,53 @@ TEXTS: dict[str, tuple[str, str] | str] = {
     "dc10_latest_repository": "SELECT id, name FROM {r} ORDER BY last_indexed DESC NULLS LAST, id LIMIT 1",
 }
 
-QUERIES, ORACLES = build(TEXTS)
+QUERIES = {
+    "sc16_json_rows": bound(R.json_rows),
+    "pr09_routes_filtered": bound(R.routes, method="POST", text="order", limit=50),
+    "pr10_components": bound(R.components),
+    "pr11_composables": bound(R.entities_named, entity_type="composable", text="cache"),
+    "pr12_scenes_and_nodes": bound(R.nodes_with_scenes),
+    "pr18_roots_and_children": bound(R.roots_with_children, symbol_type="class"),
+    "jn04_file_edge_join": bound(R.file_edges_of_type, kind="imports"),
+    "jn15_first_container": bound(R.first_container),
+    "ag16_nested_groups": bound(R.type_lists_per_repository),
+    "ag20_slowest_files": bound(R.large_files, more_than=3, limit=10),
+    "so07_truncation_by_rank": bound(R.truncated_by_rank, limit=200),
+    "so08_enum_order": bound(R.types_in_order, order=["class", "interface", "component", "function", "method", "property"]),
+    "so09_threshold_top": bound(R.most_referred, least=5, limit=50),
+    "gt12_impact_class": bound(R.impact_classes),
+    "gt08_cross_stack_impact": bound(R.cross_stack_impact),
+    "gt14_list_dependencies": bound(R.dependencies_of_types, "inherits", "implements", "api_call"),
+    "ce06_database_operations": bound(R.database_operations, verbs={("php",): "^(save|create|update|delete|find|where|insert)", ("csharp",): "^(Save|Add|Update|Remove|Find|Insert|Execute)", ("javascript", "typescript"): "^(save|create|update|delete|find|insert|query)"}),
+    "fd02_roles": bound(R.roles),
+    "fd05_parent_container": bound(R.parent_containers),
+    "fd15_test_symbols": bound(R.symbols_outside_tests),
+    "fd16_inherited_entity": bound(R.inherited_entities),
+    "fd17_related_routes": bound(R.routes_of_methods),
+    "rs03_name_parts": bound(R.name_parts),
+    "rs05_language_compatible": bound(R.language_compatible),
+    "rs06_store_resolver": bound(R.store_targets),
+    "rs09_framework_registry": bound(R.framework_targets),
+    "rs11_route_handlers": bound(R.route_controllers),
+    "rs15_component_hierarchy": bound(R.component_parents),
+    "rs17_scene_scripts": bound(R.scene_scripts),
+    "se13_framework_search": bound(R.framework_search, text="cache", frameworks={"php": "laravel", "vue": "vue"}, limit=30),
+    "se15_entity_heuristics": bound(R.entity_heuristics),
+    "xs06_shared_contracts": bound(R.shared_contracts),
+    "xs07_contract_drift": bound(R.contract_drift),
+    "xs10_best_caller": bound(R.best_callers),
+    "in08_tagged_union": bound(R.tagged_rows),
+    "ig03_size_text": bound(R.size_labels),
+    "dc02_override_set": bound(R.overriding),
+    "dc03_exported_set": bound(R.exported),
+    "dc10_latest_repository": bound(R.latest_repository),
+}
+ORACLES = twins(TWINS)
 
 
 def gt11_call_chains(spark: SparkSession, folder: str) -> DataFrame:
     """Caller paths of the seed as names in order, joined by arrows."""
-    found = graph.paths(_edges(spark, folder, "calls", reverse=True), _seed_of(spark, folder), 3)
+    found = graph.paths(*_calls(spark, folder), 3, reverse=True)
     names = view(spark, folder, "s", "name").select(F.col("id").alias("s_id"), F.coalesce("name", F.lit("?")).alias("name"))
     steps = found.select(F.array_join(F.col("path").cast("array<string>"), ">").alias("ids"), F.posexplode("path").alias("at", "step"))
     named = steps.join(names, F.col("step") == F.col("s_id"), "left").select("ids", "at", F.coalesce("name", F.lit("?")).alias("name"))

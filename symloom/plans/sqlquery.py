@@ -1,9 +1,8 @@
-"""Queries written once in SQL over the graph views, run by Spark and by the twin.
+"""Operators bound to parameters, and the SQL twins they are compared with.
 
-A text names views as {s}, {f}, {d} and so on. For Spark each becomes a
-DataFrame with the columns the text mentions; for the twin a common table
-expression. RX, LISTAGG, MONTH and LIST stand for what the dialects name
-differently.
+A twin names views as {s}, {f}, {d} and so on; each becomes a common table
+expression with the columns the text mentions. RX, LISTAGG, MONTH and STRUCTOF
+stand for what the dialect of the twins calls differently.
 """
 
 from __future__ import annotations
@@ -13,24 +12,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from symloom.sources.graph import VIEWS, view, view_sql
-from symloom.sources.tables import table
+from symloom.sources.graph import VIEWS, Graph, view_sql
 
 _VIEW = re.compile(r"\{(\w+)\}")
 
 
-def _dialect(text: str, spark: bool) -> str:
-    if spark:
-        text = re.sub(r"\bRX\(", "regexp_like(", text)
-        text = text.replace("STRUCTOF(", "struct(")
-        text = re.sub(r"LISTAGG\((.*?) BY (\w+)\)", r"listagg(\1, ', ') WITHIN GROUP (ORDER BY \2)", text)
-        text = re.sub(r"MONTH\((\w+)\)", r"date_format(\1, 'yyyy-MM')", text)
-        return re.sub(r"\bLIST\(", "collect_list(", text)
+def bound(operator: Callable[..., DataFrame], *arguments, **parameters) -> Callable[[SparkSession, str], DataFrame]:
+    """A registered query: an operator on the graph of a folder with its parameters."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        return operator(Graph(spark, folder), *arguments, **parameters)
+
+    run.__name__ = operator.__name__
+    return run
+
+
+def _dialect(text: str) -> str:
     text = re.sub(r"\bRX\(", "regexp_matches(", text)
     text = re.sub(r"STRUCTOF\(((?:[^()]|\([^()]*\))*)\)", lambda m: "struct_pack(" + re.sub(r"((?:[^,()]|\([^()]*\))+) AS (\w+)", r"\2 := \1", m[1]) + ")", text)
     text = re.sub(r"LISTAGG\((.*?) BY (\w+)\)", r"string_agg(\1, ', ' ORDER BY \2)", text)
-    text = re.sub(r"MONTH\((\w+)\)", r"strftime(\1, '%Y-%m')", text)
-    return re.sub(r"\bLIST\(", "list(", text)
+    return re.sub(r"MONTH\((\w+)\)", r"strftime(\1, '%Y-%m')", text)
 
 
 def _used(name: str, text: str) -> list[str]:
@@ -38,36 +39,15 @@ def _used(name: str, text: str) -> list[str]:
     return [c for c in VIEWS[name][1] if re.search(rf"\b{c}\b", text)] or [VIEWS[name][1][0]]
 
 
-def spark_query(ctes: str, select: str) -> Callable[[SparkSession, str], DataFrame]:
-    text = (f"WITH RECURSIVE {ctes} {select}" if "RECURSIVE" not in ctes and ctes else select) if ctes else select
-    names = dict.fromkeys(_VIEW.findall(text))
-
-    def run(spark: SparkSession, folder: str) -> DataFrame:
-        frames = {}
-        for name in names:
-            if name in VIEWS:
-                frames[name] = view(spark, folder, name, *_used(name, text))
-            else:
-                frames[name] = table(spark, folder, name)
-        return spark.sql(_dialect(text, True), **frames)
-
-    return run
-
-
-def oracle(ctes: str, select: str) -> str:
+def twin(ctes: str, select: str) -> str:
     names = dict.fromkeys(_VIEW.findall(ctes + select))
     parts = [view_sql(n, *_used(n, ctes + " " + select)) for n in names if n in VIEWS]
     if ctes:
-        parts.append(_dialect(_VIEW.sub(r"\1", ctes), False))
+        parts.append(_dialect(_VIEW.sub(r"\1", ctes)))
     head = f"WITH RECURSIVE {', '.join(parts)} " if parts else ""
-    return head + _dialect(_VIEW.sub(r"\1", select), False)
+    return head + _dialect(_VIEW.sub(r"\1", select))
 
 
-def build(texts: dict[str, tuple[str, str] | str]) -> tuple[dict, dict]:
-    """Registries of queries and twins from name -> select or (ctes, select)."""
-    queries, oracles = {}, {}
-    for name, text in texts.items():
-        ctes, select = ("", text) if isinstance(text, str) else text
-        queries[name] = spark_query(ctes, select)
-        oracles[name] = oracle(ctes, select)
-    return queries, oracles
+def twins(texts: dict[str, tuple[str, str] | str]) -> dict[str, str]:
+    """SQL of each name, from select or (ctes, select)."""
+    return {name: twin(*(("", text) if isinstance(text, str) else text)) for name, text in texts.items()}

@@ -31,8 +31,9 @@ def view(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFram
     df = table(spark, folder, source)
     if name in _STATIC:
         return df.select("id", *wanted)
-    # ties of updated_at are settled by the columns asked for, so no other column is read
-    return latest(df, "id", [F.col("updated_at").alias("_order")], wanted)
+    # ties of updated_at are settled by the columns asked for, in one order, so no other column is read
+    in_order = [c for c in known if c in wanted]
+    return latest(df, "id", [F.col("updated_at").alias("_order")], in_order).select("id", *wanted)
 
 
 def view_sql(name: str, *columns_: str) -> str:
@@ -42,5 +43,33 @@ def view_sql(name: str, *columns_: str) -> str:
     columns = ", ".join(known)
     if name in _STATIC:
         return f"{name} AS (SELECT id, {columns} FROM {source})"
-    order = ", ".join(f"{c} DESC NULLS LAST" for c in ("updated_at", *known))
+    in_order = [c for c in VIEWS[name][1] if c in known]
+    order = ", ".join(f"{c} DESC NULLS LAST" for c in ("updated_at", *in_order))
     return f"{name} AS (SELECT id, {columns} FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY {order}) AS rn_ FROM {source} WHERE id IS NOT NULL) WHERE rn_ = 1)"
+
+
+class Graph:
+    """The views of one data folder: g.s("name") is the symbols with id and name, and so on for every view."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def __getattr__(self, name: str):
+        if name not in VIEWS:
+            raise AttributeError(name)
+        return lambda *columns: view(self.spark, self.folder, name, *columns)
+
+    def table(self, name: str) -> DataFrame:
+        """A table as it is, repeats included."""
+        return table(self.spark, self.folder, name)
+
+    def prefixed(self, name: str, prefix: str, *columns: str) -> DataFrame:
+        """A view with a prefix before all of its columns, for joins with others of its kind."""
+        df = view(self.spark, self.folder, name, *columns)
+        return df.select(*[F.col(c).alias(prefix + c) for c in df.columns])
+
+    def placed(self, prefix: str = "", symbols: tuple[str, ...] = ("name",), files: tuple[str, ...] = ("path",)) -> DataFrame:
+        """Symbols with columns of their file beside them; symbols without a file have nulls there."""
+        s = self.prefixed("s", prefix, "file_id", *symbols)
+        f = self.prefixed("f", f"{prefix}f_", *files)
+        return s.join(f, F.col(f"{prefix}file_id") == F.col(f"{prefix}f_id"), "left")

@@ -8,10 +8,12 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from symloom.plans import registry
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test data here")
-SAMPLE = ["p2_found", "p2_paths", "p6_found", "p6_by_month", "jn02_edge_with_both_ends", "ag18_most_complete", "gt07_transitive_callers", "ce07_importance", "dc07_dead_code", "rs02_resolution_cascade", "xs03_similar_urls", "se02_lexical", "in06_event_windows"]
+#: Every query of the core that has a twin.
+NAMES = sorted(registry.oracles())
 
 
 def plain(v):
@@ -26,9 +28,10 @@ def plain(v):
     return float(v) if type(v).__name__ == "Decimal" else v
 
 
-@pytest.mark.parametrize("name", SAMPLE)
+@pytest.mark.parametrize("name", NAMES)
 def test_equals_sql(spark, name):
     con = duckdb.connect()
+    con.execute("set threads to 4")
     for path in DATA.glob("*.parquet"):
         con.execute(f"create view {path.stem} as select * from '{path}'")
     df = entry.queries()[name](spark, str(DATA))
