@@ -308,44 +308,68 @@ def se06_hybrid(spark: SparkSession, folder: str) -> DataFrame:
     return search.hybrid({"lexical": lexical, "vector": vectors, "fulltext": fulltext}, 30)
 
 
-_DC_S = ("name", "symbol_type", "file_id", "is_exported", "visibility", "parent_symbol_id")
-_DC = f"""WITH {_D}, {view_sql("s", *_DC_S)}, {view_sql("f", "path", "repo_id", "is_test", "is_generated")},
-dead AS (SELECT s.*, f.path, f.repo_id FROM s JOIN f ON f.id = s.file_id WHERE s.symbol_type IN ('function', 'method')
-  AND NOT EXISTS (SELECT 1 FROM d WHERE d.dependency_type = 'calls' AND d.to_symbol_id = s.id) AND NOT coalesce(f.is_test, false) AND NOT coalesce(f.is_generated, false)
-  AND NOT regexp_matches(lower(coalesce(f.path, '')), '(^|/)(tests?|__tests__|specs?)/|\\.(test|spec)\\.[^/]+$|test\\.(php|cs)$')),
-kept AS (SELECT * FROM dead WHERE name NOT IN ({", ".join(f"'{x}'" for x in deadcode.CALLBACKS)}) AND NOT regexp_matches(name, '^(on|handle)[A-Z]|^__|^test')
-  AND NOT EXISTS (SELECT 1 FROM d WHERE d.dependency_type IN ('implements', 'inherits') AND d.from_symbol_id = dead.parent_symbol_id)
-  AND NOT EXISTS (SELECT 1 FROM d WHERE d.dependency_type = 'signal_connection' AND d.to_symbol_id = dead.id)),
-found AS (SELECT id, name, repo_id, path,
-  CASE WHEN coalesce(is_exported, false) THEN 'dead_public_export' WHEN coalesce(visibility, 'public') = 'private' THEN 'unused_private_method' WHEN symbol_type = 'function' THEN 'unused_function' ELSE 'unused_method' END AS category,
-  CASE WHEN coalesce(visibility, 'public') = 'private' THEN 'high' WHEN coalesce(is_exported, false) THEN 'low' ELSE 'medium' END AS confidence FROM kept)"""
-
-
-def _findings(spark: SparkSession, folder: str) -> DataFrame:
-    return deadcode.findings(
-        view(spark, folder, "s", *_DC_S),
-        view(spark, folder, "d", "from_symbol_id", "to_symbol_id", "dependency_type"),
-        view(spark, folder, "f", "path", "repo_id", "is_test", "is_generated"),
-    )
+_DC_S = ("name", "symbol_type", "entity_type", "file_id", "signature", "is_exported")
+
+
+def _rx(column: str, *groups: tuple[str, ...]) -> str:
+    """SQL of a match with any of some groups of patterns, false for nulls."""
+    one = "|".join(f"(?:{p})" for group in groups for p in group)
+    return f"coalesce(regexp_matches({column}, '{one}'), false)"
+
+
+_DC = f"""WITH {_D}, {view_sql("s", *_DC_S)}, {view_sql("f", "path", "repo_id")},
+dead AS (SELECT s.*, f.path, f.repo_id FROM s JOIN f ON f.id = s.file_id WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.dependency_type = 'calls' AND d.to_symbol_id = s.id)
+  AND NOT ({" OR ".join(f"f.path LIKE '{p}' ESCAPE chr(92)" for p in deadcode.TEST_LIKE)})),
+kept AS (SELECT * FROM dead WHERE symbol_type NOT IN {deadcode.ENTRY_TYPES} AND NOT coalesce(entity_type IN {deadcode.ENTRY_ENTITIES}, false) AND symbol_type NOT IN {deadcode.IMPLICIT_TYPES} AND NOT coalesce(is_exported, false)
+  AND NOT {_rx("name", deadcode.ENTRY_NAMES, deadcode.TEST_NAMES, deadcode.SIGNAL_NAMES, deadcode.KEPT_NAMES)} AND NOT {_rx("path", deadcode.TEST_PATHS)}
+  AND NOT {_rx("signature", deadcode.CALLBACK_SIGNATURES, deadcode.TEST_SIGNATURES, deadcode.IMPLICIT_SIGNATURES, deadcode.SIGNAL_SIGNATURES, deadcode.KEPT_SIGNATURES, deadcode.EXPLICIT_SIGNATURES)}
+  AND NOT ({_rx("name", deadcode.IMPLICIT_NAMES)} AND {_rx("signature", (deadcode.IMPLICIT_BODY,))})),
+pairs AS (SELECT DISTINCT b.id, a.name FROM d JOIN s i ON i.id = d.to_symbol_id AND (i.symbol_type = 'interface' OR i.entity_type = 'interface') JOIN s c ON c.id = d.from_symbol_id
+  JOIN s a ON a.file_id = i.file_id AND (a.symbol_type = 'method' OR a.entity_type = 'interface_method') JOIN s b ON b.file_id = c.file_id AND b.name = a.name AND b.symbol_type IN ('method', 'class_method') WHERE d.dependency_type = 'implements'),
+flags AS (SELECT k.*, EXISTS (SELECT 1 FROM pairs p WHERE p.id = k.id) AS bloat, EXISTS (SELECT 1 FROM d WHERE d.from_symbol_id = k.id AND d.dependency_type IN ('implements', 'inherits', 'extends')) AS heir,
+  {_rx("signature", (r"\bprivate\b", r"\bprotected\b"))} OR coalesce(name, '') LIKE '#%' OR coalesce(name, '') LIKE '!_%' ESCAPE '!' AS hidden, {_rx("name", deadcode.GENERIC_NAMES)} AS generic FROM kept k),
+named AS (SELECT *, CASE WHEN bloat THEN 'interface_bloat' WHEN symbol_type IN ('class', 'type_alias', 'struct') OR coalesce(entity_type = 'class', false) THEN 'dead_class'
+  WHEN (symbol_type = 'method' OR coalesce(entity_type IN ('method', 'class_method'), false)) THEN CASE WHEN hidden THEN 'dead_private_method' ELSE 'dead_public_method' END ELSE 'dead_function' END AS category FROM flags),
+found AS (SELECT id, name, repo_id, path, category, CASE WHEN category IN ('dead_private_method', 'interface_bloat') OR (category IN ('dead_public_method', 'dead_class') AND NOT heir) THEN 'high' WHEN heir OR generic THEN 'low' ELSE 'medium' END AS confidence FROM named)"""
+
+
+def _dead_inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return view(spark, folder, "s", *_DC_S), view(spark, folder, "d", "from_symbol_id", "to_symbol_id", "dependency_type"), view(spark, folder, "f", "path", "repo_id")
 
 
 @query(f"{_DC} SELECT id, name, repo_id FROM dead")
 def dc01_zero_callers(spark: SparkSession, folder: str) -> DataFrame:
-    return deadcode.candidates(
-        view(spark, folder, "s", *_DC_S),
-        view(spark, folder, "d", "from_symbol_id", "to_symbol_id", "dependency_type"),
-        view(spark, folder, "f", "path", "repo_id", "is_test", "is_generated"),
-    ).select("id", "name", "repo_id")
+    return deadcode.candidates(*_dead_inputs(spark, folder)).select("id", "name", "repo_id")
+
+
+@query(f"{_DC} SELECT id FROM dead WHERE id NOT IN (SELECT id FROM kept)")
+def dc05_false_positives(spark: SparkSession, folder: str) -> DataFrame:
+    """Candidates that some rule explains."""
+    return deadcode.candidates(*_dead_inputs(spark, folder)).where(deadcode.is_false_positive()).select("id")
+
+
+@query(f"{_DC} SELECT id, name FROM pairs")
+def dc06_interface_bloat(spark: SparkSession, folder: str) -> DataFrame:
+    """Methods that implement one of an interface, whether they are called or not."""
+    s, d, _ = _dead_inputs(spark, folder)
+    return deadcode.interface_pairs(s, d).select(F.col("implementation_id").alias("id"), F.col("interface_name").alias("name"))
 
 
 @query(f"{_DC} SELECT id, name, repo_id, path, category, confidence FROM found")
 def dc07_dead_code(spark: SparkSession, folder: str) -> DataFrame:
-    return _findings(spark, folder)
+    return deadcode.findings(*_dead_inputs(spark, folder)).select("id", "name", "repo_id", "path", "category", "confidence")
+
+
+@query(f"{_DC} SELECT f.id, f.confidence, n.hidden AS is_private, n.heir AS is_override, n.bloat AS implements_interface FROM found f JOIN named n ON n.id = f.id WHERE f.confidence IN ('high', 'medium') ORDER BY CASE f.confidence WHEN 'high' THEN 0 ELSE 1 END, f.id LIMIT 200")
+def dc09_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """The 200 surest findings of at least medium confidence with their evidence."""
+    found = deadcode.limited(deadcode.findings(*_dead_inputs(spark, folder), threshold="medium"), 200)
+    return found.select("id", "confidence", "evidence.is_private", "evidence.is_override", "evidence.implements_interface")
 
 
 @query(f"{_DC} SELECT category, confidence, count(*) AS findings, count(DISTINCT path) AS files FROM found GROUP BY category, confidence")
 def dc11_dead_code_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return deadcode.summary(_findings(spark, folder))
+    return deadcode.summary(deadcode.findings(*_dead_inputs(spark, folder)))
 
 
 _A = ("repo_id", "caller_symbol_id", "endpoint_symbol_id", "http_method", "endpoint_path")
