@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -82,3 +82,180 @@ def sample_parents(symbols: DataFrame, most: int) -> DataFrame:
     """Symbols with at most so many rows per parent, the smallest ids."""
     order = Window.partitionBy("parent_symbol_id").orderBy("id")
     return symbols.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).drop("n")
+
+
+#: First parts of names that belong to a framework or the standard library (fixed values).
+EXTERNAL = (
+    "Godot", "System", "Variant", "FileAccess", "Json", "Error", "SceneTree", "List", "Dictionary", "HashSet", "Queue", "Stack", "Exception", "ArgumentException", "InvalidOperationException",
+    "DateTime", "TimeSpan", "Guid", "Uri", "Task", "Thread", "Node", "Node2D", "Node3D", "Control", "Resource", "Object", "Vector2", "Vector3", "Color", "Transform2D", "Transform3D",
+    "AnimationPlayer", "AnimationTree", "AudioStreamPlayer", "AudioStreamPlayer2D", "AudioStreamPlayer3D", "Camera2D", "Camera3D", "CollisionShape2D", "CollisionShape3D",
+    "Label", "Button", "TextureRect", "Sprite2D", "Sprite3D", "Timer", "Area2D", "Area3D", "CharacterBody2D", "CharacterBody3D", "RigidBody2D", "RigidBody3D", "StaticBody2D", "StaticBody3D",
+    "TileMap", "NavigationAgent2D", "NavigationAgent3D",
+)
+#: Parts of a name that make it external wherever they stand (fixed values).
+EXTERNAL_PARTS = ("Type", "ModeFlags", "SignalName")
+
+
+def language_group(path: Column) -> Column:
+    """Group of languages whose symbols may refer to each other, by the ending of a path."""
+    return (
+        F.when(path.endswith(".php"), "php").when(path.rlike(r"\.(tsx?|jsx?|vue)$"), "script").when(path.endswith(".cs"), "csharp").when(path.endswith(".py"), "python").otherwise("unknown")
+    )
+
+
+def plain_name(name: Column) -> Column:
+    """A name without type arguments."""
+    return F.regexp_replace(name, r"<.*$", "")
+
+
+def is_external(name: Column) -> Column:
+    parts = F.split(plain_name(name), r"\.")
+    return F.element_at(parts, 1).isin(*EXTERNAL) | ((F.size(parts) > 1) & F.arrays_overlap(parts, F.array(*map(F.lit, EXTERNAL_PARTS))))
+
+
+def is_instance_access(name: Column) -> Column:
+    """Whether a dotted name starts in small letters or with an underscore."""
+    first = F.substring(F.substring_index(name, ".", 1), 1, 1)
+    return F.contains(name, F.lit(".")) & (first != "") & ((first == F.lower(first)) | (first == "_"))
+
+
+def context_class(context: Column) -> Column:
+    """Class that a call's context names, in small letters."""
+    field = F.regexp_replace(F.regexp_replace(context, "^field_call_", ""), "^_", "")
+    return F.lower(F.when(context.startswith("field_call_"), field).otherwise(F.substring_index(context, ".", 1)))
+
+
+def build_edges(dependencies: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """Edges from parsed dependencies to the symbols they mean: id, from_id, to_id, kind, line_number, strategy.
+
+    dependencies: id, from_symbol_id, to_symbol, dependency_type, line_number,
+    calling_object, resolved_class, qualified_context. symbols: id, name,
+    symbol_type, file_id, start_line, parent_symbol_id.
+
+    A name with a qualifier means a member of a class, interface or enum of that
+    name, else of a class that implements an interface of that name, else, unless
+    the qualifier is external or an object, any symbol of the last part's name;
+    languages must fit. A call to one of several symbols takes the one whose
+    class its context names, else the first of that context's implementations,
+    else the first of all; without a context it is dropped as ambiguous, and so
+    is a call on an object of unknown class. Self-edges are calls only, and
+    contained symbols lie in the same file.
+
+    Calls meet names as one row per name, class and language, so a name that a
+    third of all symbols bear costs no product.
+    """
+    place = files.select(F.col("id").alias("f_id"), language_group(F.col("path")).alias("group"))
+    s = symbols.join(place, F.col("file_id") == F.col("f_id"), "left").withColumn("group", F.coalesce("group", F.lit("unknown"))).drop("f_id")
+    named = s.where("name is not null")
+    classes = named.where(F.col("symbol_type").isin("class", "interface")).select(F.col("id").alias("c_id"), F.col("name").alias("c_name"), F.col("file_id").alias("c_file"), F.col("start_line").alias("c_start"))
+    m = named.select(F.col("id").alias("m_id"), F.col("name").alias("m_name"), F.col("file_id").alias("m_file"), F.col("start_line").alias("m_start"), F.col("group").alias("m_group"), F.col("symbol_type").alias("m_type"))
+    members = classes.join(m, (F.col("c_file") == F.col("m_file")) & (F.col("m_start") >= F.col("c_start")) & (F.col("c_id") != F.col("m_id"))).select("c_id", "c_name", "m_id", "m_name", "m_group", "m_file")
+    # constants of enums, by the name of the enum their parent is
+    e = named.where("symbol_type = 'enum'").select(F.col("id").alias("c_id"), F.col("name").alias("c_name"))
+    constants = named.where("symbol_type in ('constant', 'property')").select(F.col("parent_symbol_id").alias("e_id"), F.col("id").alias("m_id"), F.col("name").alias("m_name"), F.col("group").alias("m_group"), F.col("file_id").alias("m_file"))
+    enums = e.join(constants, F.col("c_id") == F.col("e_id")).drop("e_id")
+    direct = members.unionByName(enums)
+    heirs = (
+        dependencies.where(F.col("dependency_type").isin("implements", "inherits") & F.col("to_symbol_id").isNotNull()).select(F.col("from_symbol_id").alias("h_id"), F.col("to_symbol_id").alias("i_id")).distinct()
+        if "to_symbol_id" in dependencies.columns
+        else None
+    )
+    asked = (
+        dependencies.where("from_symbol_id is not null and to_symbol is not null and (calling_object is null or resolved_class is not null)")
+        .select("id", "from_symbol_id", "dependency_type", "line_number", plain_name(F.col("to_symbol")).alias("asked"), F.coalesce("resolved_class", "qualified_context").alias("context"))
+        .join(s.select(F.col("id").alias("o_id"), F.col("group").alias("o_group"), F.col("file_id").alias("o_file")), F.col("from_symbol_id") == F.col("o_id"))
+        .withColumns(
+            {
+                "qualifier": F.when(F.contains("asked", F.lit(".")), F.regexp_extract("asked", r"^(.*)\.[^.]*$", 1)),
+                "member": F.substring_index("asked", ".", -1),
+                "open": ~(F.contains("asked", F.lit(".")) & (is_external(F.col("asked")) | is_instance_access(F.col("asked")))),
+                "wanted": context_class(F.col("context")),
+            }
+        )
+        .drop("o_id", "asked")
+    )
+    # one row per (qualifier, member, language): how many symbols and the first of them
+    tiers = [direct.select(F.col("c_name").alias("q"), "m_id", "m_name", "m_group").distinct().withColumn("tier", F.lit(1))]
+    if heirs is not None:
+        interface = named.select(F.col("id").alias("n_id"), F.col("name").alias("q"))
+        tiers.append(
+            members.join(heirs, F.col("c_id") == F.col("h_id")).join(interface, F.col("i_id") == F.col("n_id")).select("q", "m_id", "m_name", "m_group").distinct().withColumn("tier", F.lit(2))
+        )
+    by_qualifier = tiers[0] if len(tiers) == 1 else tiers[0].unionByName(tiers[1])
+    owner = named.select(F.col("id").alias("p_id"), F.lower("name").alias("p_name"))
+    owned = named.join(owner, F.col("parent_symbol_id") == F.col("p_id"), "left")
+    count, first = F.count(F.lit(1)), F.min("m_id")
+    summed = by_qualifier.groupBy("q", "tier", F.col("m_name").alias("n"), F.col("m_group").alias("g")).agg(count.alias("count"), first.alias("first"))
+    simple = owned.select(F.lit(3).alias("tier"), F.col("name").alias("n"), F.col("group").alias("g"), F.col("id").alias("m_id"), "p_name")
+    all_names = simple.groupBy("tier", "n", "g").agg(count.alias("count"), first.alias("first"))
+    in_class = simple.where("p_name is not null").groupBy("n", "g", "p_name").agg(first.alias("in_class"))
+
+    fits = (F.col("member") == F.col("n")) & (F.col("o_group") == F.col("g"))
+    keys = ["id", "from_symbol_id", "dependency_type", "line_number", "o_file", "o_group", "context", "wanted", "qualifier", "member"]
+    with_q = asked.where("qualifier is not null").join(summed, fits & (F.col("qualifier") == F.col("q"))).select(*keys, "tier", "count", "first")
+    without = asked.where("open").join(all_names, fits).select(*keys, "tier", "count", "first")
+    best = with_q.unionByName(without).groupBy("id").agg(F.min(F.struct("tier", "count", "first", *[F.col(k) for k in keys if k != "id"])).alias("k")).select("id", "k.*")
+
+    # calls: one target each
+    calls = best.where("dependency_type = 'calls'").join(in_class.withColumnsRenamed({"n": "x_n", "g": "x_g"}), (F.col("member") == F.col("x_n")) & (F.col("o_group") == F.col("x_g")) & (F.col("wanted") == F.col("p_name")), "left")
+    one = F.col("count") == 1
+    target = F.when(one, F.col("first")).when(F.col("in_class").isNotNull(), F.col("in_class")).when(F.col("context").isNotNull(), F.col("first"))
+    how = F.when(F.col("tier") == 1, "qualified").when(F.col("tier") == 2, "interface").otherwise("name")
+    strategy = F.when(one, how).when(F.col("in_class").isNotNull(), "context").otherwise("first")
+    resolved = calls.select("id", F.col("from_symbol_id").alias("from_id"), target.alias("to_id"), F.col("dependency_type").alias("kind"), "line_number", strategy.alias("strategy")).where("to_id is not null")
+
+    # other kinds: every target of the best tier
+    rest = best.where("dependency_type <> 'calls'")
+    rows = by_qualifier.select("q", "tier", F.col("m_name").alias("n"), F.col("m_group").alias("g"), "m_id").withColumnRenamed("tier", "r_tier")
+    a = rest.where("tier < 3").join(rows, fits & (F.col("qualifier") == F.col("q")) & (F.col("tier") == F.col("r_tier")))
+    b = rest.where("tier = 3").join(simple.select("n", "g", "m_id"), fits)
+    shape = ["id", F.col("from_symbol_id").alias("from_id"), F.col("m_id").alias("to_id"), F.col("dependency_type").alias("kind"), "line_number", how.alias("strategy")]
+    others = a.select(*shape, "o_file").unionByName(b.select(*shape, "o_file"))
+    home = s.select(F.col("id").alias("t_id"), F.col("file_id").alias("t_file"))
+    others = others.join(home, F.col("to_id") == F.col("t_id")).where("from_id <> to_id and (kind <> 'contains' or o_file = t_file)").drop("o_file", "t_id", "t_file")
+    every = resolved.unionByName(others)
+    # rows of the same edge on one line are one
+    return every.groupBy("from_id", "to_id", "kind", "line_number").agg(F.min(F.struct("id", "strategy")).alias("k")).select("k.id", "from_id", "to_id", "kind", "line_number", "k.strategy")
+
+
+def autoloaded(names: DataFrame, mappings: DataFrame) -> DataFrame:
+    """Files that class names mean under autoloading rules, the longest prefix first: name, path.
+
+    names: name. mappings: prefix, folder; a prefix ends with its separator
+    (a backslash, a dot or a slash) or stands for a whole path such as @/*.
+    Prefixes of names are few, so the rules meet them by equality.
+    """
+    n = names.select("name").where("name is not null").distinct()
+    cuts = F.filter(F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.col("name").substr(F.lit(1), i)), lambda p: p.rlike(r"[\\./]$"))
+    prefixes = n.select("name", F.explode_outer(cuts).alias("prefix_"))
+    rules = mappings.select(F.regexp_replace("prefix", r"\*$", "").alias("rule"), F.regexp_replace("folder", r"\*$", "").alias("folder"))
+    hit = prefixes.join(rules, F.col("prefix_") == F.col("rule"))
+    best = hit.groupBy("name").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "folder")).alias("k"))
+    rest = F.col("name").substr(F.length("k.rule") + 1, F.length("name"))
+    return best.select("name", F.concat(F.regexp_replace("k.folder", "/$", ""), F.lit("/"), F.regexp_replace(rest, r"[\\.]", "/")).alias("path"))
+
+
+def virtual_symbols(imports: DataFrame) -> DataFrame:
+    """Symbols for packages that imports name and no file holds: id (negative, by a hash of the name), name, symbol_type, importers."""
+    outside = imports.where(~F.col("source").rlike(r"^(\.|@/|src/|/)"))
+    package = F.regexp_extract("source", r"^(@[^/]+/[^/]+|[^/]+)", 1)
+    return (
+        outside.groupBy(package.alias("name"))
+        .agg(F.count_distinct("file_id").alias("importers"))
+        .select((-F.abs(F.xxhash64("name") % F.lit(2**62)) - 1).alias("id"), "name", F.lit("external").alias("symbol_type"), "importers")
+    )
+
+
+def route_handlers(routes: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Routes with the method that handles them: the class by name or by the end of its qualified name, then its member.
+
+    routes: file_id, method, path, handler as written ([C::class, 'm'], 'C@m' or c.m).
+    """
+    written = F.col("handler")
+    owner = F.coalesce(*[F.nullif(F.regexp_extract(written, p, 1), F.lit("")) for p in (r"([\w\\]+)::class", r"['\"]([\w\\]+)@\w+", r"^(\w+)\.\w+$")])
+    member = F.coalesce(*[F.nullif(F.regexp_extract(written, p, 1), F.lit("")) for p in (r"::class\s*,\s*['\"](\w+)", r"@(\w+)", r"\.(\w+)$")], F.lit("__invoke"))
+    asked = routes.withColumns({"owner": F.lower(F.substring_index(owner, "\\", -1)), "member": member})
+    c = symbols.where("symbol_type = 'class' and name is not null").groupBy(F.lower("name").alias("c_name")).agg(F.min("id").alias("class_id"))
+    m = symbols.where("symbol_type = 'method' and name is not null").groupBy("parent_symbol_id", F.col("name").alias("m_name")).agg(F.min("id").alias("handler_id"))
+    hit = asked.join(c, F.col("owner") == F.col("c_name"), "left").join(m, (F.col("class_id") == F.col("parent_symbol_id")) & (F.col("member") == F.col("m_name")), "left")
+    return hit.select("file_id", "method", "path", "handler", "class_id", "handler_id")

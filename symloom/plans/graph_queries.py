@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from symloom.functions import exprs as X
-from symloom.operators import crossstack, deadcode, discovery, graph, importance, resolve, search
+from symloom.operators import crossstack, deadcode, graph, importance, resolve, search
 from symloom.session import cut
 from symloom.sources.graph import view, view_sql
 from symloom.sources.tables import table
@@ -493,20 +493,6 @@ def rs14_classify(spark: SparkSession, folder: str) -> DataFrame:
     return resolve.classify(view(spark, folder, "s", "name", "symbol_type", "file_id"), view(spark, folder, "f", "path"))
 
 
-@query()
-def fd06_discover(spark: SparkSession, folder: str) -> DataFrame:
-    return discovery.discover(
-        view(spark, folder, "d", "from_symbol_id", "to_symbol_id", "dependency_type"),
-        view(spark, folder, "a", "caller_symbol_id", "endpoint_symbol_id"),
-        _seed_of(spark, folder),
-    )
-
-
-@query()
-def fd18_manifest(spark: SparkSession, folder: str) -> DataFrame:
-    return discovery.manifest(fd06_discover(spark, folder), view(spark, folder, "s", "entity_type", "symbol_type"))
-
-
 @query(r"WITH " + view_sql("s", "name", "symbol_type") + r""", k AS (SELECT id, regexp_replace(regexp_replace(name, '^(get|set|create|update|delete|fetch|load|save|handle|process|use)([A-Z])', '\2'), '(.)(Controller|Service|Component|Store|Model|Handler|Manager|Repository)$', '\1') AS core FROM s WHERE symbol_type = 'class')
 SELECT id, upper(substr(core, 1, 1)) || substr(core, 2) AS feature FROM k""")
 def fd14_feature_names(spark: SparkSession, folder: str) -> DataFrame:

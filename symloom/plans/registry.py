@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from symloom.plans import data_queries, graph_queries, ingest_queries, relational_queries, shape_queries
+from symloom.plans import data_queries, flow_queries, graph_queries, ingest_queries, relational_queries, sample_queries, shape_queries
 
-_MODULES = (data_queries, relational_queries, graph_queries, ingest_queries, shape_queries)
+_MODULES = (data_queries, relational_queries, graph_queries, ingest_queries, shape_queries, flow_queries, sample_queries)
 
 
 def queries() -> dict:

@@ -61,6 +61,8 @@ _IMPORTS = {
 }
 _EXPORT = re.compile(r"\bexport\s+(?:default\s+)?(?:async\s+)?(?:abstract\s+)?(?:class|function\*?|const|let|var|interface|type|enum)\s+([A-Za-z_$][\w$]*)|\bexport\s*\{([^}]*)\}|\bmodule\.exports\s*=\s*\{([^}]*)\}")
 _CALL = re.compile(r"(?<![\w$.>:])((?:[\w$]+(?:\.|->|::|\?\.|\?->))*)([A-Za-z_][\w$]*)\s*\(")
+#: A declaration that looks like a call of the name after it.
+DECLARES = re.compile(r"\bdelegate\s+[\w<>\[\],.?]+\s+\Z")
 _HTTP = re.compile(
     r"\b(?P<client>axios|\$?fetch|http|api|\$http|request|useFetch)(?:\.(?P<verb>get|post|put|patch|delete))?\s*(?:<[^>]*>)?\(\s*(?P<q>['\"`])(?P<url>[^'\"`\n]*)(?P=q)(?P<rest>[^)\n]{0,200})"
 )
@@ -142,7 +144,7 @@ def symbols(text: str, language: str) -> list[dict]:
                     "start_line": bisect.bisect_right(lines, at),
                     "end_line": bisect.bisect_right(lines, end if end > 0 else at),
                     "is_exported": bool(re.search(r"\b(?:export|public)\b[^;{}]*$", bare[max(0, at - 80) : at])),
-                    "signature": " ".join(code[m.start() : body if body > 0 else m.end()].split())[:400],
+                    "signature": " ".join(code[m.start() : body if body > 0 else m.end()].split()),
                 }
             )
     found.sort(key=lambda x: (x["start"], -x["end"]))
@@ -199,7 +201,7 @@ def calls(text: str, language: str) -> list[tuple[str | None, str, str, int]]:
     heads = {s["start"] for s in around}
     out = []
     for m in _CALL.finditer(bare):
-        if m[2] in _NOT_NAMES or m.start(2) in heads:
+        if m[2] in _NOT_NAMES or m.start(2) in heads or DECLARES.search(bare, max(0, m.start() - 80), m.start()):
             continue
         inside = [s for s in around if s["start"] < m.start() <= s["end"]]
         out.append((inside[-1]["name"] if inside else None, re.sub(r"(?:\?\.|\?->|\.|->|::)$", "", m[1]), m[2], bisect.bisect_right(lines, m.start())))
@@ -283,7 +285,7 @@ def candidates(path: str, source: str) -> list[str]:
     if base.startswith(".."):
         return []
     extensions = (".ts", ".tsx", ".js", ".mjs", ".cjs", ".jsx", ".vue")
-    return [base, *[base + e for e in extensions], *[f"{base}/index{e}" for e in extensions[:4]]]
+    return [base, *[base + e for e in extensions], *[f"{base}/index{e}" for e in extensions]]
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
