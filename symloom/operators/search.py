@@ -19,6 +19,8 @@ from symloom.functions.exprs import contains_ci
 #: Weights of the parts of a hybrid search.
 WEIGHTS = {"lexical": 0.3, "vector": 0.4, "fulltext": 0.3}
 
+#: What a cover without other words adds to a rank (fixed value).
+COVER = 0.1
 #: Query vectors that are compared with all rows at once.
 QUERY_BLOCK = 2_048
 #: Symbol types that a search for an entity looks at (fixed values).
@@ -50,26 +52,48 @@ def lexical(symbols: DataFrame, query: str, limit: int = 30) -> DataFrame:
     )
 
 
-def words_column(*columns: str) -> Column:
-    """Distinct lower-case words of some columns, camel case taken apart."""
+def word_list(*columns: str) -> Column:
+    """Lower-case words of some columns in their order, camel case taken apart."""
     text = F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in columns])
     apart = F.regexp_replace(text, r"([a-z0-9])([A-Z])", "$1 $2")
-    return F.array_distinct(F.filter(F.split(F.lower(apart), r"[^a-z0-9]+"), lambda x: x != ""))
+    return F.filter(F.split(F.lower(apart), r"[^a-z0-9]+"), lambda x: x != "")
 
 
-def fulltext(symbols: DataFrame, query: str, limit: int = 100) -> DataFrame:
-    """Symbols that hold every word of the query, by the share of their words that match.
+def cover_density(words: Column, query: list[str]) -> Column:
+    """Rank of a text by its covers: the shortest stretches that hold every word of the query.
 
-    The rank is matched words over all words, a stand-in for cover density.
+    A cover adds COVER / (1 + its words that are none of the query's). Zero
+    where a word is missing.
     """
-    words = [w for w in re.split(r"[^a-z0-9]+", query.lower()) if w]
+    wanted = F.array(*map(F.lit, query))
+    places = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(wanted, w), F.struct(i.alias("at"), w.alias("word")))), lambda x: x.isNotNull())
+    starts = F.transform(places, lambda x: x["at"])
+
+    def end(p: Column) -> Column:
+        # the last of the first places of every word from p on, null where one does not come any more
+        firsts = F.transform(wanted, lambda w: F.array_min(F.transform(F.filter(places, lambda x: (x["word"] == w) & (x["at"] >= p)), lambda x: x["at"])))
+        return F.when(~F.exists(firsts, lambda x: x.isNull()), F.array_max(firsts))
+
+    spans = F.filter(F.transform(starts, lambda p: F.struct(p.alias("a"), end(p).alias("b"))), lambda x: x["b"].isNotNull())
+    shortest = F.filter(spans, lambda x: ~F.exists(spans, lambda y: (y["b"] == x["b"]) & (y["a"] > x["a"])))
+
+    def noise(x: Column) -> Column:
+        held = F.size(F.filter(starts, lambda s: (s >= x["a"]) & (s <= x["b"])))
+        return x["b"] - x["a"] - (held - 1)
+
+    return F.aggregate(shortest, F.lit(0.0), lambda total, x: total + F.lit(COVER) / (1 + noise(x)))
+
+
+def fulltext(symbols: DataFrame, query: str, limit: int = 100) -> DataFrame:
+    """Symbols that hold every word of the query, by the density of their covers; words are not stemmed."""
+    words = list(dict.fromkeys(w for w in re.split(r"[^a-z0-9]+", query.lower()) if w))
     if not words:
         return symbols.select("id", "name").withColumn("rank", F.lit(0.0)).where("false")
-    held = symbols.select("id", "name", words_column("name", "signature", "description").alias("words"))
-    every = F.size(F.array_intersect("words", F.array(*map(F.lit, dict.fromkeys(words))))) == len(set(words))
+    held = symbols.select("id", "name", word_list("name", "signature", "description").alias("words"))
+    every = F.size(F.array_intersect("words", F.array(*map(F.lit, words)))) == len(words)
     return (
         held.where(every)
-        .select("id", "name", F.round(F.lit(float(len(set(words)))) / F.size("words"), 6).alias("rank"))
+        .select("id", "name", F.round(cover_density(F.col("words"), words), 6).alias("rank"))
         .orderBy(F.desc("rank"), F.asc("name"), F.asc("id"))
         .limit(limit)
     )

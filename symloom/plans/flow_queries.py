@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from symloom.functions import exprs as X
 from symloom.operators import discovery, flow, graph, resolve, search
 from symloom.operators import relations as R
-from symloom.plans.graph_queries import _EDGES, _SEED, _calls, _ends, _seed
+from symloom.plans.graph_queries import _EDGES, _SEED, FULLTEXT, _calls, _ends, _seed
 from symloom.session import cut
 from symloom.sources import code, writing
 from symloom.sources.graph import Graph, view, view_sql
@@ -140,8 +140,7 @@ def gt15_trace_flow(spark: SparkSession, folder: str) -> DataFrame:
 _FIELDS = ("name", "signature", "description", "qualified_name")
 
 
-@query(f"""WITH {view_sql("s", *_FIELDS)}, held AS (SELECT id, name, list_distinct([x for x in string_split_regex(lower(regexp_replace(coalesce(name, '') || ' ' || coalesce(signature, '') || ' ' || coalesce(description, ''), '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+') if x <> '']) AS w FROM s)
-SELECT id, name, 'fulltext' AS way FROM held WHERE list_contains(w, 'order') AND list_contains(w, 'merge') ORDER BY round(2.0 / len(w), 6) DESC, name, id LIMIT 30""")
+@query(f"WITH {view_sql('s', *_FIELDS)}, {FULLTEXT} SELECT id, name, 'fulltext' AS way FROM ft ORDER BY rank DESC, name, id LIMIT 30")
 def se01_default_search(spark: SparkSession, folder: str) -> DataFrame:
     return search.search(view(spark, folder, "s", *_FIELDS), "merge order")
 
@@ -365,7 +364,14 @@ def fd03_directions(spark: SparkSession, folder: str) -> DataFrame:
     return view(spark, folder, "s", "symbol_type", "entity_type").select("id", discovery.role(kind, entity).alias("role"), discovery.direction(kind, entity, F.lit(None).cast("string")).alias("going"))
 
 
-@query()
+@query(f"""{_FD}, r AS (SELECT id, symbol_type AS st, coalesce(entity_type, '') AS en, CASE WHEN symbol_type IN ('method', 'function') OR coalesce(entity_type, '') = 'composable' THEN 'executor' WHEN coalesce(entity_type, '') IN {discovery.ENTITIES} THEN CASE WHEN symbol_type = 'class' THEN 'container' ELSE 'entity' END
+  WHEN symbol_type = 'class' THEN 'container' WHEN coalesce(entity_type, '') = 'store' THEN 'entity' WHEN symbol_type = 'file' THEN 'container' ELSE 'data' END AS role FROM s),
+j AS (SELECT e.*, a.role AS ar, a.en AS ae, b.role AS br, b.en AS be, b.st AS bt FROM e JOIN r a ON a.id = src JOIN r b ON b.id = dst WHERE src <> dst),
+f AS (SELECT src, dst, CASE WHEN (ar = 'executor' AND (kind IN ('calls', 'api_call', 'contains') OR (kind = 'references' AND be IN {discovery.ENTITIES}))) OR (ar = 'entity' AND (kind IN ('calls', 'api_call') OR (kind = 'references' AND be IN {discovery.REFERRED}))) OR (ar = 'container' AND kind = 'contains') THEN 'always'
+  WHEN kind = 'references' AND be NOT IN {discovery.REFERRED} AND (ar = 'executor' OR (ar = 'entity' AND ae <> 'component')) THEN 'near' END AS how FROM j),
+k AS (SELECT DISTINCT src, dst, 'forward' AS way, CASE how WHEN 'near' THEN 2 END AS most FROM f WHERE how IS NOT NULL
+  UNION SELECT DISTINCT dst, src, 'backward', NULL FROM j WHERE kind IN ('calls', 'api_call', 'contains') OR (kind = 'references' AND (be IN ('composable', 'model') OR (br = 'executor' AND bt = 'function'))))
+SELECT way, most, count(*) AS edges FROM k GROUP BY way, most""")
 def fd04_role_edges(spark: SparkSession, folder: str) -> DataFrame:
     """Number of edges a traversal may take, by way and depth."""
     symbols, edges, _ = _discovery(spark, folder)

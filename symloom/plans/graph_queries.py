@@ -97,13 +97,14 @@ def ga02_call_depth(spark: SparkSession, folder: str) -> DataFrame:
     return gt07_transitive_callers(spark, folder).groupBy("depth").agg(F.count(F.lit(1)).alias("nodes"))
 
 
-@query()
+@query(f"{_REACH.replace('w.depth < 5', 'w.depth < 10')} SELECT node, min(depth) AS depth FROM w WHERE node <> (SELECT seed FROM seed) GROUP BY node")
 def gt07_callers_default_depth(spark: SparkSession, folder: str) -> DataFrame:
-    """Transitive callers down to the default depth; gt07_transitive_callers stops where its SQL twin does."""
+    """Transitive callers down to the default depth."""
     return graph.reach(*_calls(spark, folder), reverse=True).select("node", "depth")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_EDGES}, {_SEED}, w(node, depth) USING KEY (node) AS (SELECT seed, 0 FROM seed UNION SELECT e.src, min(w.depth) + 1 FROM w JOIN e ON e.dst = w.node LEFT JOIN recurring.w AS r ON r.node = e.src WHERE r.node IS NULL GROUP BY e.src)
+SELECT depth, count(*) AS nodes FROM w WHERE depth > 0 GROUP BY depth""")
 def ga02_full_call_depth(spark: SparkSession, folder: str) -> DataFrame:
     """Callers on every level until there is none left; ga02_call_depth stops where its SQL twin does."""
     found = graph.reach(*_calls(spark, folder), None, reverse=True)
@@ -273,11 +274,14 @@ def se02_lexical(spark: SparkSession, folder: str) -> DataFrame:
     return search.lexical(view(spark, folder, "s", "name", "signature", "description"), "Order ledger")
 
 
-_FT = """held AS (SELECT id, name, list_distinct([x for x in string_split_regex(lower(regexp_replace(coalesce(name, '') || ' ' || coalesce(signature, '') || ' ' || coalesce(description, ''), '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+') if x <> '']) AS w FROM s)"""
+#: Ranks of the symbols with both words: of two words the covers are neighbouring places of different ones.
+FULLTEXT = """words AS (SELECT id, name, [x for x in string_split_regex(lower(regexp_replace(coalesce(name, '') || ' ' || coalesce(signature, '') || ' ' || coalesce(description, ''), '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+') if x <> ''] AS w FROM s),
+places AS (SELECT id, name, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS word FROM words WHERE list_contains(w, 'order') AND list_contains(w, 'merge')),
+steps AS (SELECT id, name, pos, word, lag(pos) OVER o AS before, lag(word) OVER o AS other FROM places WHERE word IN ('order', 'merge') WINDOW o AS (PARTITION BY id ORDER BY pos)),
+ft AS (SELECT id, name, round(sum(CASE WHEN other <> word THEN 0.1e0 / (pos - before) ELSE 0 END), 6) AS rank FROM steps GROUP BY id, name)"""
 
 
-@query(f"""WITH {_S4}, {_FT}
-SELECT id, name, round(2.0 / len(w), 6) AS rank FROM held WHERE list_contains(w, 'order') AND list_contains(w, 'merge') ORDER BY rank DESC, name, id LIMIT 100""")
+@query(f"WITH {_S4}, {FULLTEXT} SELECT id, name, rank FROM ft ORDER BY rank DESC, name, id LIMIT 100")
 def se03_fulltext(spark: SparkSession, folder: str) -> DataFrame:
     return search.fulltext(view(spark, folder, "s", "name", "signature", "description"), "merge order")
 
@@ -296,7 +300,14 @@ def se04_vector(spark: SparkSession, folder: str) -> DataFrame:
     return search.neighbours(vectors.where("vec_id % 20 = 0"), vectors, 0.25)
 
 
-@query()
+@query(f"""WITH {_S4}, {FULLTEXT},
+k AS (SELECT id, name, {" + ".join(f"CASE WHEN contains(lower(coalesce({c}, '')), '{w}') THEN 1 ELSE 0 END" for w in ("merge", "order") for c in ("name", "signature", "description"))} AS score,
+  CASE WHEN lower(coalesce(name, '')) = 'merge' THEN 1000 WHEN starts_with(lower(coalesce(name, '')), 'merge') THEN 100 WHEN contains(lower(coalesce(name, '')), 'merge') THEN 10 ELSE 0 END AS boost FROM s),
+p1 AS (SELECT id, row_number() OVER (ORDER BY score DESC, boost DESC, name, id) - 1 AS pos FROM k WHERE score > 0 QUALIFY pos < 21),
+p2 AS (SELECT id, row_number() OVER (ORDER BY rank DESC, name, id) - 1 AS pos FROM ft QUALIFY pos < 21),
+p3 AS (SELECT e.vec_id AS id, row_number() OVER (ORDER BY round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) DESC, e.vec_id) - 1 AS pos FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) >= 0 QUALIFY pos < 21),
+parts AS (SELECT id, greatest(0.1e0, 1 - CAST(pos AS DOUBLE) / (SELECT count(*) FROM p1)) * 0.3e0 AS part FROM p1 UNION ALL SELECT id, greatest(0.1e0, 1 - CAST(pos AS DOUBLE) / (SELECT count(*) FROM p2)) * 0.3e0 FROM p2 UNION ALL SELECT id, greatest(0.1e0, 1 - CAST(pos AS DOUBLE) / (SELECT count(*) FROM p3)) * 0.4e0 FROM p3)
+SELECT id, round(sum(part), 6) AS score FROM parts GROUP BY id ORDER BY score DESC, id LIMIT 30""")
 def se06_hybrid(spark: SparkSession, folder: str) -> DataFrame:
     """Lexical and full-text hits and the neighbours of a vector, each at most 21, as one ranked list of 30."""
     s = view(spark, folder, "s", "name", "signature", "description")

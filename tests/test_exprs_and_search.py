@@ -36,14 +36,57 @@ def test_vector_and_hybrid(spark):
     assert [r.id for r in search.hybrid({"lexical": ranked, "vector": ranked}, 5).collect()] == [7, 8]
 
 
+def test_cover_density(spark):
+    from itertools import product
+
+    texts = ["a x b", "a b", "b a a b", "x y", "a x x x b x a", "c a b c", "a c x b a b c", ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, name string").withColumns({"signature": search.F.lit(None).cast("string"), "description": search.F.lit("")})
+    for query in (["a", "b"], ["a", "b", "c"], ["a"]):
+        want = {}
+        for i, t in enumerate(texts):
+            w = t.split()
+            spans = [(p, q) for p, q in product(range(len(w)), repeat=2) if p <= q and set(query) <= set(w[p : q + 1])]
+            least = [(p, q) for p, q in spans if not any((p, q) != (c, d) and p <= c and d <= q for c, d in spans)]
+            if least:
+                want[i] = round(sum(0.1 / (1 + sum(x not in query for x in w[p : q + 1])) for p, q in least), 6)
+        assert {r.id: r.rank for r in search.fulltext(df, " ".join(query)).collect()} == want
+
+
+def test_neighbours_equal_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(search, "QUERY_BLOCK", 3)
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=4).round(2).tolist()) for i in range(40)] + [(40, None), (41, [1.0]), (42, [0.0] * 4), (None, [1.0] * 4)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id, r.similarity) for r in search.neighbours(v.where("vec_id % 5 = 0"), v, 0.1, 4).collect()}
+    want = set()
+    for q, a in rows[:40:5]:
+        near = []
+        for i, b in rows[:40]:
+            s = round(float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b))), 6)
+            if s >= 0.1:
+                near.append((-s, i))
+        want |= {(q, i, -s) for s, i in sorted(near)[:4]}
+    assert got == want
+    assert search.neighbours(v.where("false"), v).collect() == []
+
+
 def test_dead_code_and_routes(spark):
-    s = spark.createDataFrame([(1, "a", "function", 9, False, None, None), (2, "b", "function", 9, True, None, None), (3, "main", "function", 9, False, None, None)], "id long, name string, symbol_type string, file_id long, is_exported boolean, visibility string, parent_symbol_id long")
-    f = spark.createDataFrame([(9, 1, "src/a.ts", False, False)], "id long, repo_id long, path string, is_test boolean, is_generated boolean")
-    d = spark.createDataFrame([(3, 1, "calls")], "from_symbol_id long, to_symbol_id long, dependency_type string")
-    assert [(r.id, r.category) for r in deadcode.findings(s, d, f).collect()] == [(2, "dead_public_export")]
+    schema = "id long, file_id long, name string, symbol_type string, entity_type string, signature string, is_exported boolean"
+    rows = [
+        (1, 9, "a", "function", None, None, False), (2, 9, "b", "function", None, None, True), (3, 9, "main", "function", None, None, False), (4, 9, "run", "function", None, None, False), (5, 9, "go", "method", None, "private void go()", False),
+        (6, 9, "x", "property", None, None, False), (7, 9, "Kit", "class", None, None, None), (8, 9, None, "method", None, None, None), (9, 9, "Face", "interface", None, None, False), (10, 9, "act", "method", None, None, False), (11, 8, "t", "function", None, None, False), (12, None, "no", "function", None, None, False),
+    ]
+    s = spark.createDataFrame(rows, schema)
+    f = spark.createDataFrame([(9, 1, "src/a.ts"), (8, 1, "src/a.test.ts")], "id long, repo_id long, path string")
+    d = spark.createDataFrame([(3, 1, "calls"), (7, 9, "implements"), (None, None, "calls")], "from_symbol_id long, to_symbol_id long, dependency_type string")
+    got = {r.id: (r.category, r.confidence) for r in deadcode.findings(s, d, f, include_exports=True).collect()}
+    assert got == {2: ("unused_export", "low"), 4: ("dead_function", "low"), 5: ("interface_bloat", "high"), 7: ("dead_class", "low"), 9: ("dead_function", "medium"), 10: ("interface_bloat", "high"), 8: ("dead_public_method", "high")}
+    assert {r.id for r in deadcode.findings(s, d, f, threshold="high").collect()} == {5, 8, 10}
+    assert deadcode.findings(s.where("false"), d, f).collect() == []
     calls = spark.createDataFrame([(1, 1, 5, 8, "get", "/A/{x}"), (2, 1, 6, None, "GET", "a/:id/")], "id long, repo_id long, caller_symbol_id long, endpoint_symbol_id long, http_method string, endpoint_path string")
     assert [(r.id, r.handler_id) for r in crossstack.matched(calls).collect()] == [(2, 8)]
-    assert resolve.RULES[0][1] == "controller"
 
 
 def test_snapshots(spark):

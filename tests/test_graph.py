@@ -55,3 +55,30 @@ def test_empty(spark):
     none = links(spark, [])
     assert graph.reach(none, seed(spark, 1), 3).collect() == []
     assert graph.on_cycles(none).collect() == []
+
+
+def test_cycles_equal_reachability(spark):
+    import random
+
+    rng = random.Random(4)
+    for n, m in ((12, 18), (30, 45)):
+        pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]
+        after = {v: {b for a, b in pairs if a == v} for v in range(n)}
+
+        def reached(v, after=after):
+            seen, todo = set(), [v]
+            while todo:
+                for b in after[todo.pop()] - seen:
+                    seen.add(b)
+                    todo.append(b)
+            return seen
+
+        want = {(a, b) for a, b in pairs if a != b and a in reached(b)}
+        assert {(r.src, r.dst) for r in graph.on_cycles(links(spark, pairs)).collect()} == want
+
+
+def test_long_shortest_path(spark):
+    chain = links(spark, [(i, i + 1) for i in range(26)] + [(3, 50), (50, 5)])
+    assert [r.node for r in graph.shortest_path(chain, 0, 26).orderBy("position").collect()] == list(range(27))
+    assert graph.shortest_path(chain, 0, 26, 20).count() == 0
+    assert [r.node for r in graph.shortest_path(chain, 4, 4).collect()] == [4]

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from symloom.operators import hierarchy as H
 from symloom.operators.hierarchy import descendants, hierarchy
 
 SCHEMA = "id long, parent long, name string, extra int"
@@ -59,3 +60,13 @@ def test_nulls_and_empty_table(spark):
     assert hierarchy(spark.createDataFrame([], SCHEMA), "id", "parent", "name").collect() == []
     df = spark.createDataFrame([(None, 1, "x", 0), (0, None, "z", 0), (-5, 0, None, 0)], SCHEMA)
     assert sorted((r.node_id, r.root_id, r.depth) for r in hierarchy(df, "id", "parent").collect()) == [(-5, 0, 1), (0, 0, 0)]
+
+
+def test_descendants_below_circles(spark):
+    rows = [(1, 2, "a"), (2, 3, "b"), (3, 1, "c"), (4, 2, "d"), (5, 4, "e"), (6, 5, "f"), (7, None, "g"), (8, 7, "h"), (9, 9, "i"), (10, 9, "j")]
+    links = spark.createDataFrame(rows, "id long, parent long, name string")
+    tree = H.hierarchy(links, "id", "parent", "name")
+    members = H.circle_members(links, tree, "id", "parent")
+    assert {(r.id, r.circle, r.on_circle) for r in members.collect()} == {(1, 1, True), (2, 1, True), (3, 1, True), (4, 1, False), (5, 1, False), (6, 1, False), (9, 9, True), (10, 9, False)}
+    got = {(r.ancestor_id, r.descendant_id, r.distance) for r in H.descendants(tree, members).collect()}
+    assert got == {(2, 4, 1), (2, 5, 2), (2, 6, 3), (4, 5, 1), (4, 6, 2), (5, 6, 1), (7, 8, 1), (9, 10, 1)}
