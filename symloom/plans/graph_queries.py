@@ -245,13 +245,17 @@ def ce08_ranked(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def gt13_who_calls(spark: SparkSession, folder: str) -> DataFrame:
-    """Callers of the seed up to three steps away with name, file and importance."""
-    links, seed = _calls(spark, folder)
+    """Callers of the seed up to three steps away with name, file and importance; the dependencies are scanned once."""
+    d = view(spark, folder, "d", "from_symbol_id", "to_symbol_id", "dependency_type")
+    typed = cut(d.where("from_symbol_id is not null or to_symbol_id is not null").groupBy(F.col("from_symbol_id").alias("src"), F.col("to_symbol_id").alias("dst"), "dependency_type").agg(F.count(F.lit(1)).alias("n")))
+    links = cut(typed.where("dependency_type = 'calls' and src <> dst").select("src", "dst"))
+    seed = _seed(links)
     callers = cut(graph.reach(links, seed, 3, reverse=True).select("node", "depth"))
     s = view(spark, folder, "s", "name", "symbol_type", "file_id", "qualified_name")
     f = view(spark, folder, "f", "path").select(F.col("id").alias("f_id"), "path")
     named = cut(callers.join(s, F.col("node") == F.col("id")).join(f, F.col("file_id") == F.col("f_id"), "left").drop("f_id"))
-    scored = importance.importance(named, _pairs(spark, folder), few=True).select(F.col("id").alias("i_id"), F.round("score", 4).alias("score"))
+    pairs = typed.groupBy("src", "dst").agg(F.sum("n").alias("n"))
+    scored = importance.importance(named, pairs, few=True).select(F.col("id").alias("i_id"), F.round("score", 4).alias("score"))
     return named.join(scored, F.col("node") == F.col("i_id")).select("node", "depth", "name", "symbol_type", "path", "score")
 
 
