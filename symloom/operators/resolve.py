@@ -53,29 +53,76 @@ def link_parents(symbols: DataFrame) -> DataFrame:
     return best.select("id", F.col("best.parent_id").alias("parent_id"))
 
 
-#: Entity rules: (rule number, entity type, suffix of the name, part of the path, symbol type), first match wins.
-RULES: list[tuple[int, str, str | None, str | None, str | None]] = [
-    (1, "controller", "Controller", None, "class"), (2, "service", "Service", None, "class"), (3, "store", "Store", None, None), (4, "model", None, "/Models/", "class"),
-    (5, "handler", "Handler", None, "class"), (6, "component", None, "/components/", None), (7, "test", None, "tests/", None), (8, "scene", None, None, "godot_scene"), (9, "node", None, None, "godot_node"),
-]
+#: Entity rules (fixed values): framework, symbol type (* for all without rules of their own), what is looked at, pattern, entity type, priority, endings of files it holds for.
+RULES: tuple[tuple[str, str, str, str, str, int, str], ...] = (
+    ("laravel", "class", "suffix", "Controller", "controller", 10, ""), ("laravel", "class", "suffix", "Job", "job", 10, ""), ("laravel", "class", "suffix", "Service", "service", 10, ""), ("laravel", "class", "suffix", "Repository", "repository", 10, ""),
+    ("laravel", "class", "folder", "/Models/", "model", 5, ""), ("laravel", "class", "folder", "/Controllers/", "controller", 5, ""), ("laravel", "class", "folder", "/Jobs/", "job", 5, ""), ("laravel", "class", "folder", "/Middleware/", "middleware", 5, ""),
+    ("laravel", "class", "base", "Model", "model", 1, ""), ("laravel", "class", "base", "Controller", "controller", 1, ""), ("laravel", "class", "base", "Job", "job", 1, ""), ("laravel", "class", "base", "Middleware", "middleware", 1, ""),
+    ("laravel", "class", "base", "Request", "request", 1, ""), ("laravel", "class", "base", "FormRequest", "request", 1, ""), ("laravel", "class", "base", "Resource", "api_resource", 1, ""), ("laravel", "class", "base", "Notification", "notification", 1, ""),
+    ("laravel", "class", "base", "Command", "command", 1, ""), ("laravel", "class", "base", "Seeder", "seeder", 1, ""), ("laravel", "class", "base", "Migration", "migration", 1, ""), ("laravel", "class", "base", "ServiceProvider", "provider", 1, ""),
+    ("vue", "component", "ending", ".vue", "component", 20, ""), ("vue", "*", "folder", "/components/", "component", 5, ""), ("vue", "function", "prefix", "^use[A-Z]", "composable", 10, ".ts .js .vue"), ("vue", "function", "prefix", "^create[A-Z]", "composable", 10, ".ts .js"), ("vue", "class", "suffix", "Service", "service", 10, ""),
+    ("react", "function", "suffix", "Provider", "provider", 10, ""), ("react", "function", "prefix", "^[A-Z]", "component", 10, ".jsx .tsx"), ("react", "function", "prefix", "^use[A-Z]", "hook", 15, ""), ("react", "function", "folder", "/components/", "component", 5, ""), ("react", "function", "folder", "/hooks/", "hook", 5, ""),
+    ("react", "class", "base", "Component", "component", 1, ""), ("react", "class", "base", "PureComponent", "component", 1, ""),
+    ("typescript", "interface", "suffix", "Props", "props_interface", 10, ""), ("typescript", "interface", "suffix", "State", "state_interface", 10, ""), ("typescript", "interface", "suffix", "Config", "config", 10, ""), ("typescript", "interface", "prefix", "^I[A-Z]", "interface", 5, ""),
+    ("godot", "class", "suffix", "Manager", "manager", 10, ""), ("godot", "class", "suffix", "Service", "service", 10, ""), ("godot", "class", "suffix", "Handler", "handler", 10, ""), ("godot", "class", "suffix", "Controller", "controller", 10, ""), ("godot", "class", "suffix", "Component", "component", 10, ""),
+    ("godot", "class", "suffix", "Factory", "factory", 10, ""), ("godot", "class", "suffix", "Builder", "builder", 10, ""), ("godot", "class", "suffix", "Provider", "provider", 10, ""), ("godot", "class", "suffix", "Repository", "repository", 10, ""), ("godot", "class", "suffix", "Coordinator", "coordinator", 10, ""),
+    ("godot", "class", "suffix", "Engine", "engine", 10, ""), ("godot", "class", "suffix", "Exception", "exception", 10, ""), ("godot", "class", "suffix", "Strategy", "strategy", 10, ""), ("godot", "class", "suffix", "State", "state", 10, ""), ("godot", "class", "suffix", "StateMachine", "state_machine", 11, ""),
+    ("godot", "class", "suffix", "Policy", "policy", 10, ""), ("godot", "class", "suffix", "Configuration", "configuration", 10, ""), ("godot", "class", "suffix", "Config", "configuration", 10, ""), ("godot", "class", "suffix", "Constants", "constants", 10, ""), ("godot", "class", "suffix", "Const", "constants", 10, ""),
+    ("godot", "class", "suffix", "Paths", "constants", 10, ""), ("godot", "class", "suffix", "Events", "event_bus", 10, ""), ("godot", "class", "suffix", "EventArgs", "event", 10, ""), ("godot", "class", "suffix", "Attribute", "attribute", 10, ""), ("godot", "class", "suffix", "Pool", "pool", 10, ""),
+    ("godot", "class", "suffix", "Statistics", "metrics", 10, ""), ("godot", "class", "suffix", "Metrics", "metrics", 10, ""), ("godot", "class", "suffix", "Info", "data_model", 8, ""), ("godot", "class", "suffix", "Result", "data_model", 10, ""), ("godot", "class", "suffix", "Report", "data_model", 10, ""),
+    ("godot", "class", "suffix", "Summary", "data_model", 10, ""), ("godot", "class", "suffix", "Data", "data_model", 7, ""), ("godot", "class", "suffix", "DTO", "data_model", 10, ""), ("godot", "class", "suffix", "Rules", "rules", 10, ""), ("godot", "class", "suffix", "Validator", "validator", 10, ""),
+    ("godot", "class", "suffix", "Subscription", "subscription", 10, ""), ("godot", "class", "suffix", "Effect", "effect", 9, ""), ("godot", "class", "suffix", "Adapter", "adapter", 10, ""), ("godot", "class", "suffix", "Wrapper", "wrapper", 10, ""), ("godot", "class", "suffix", "Helper", "helper", 10, ""),
+    ("godot", "class", "suffix", "Util", "utility", 10, ""), ("godot", "class", "suffix", "Utility", "utility", 10, ""),
+    ("godot", "class", "base", "Node", "node", 1, ""), ("godot", "class", "base", "Node2D", "node", 1, ""), ("godot", "class", "base", "Node3D", "node", 1, ""), ("godot", "class", "base", "Control", "ui_component", 1, ""), ("godot", "class", "base", "Resource", "resource", 1, ""),
+    ("godot", "class", "base", "RefCounted", "resource", 1, ""), ("godot", "class", "base", "EventArgs", "event", 2, ""), ("godot", "class", "base", "Exception", "exception", 2, ""), ("godot", "class", "base", "Attribute", "attribute", 2, ""),
+)
+#: Rules that do not hold for classes of a base: (framework, suffix, base) (fixed values).
+EXCEPTIONS = (("godot", "Controller", "Controller"),)
+#: Base classes that tell the engine of a C# file (fixed values).
+ENGINE_BASES = (
+    "Node", "Node2D", "Node3D", "Control", "Resource", "RefCounted", "Object", "PackedScene", "GodotObject", "Area2D", "Area3D", "RigidBody2D", "RigidBody3D", "CharacterBody2D", "CharacterBody3D", "StaticBody2D", "StaticBody3D",
+)
 
 
-def classify(symbols: DataFrame, files: DataFrame) -> DataFrame:
-    """Entity type of each symbol by the first rule whose conditions all hold, else its symbol type."""
-    joined = symbols.select("id", "name", "symbol_type", "file_id").join(
-        files.select(F.col("id").alias("f_id"), "path"), F.col("file_id") == F.col("f_id"), "left"
+def framework_of(path: Column, base: Column, namespace: Column) -> Column:
+    """Framework of a file without one: by its ending, and by base class and namespace where these decide; else null."""
+    b, n = F.coalesce(base, F.lit("")), F.coalesce(namespace, F.lit(""))
+    return (
+        F.when(path.endswith(".php"), F.when(n.startswith("Illuminate\\") | b.startswith("Illuminate\\"), "laravel"))
+        .when(path.endswith(".cs"), F.when(n.startswith("Godot.") | b.isin(*ENGINE_BASES), "godot").otherwise("csharp"))
+        .when(path.endswith(".vue"), "vue")
+        .when(path.rlike(r"\.(tscn|godot)$"), "godot")
     )
-    rule = F.lit(None).cast("string")
-    for _, entity, suffix, part, kind in reversed(RULES):
-        ok = F.lit(True)
-        if suffix:
-            ok = ok & F.coalesce("name", F.lit("")).endswith(suffix)
-        if part:
-            ok = ok & F.contains(F.coalesce("path", F.lit("")), F.lit(part))
-        if kind:
-            ok = ok & (F.col("symbol_type") == kind)
-        rule = F.when(ok, entity).otherwise(rule)
-    return joined.select("id", F.coalesce(rule, "symbol_type").alias("entity"))
+
+
+def classify(symbols: DataFrame, files: DataFrame, rules: tuple = RULES) -> DataFrame:
+    """Entity type of each symbol by the rule of the highest priority that holds, the first of equals, else its symbol type.
+
+    symbols: id, name, symbol_type, file_id, framework, base_class, namespace;
+    a symbol without a framework gets that of its file. Returns id, framework,
+    entity and the rule.
+    """
+    joined = symbols.join(files.select(F.col("id").alias("f_id"), "path"), F.col("file_id") == F.col("f_id"), "left")
+    name, path, base = F.coalesce("name", F.lit("")), F.coalesce("path", F.lit("")), F.trim(F.split(F.coalesce("base_class", F.lit("")), ",")[0])
+    framework = F.coalesce("framework", framework_of(path, base, F.col("namespace")))
+    own = {(f, t) for f, t, *_ in rules}
+    chosen = F.lit(None).cast("string")
+    for fw, kind, how, pattern, entity, _, endings in sorted(rules, key=lambda r: -r[5])[::-1]:
+        held = {"suffix": lambda p: name.endswith(p), "prefix": lambda p: name.rlike(p), "folder": lambda p: F.contains(path, F.lit(p)), "ending": lambda p: path.endswith(p), "base": lambda p: base == p}[how](pattern)
+        others = [t for f, t in own if f == fw and t != "*"]
+        types = F.col("symbol_type") == kind if kind != "*" else ~F.col("symbol_type").isin(*others)
+        ok = (F.col("fw") == fw) & types & held
+        if endings:
+            fits = F.lit(False)
+            for e in endings.split():
+                fits = fits | path.endswith(e)
+            ok = ok & fits
+        for f, suffix, not_base in EXCEPTIONS:
+            if how == "suffix" and (f, suffix) == (fw, pattern):
+                ok = ok & (base != not_base)
+        chosen = F.when(ok, F.lit(f"{entity}|{how}: {pattern}")).otherwise(chosen)
+    out = joined.withColumn("fw", framework).select("id", "symbol_type", F.col("fw").alias("framework"), chosen.alias("chosen"))
+    return out.select("id", "framework", F.coalesce(F.substring_index("chosen", "|", 1), "symbol_type").alias("entity"), F.regexp_extract("chosen", r"^[^|]*\|(.*)$", 1).alias("rule"))
 
 
 def sample_parents(symbols: DataFrame, most: int) -> DataFrame:

@@ -493,19 +493,20 @@ def rs10_link_parents(spark: SparkSession, folder: str) -> DataFrame:
     return resolve.link_parents(view(spark, folder, "s", "symbol_type", "file_id", "start_line", "end_line"))
 
 
-def _rule_sql() -> str:
-    out = ""
-    for _, entity, suffix, part, kind in resolve.RULES:
-        parts = [f"ends_with(coalesce(name, ''), '{suffix}')"] if suffix else []
-        parts += [f"contains(coalesce(path, ''), '{part}')"] if part else []
-        parts += [f"symbol_type = '{kind}'"] if kind else []
-        out += f" WHEN {' AND '.join(parts)} THEN '{entity}'"
-    return f"CASE{out} ELSE symbol_type END"
+_RULES = ", ".join("(" + ", ".join([str(i), *[f"'{x}'" if isinstance(x, str) else str(x) for x in r]]) + ")" for i, r in enumerate(resolve.RULES))
 
 
-@query(f"WITH {view_sql('s', 'name', 'symbol_type', 'file_id')}, {view_sql('f', 'path')} SELECT s.id, {_rule_sql()} AS entity FROM s LEFT JOIN f ON f.id = s.file_id")
+@query(f"""WITH {view_sql("s", "name", "symbol_type", "file_id", "framework", "base_class", "namespace")}, {view_sql("f", "path")}, rules AS (SELECT * FROM (VALUES {_RULES}) AS t(n, fw, kind, how, pattern, entity, priority, endings)),
+k AS (SELECT s.id, s.symbol_type, coalesce(s.name, '') AS nm, coalesce(f.path, '') AS p, trim(string_split(coalesce(s.base_class, ''), ',')[1]) AS b, s.framework, coalesce(s.namespace, '') AS ns FROM s LEFT JOIN f ON f.id = s.file_id),
+w AS (SELECT *, coalesce(framework, CASE WHEN p LIKE '%.php' THEN CASE WHEN starts_with(ns, 'Illuminate' || chr(92)) OR starts_with(b, 'Illuminate' || chr(92)) THEN 'laravel' END WHEN p LIKE '%.cs' THEN CASE WHEN starts_with(ns, 'Godot.') OR b IN {resolve.ENGINE_BASES} THEN 'godot' ELSE 'csharp' END WHEN p LIKE '%.vue' THEN 'vue' WHEN p LIKE '%.tscn' OR p LIKE '%.godot' THEN 'godot' END) AS fw FROM k),
+hits AS (SELECT w.id, r.entity, r.how || ': ' || r.pattern AS rule, row_number() OVER (PARTITION BY w.id ORDER BY r.priority DESC, r.n) AS place FROM w JOIN rules r ON r.fw = w.fw AND (r.kind = w.symbol_type OR (r.kind = '*' AND NOT EXISTS (SELECT 1 FROM rules q WHERE q.fw = r.fw AND q.kind = w.symbol_type)))
+  AND CASE r.how WHEN 'suffix' THEN ends_with(w.nm, r.pattern) AND NOT (r.fw = 'godot' AND r.pattern = 'Controller' AND w.b = 'Controller') WHEN 'prefix' THEN regexp_matches(w.nm, r.pattern) WHEN 'folder' THEN contains(w.p, r.pattern) WHEN 'ending' THEN ends_with(w.p, r.pattern) ELSE w.b = r.pattern END
+  AND (r.endings = '' OR len(list_filter(string_split(r.endings, ' '), lambda e: ends_with(w.p, e))) > 0))
+SELECT w.id, w.fw AS framework, coalesce(h.entity, w.symbol_type) AS entity FROM w LEFT JOIN hits h ON h.id = w.id AND h.place = 1""")
 def rs14_classify(spark: SparkSession, folder: str) -> DataFrame:
-    return resolve.classify(view(spark, folder, "s", "name", "symbol_type", "file_id"), view(spark, folder, "f", "path"))
+    """Framework and entity type of every symbol."""
+    s = view(spark, folder, "s", "name", "symbol_type", "file_id", "framework", "base_class", "namespace")
+    return resolve.classify(s, view(spark, folder, "f", "path")).select("id", "framework", "entity")
 
 
 @query(r"WITH " + view_sql("s", "name", "symbol_type") + r""", k AS (SELECT id, regexp_replace(regexp_replace(name, '^(get|set|create|update|delete|fetch|load|save|handle|process|use)([A-Z])', '\2'), '(.)(Controller|Service|Component|Store|Model|Handler|Manager|Repository)$', '\1') AS core FROM s WHERE symbol_type = 'class')
