@@ -73,8 +73,12 @@ def glob_to_regex(pattern: str) -> str:
 
 
 def ignored(path: Column, lines: list[str]) -> Column:
-    """Whether ignore-file lines exclude a path; comments, blanks and negations are dropped."""
-    patterns = [glob_to_regex(x.strip()) for x in lines if x.strip() and x.strip()[0] not in "#!"]
+    """Whether ignore-file lines exclude a path; comments, blanks and negations are dropped.
+
+    A line is a glob, or a regular expression between "/regex:" and "/".
+    """
+    wanted = [x.strip() for x in lines if x.strip() and x.strip()[0] not in "#!"]
+    patterns = [x[7:-1] if x.startswith("/regex:") and x.endswith("/") else glob_to_regex(x) for x in wanted]
     return path.rlike("|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(False)
 
 

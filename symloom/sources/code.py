@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import bisect
 import json
+import os
 import posixpath
 import re
 from collections.abc import Iterator
@@ -346,11 +347,37 @@ def parsed_components(sources: DataFrame) -> DataFrame:
     )
 
 
-def scan_directory(spark, folder: str, extensions: list[str], most: int | None = None) -> DataFrame:
-    """Files below a folder with an extension of the list, outside skipped directories: path, content, size, modified."""
-    from symloom.functions.exprs import extension, in_skipped_directory
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    kept = files.where(extension(F.col("path")).isin([e.lstrip(".") for e in extensions]) & ~in_skipped_directory(F.regexp_replace("path", "^[a-z]+:/+", "")))
-    out = kept.select("path", F.decode("content", F.lit("UTF-8")).alias("content"), F.col("length").alias("size"), F.col("modificationTime").alias("last_modified"))
+def scan_directory(spark, folder: str, extensions: list[str], most: int | None = None, ignore: list[str] | None = None) -> DataFrame:
+    """Files below a folder with an extension of the list: path, relative, content, language, size, last_modified.
+
+    Skipped directories and what the lines of an ignore file exclude are left
+    out. Links on a local disk that lead out of the folder are not followed.
+    most keeps the first so many by path.
+    """
+    from symloom.functions.exprs import extension, ignored, in_skipped_directory, language_of_path
+
+    root = folder.rstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    plain = F.regexp_replace("path", "^[a-z]+:/+", "/")
+    relative = F.substring(plain, len(re.sub("^[a-z]+:/+", "/", root)) + 2, 1 << 20)
+    kept = files.withColumn("relative", relative).where(extension(F.col("path")).isin([e.lstrip(".") for e in extensions]) & ~in_skipped_directory(F.col("relative")))
+    if ignore:
+        kept = kept.where(~ignored(F.col("relative"), ignore))
+    if os.path.isdir(root):
+        outside = links_outside(root)
+        if outside:
+            kept = kept.where(~F.col("relative").isin(outside) & ~F.exists(F.array(*map(F.lit, outside)), lambda o: F.col("relative").startswith(F.concat(o, F.lit("/")))))
+    out = kept.select("path", "relative", F.decode("content", "UTF-8").alias("content"), language_of_path(F.col("path")).alias("language"), F.col("length").alias("size"), F.col("modificationTime").alias("last_modified"))
     return out.orderBy("path").limit(most) if most else out
+
+
+def links_outside(root: str) -> list[str]:
+    """Links below a local folder whose target lies outside it, as relative paths."""
+    base = os.path.realpath(root)
+    out = []
+    for at, folders, names in os.walk(root):
+        for name in [*folders, *names]:
+            path = os.path.join(at, name)
+            if os.path.islink(path) and not (os.path.realpath(path) + "/").startswith(base + "/"):
+                out.append(os.path.relpath(path, root))
+    return sorted(out)

@@ -390,13 +390,12 @@ def decoded(data: bytes) -> tuple[str, str]:
     for mark, name in ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe\x00\x00", "utf-32-le"), (b"\x00\x00\xfe\xff", "utf-32-be"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")):
         if data.startswith(mark):
             return data[len(mark) :].decode(name, "replace"), name
+    if data.count(0) > len(data) // 4:
+        name = "utf-16-le" if data[1::2].count(0) > data[::2].count(0) else "utf-16-be"
+        return data.decode(name, "replace"), name
     try:
         return data.decode("utf-8"), "utf-8"
     except UnicodeDecodeError:
-        zeros = data.count(0)
-        if zeros > len(data) // 4:
-            name = "utf-16-le" if data[1::2].count(0) > data[::2].count(0) else "utf-16-be"
-            return data.decode(name, "replace"), name
         return data.decode("cp1252", "replace"), "cp1252"
 
 

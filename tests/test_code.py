@@ -48,3 +48,39 @@ def test_http_routes_suites_scenes_manifests():
 def test_tables_take_nulls(spark):
     df = spark.createDataFrame([(1, None, None), (None, "php", "<?php function f() {}"), (2, "odd", "x")], "file_id long, language string, content string")
     assert [(r.file_id, r.name) for r in code.parsed_symbols(df).collect()] == [(None, "f")]
+
+
+def test_directory_scan(spark, tmp_path):
+    import os
+
+    tree, other = tmp_path / "tree", tmp_path / "other"
+    for path, text in (("src/a.ts", "a"), ("src/b.min.js", "b"), ("node_modules/c.js", "c"), ("src/d.txt", "d"), ("src/.hidden/e.ts", "e"), ("lib/f.php", "f"), ("lib/keep.ts", "g")):
+        (tree / path).parent.mkdir(parents=True, exist_ok=True)
+        (tree / path).write_text(text)
+    other.mkdir()
+    (other / "z.ts").write_text("z")
+    os.symlink(other, tree / "out")
+    got = code.scan_directory(spark, str(tree), [".ts", "js", "php"], ignore=["# a remark", "*.min.js", "!keep.ts", "/regex:^lib/k/"]).collect()
+    assert sorted((r.relative, r.language, r.content) for r in got) == [("lib/f.php", "php", "f"), ("src/a.ts", "typescript", "a")]
+    assert [r.relative for r in code.scan_directory(spark, str(tree), ["ts", "js"], most=1).collect()] == ["lib/keep.ts"]
+
+
+def test_bytes_and_encodings(spark):
+    from symloom.sources import frameworks as W
+
+    assert W.decoded("é".encode("utf-8")) == ("é", "utf-8") and W.decoded(b"\xef\xbb\xbfa") == ("a", "utf-8")
+    assert W.decoded("é".encode("cp1252")) == ("é", "cp1252") and W.decoded("ab".encode("utf-16-le")) == ("ab", "utf-16-le")
+    assert W.decoded(b"\xff\xfea\x00") == ("a", "utf-16-le") and W.decoded(b"") == ("", "utf-8")
+    df = spark.createDataFrame([(1, "\ufeffa\r\nb\rc\n"), (2, None)], "id long, t string")
+    assert [r[0] for r in df.orderBy("id").select(W.normalised(code.F.col("t"))).collect()] == ["a\nb\nc\n", None]
+
+
+def test_packed_payloads(spark):
+    from symloom.sources import writing
+
+    df = spark.createDataFrame([(1, "x" * 20_000), (2, "short"), (3, None), (4, "")], "id long, t string")
+    packed = writing.packed(df, "t")
+    assert {r.id: r.is_packed for r in packed.collect()} == {1: True, 2: False, 3: False, 4: False}
+    assert {r.id: r.t for r in writing.unpacked(packed, "t").collect()} == {1: "x" * 20_000, 2: "short", 3: None, 4: ""}
+    assert max(len(r.payload) for r in packed.where("is_packed").collect()) < 200
+    assert writing.insert_ignore(df.unionByName(df), "id").count() == 4
