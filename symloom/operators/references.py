@@ -1,8 +1,11 @@
 """References to records that do not exist.
 
-The keys that exist are cut into ranges of ``WIDTH`` consecutive values and kept
-as one sorted array per range, so an array is bounded by the width whatever the
-number of keys. References go to the task of their range; there each Arrow batch
+The keys that exist are cut into ranges and kept as one sorted array per range.
+A range is ``WIDTH`` consecutive values where keys lie close together; where they
+are sparse it is wider by their mean distance, so that an array still holds about
+as many, and a wide range that turns out to hold more than ``FULL`` of them is cut
+into ranges of ``WIDTH`` values again. An array is thus bounded whatever the keys
+are. References go to the task of their range; there each Arrow batch
 is looked up in the array by one vectorised binary search, and only misses leave
 the task. A range that more references name than one task should take is split:
 its references are salted by row and its array is sent to each salt.
@@ -14,16 +17,24 @@ without rows makes every reference a miss.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from symloom.session import cut
+
 #: Key values per range: an array holds 8 bytes for each, 128 KB at most.
 WIDTH = 16_384
+#: Keys of one array at most, where ranges are wider.
+FULL = 8 * WIDTH
+#: Mean distance of keys up to which ranges are not widened.
+SPARSE = 4
+#: Added to the numbers of wide ranges, beyond the numbers of narrow ones.
+WIDE = 1 << 52
 #: References of one range that one task takes before the range is split.
 ROWS_PER_TASK = 250_000
 
@@ -32,8 +43,8 @@ def _probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Stream over (range, salt, kind) order: an array first, then its references."""
     current, array = None, np.empty(0, "<i8")
     for pdf in batches:
-        keys = pdf["bucket"].to_numpy() * 1_000_003 + pdf["salt"].to_numpy()
-        edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        buckets, salts = pdf["bucket"].to_numpy(), pdf["salt"].to_numpy()
+        edges = np.flatnonzero(np.r_[True, (buckets[1:] != buckets[:-1]) | (salts[1:] != salts[:-1])])
         misses = np.zeros(len(pdf), bool)
         kinds, wanted, packed = pdf["kind"].to_numpy(), pdf["key"].to_numpy(), pdf["packed"]
         for a, b in zip(edges, [*edges[1:], len(pdf)], strict=True):
@@ -61,6 +72,26 @@ def _packed(keys: pd.Series) -> pd.Series:
     return keys.map(lambda x: np.asarray(x, "<i8").tobytes())
 
 
+def _ranges(keys: DataFrame, width: int) -> Callable[[DataFrame], DataFrame]:
+    """What adds to a frame with a key the number of the key's range, as bucket."""
+
+    def floored(by: int) -> Column:
+        # in whole numbers: keys beyond 2**53 are no exact doubles
+        return F.expr(f"key div {by}L - if(key % {by}L < 0, 1L, 0L)")
+
+    narrow = floored(WIDTH)
+    if width == WIDTH:
+        return lambda df: df.withColumn("bucket", narrow)
+    wide = floored(width) + F.lit(WIDE)
+    full = keys.groupBy(wide.alias("w_bucket")).agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > FULL).select("w_bucket")
+
+    def ranged(df: DataFrame) -> DataFrame:
+        joined = df.withColumn("wide", wide).join(full, F.col("wide") == F.col("w_bucket"), "left")
+        return joined.withColumn("bucket", F.when(F.col("w_bucket").isNull(), F.col("wide")).otherwise(narrow)).drop("wide", "w_bucket")
+
+    return ranged
+
+
 def dangling(parents: DataFrame, references: DataFrame) -> DataFrame:
     """References without a parent.
 
@@ -70,10 +101,13 @@ def dangling(parents: DataFrame, references: DataFrame) -> DataFrame:
     spark = references.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     kind = dict(references.dtypes)["created_at"]
-    bucket = F.floor(F.col("key") / F.lit(WIDTH)).cast("long")
-    refs = references.where("key is not null and row_id is not null").select(
-        "field", "row_id", "key", "created_at", bucket.alias("bucket")
-    )
+    seen = Observation()
+    facts = (F.count(F.lit(1)).alias("n"), F.min("key").alias("least"), F.max("key").alias("most"))
+    keys = cut(parents.where("key is not null").select(F.col("key").cast("long")).distinct().observe(seen, *facts))
+    n, least, most = (seen.get.get(k) for k in ("n", "least", "most"))
+    width = WIDTH * max(1, (most - least + 1) // n if n else 1)
+    ranged = _ranges(keys, width if width > SPARSE * WIDTH else WIDTH)
+    refs = ranged(references.where("key is not null and row_id is not null").select("field", "row_id", F.col("key").cast("long"), "created_at"))
     load = (
         refs.groupBy("bucket")
         .count()
@@ -91,9 +125,7 @@ def dangling(parents: DataFrame, references: DataFrame) -> DataFrame:
         F.lit(None).cast("binary").alias("packed"),
     )
     arrays = (
-        parents.where("key is not null")
-        .select("key", bucket.alias("bucket"))
-        .distinct()
+        ranged(keys)
         .groupBy("bucket")
         .agg(F.sort_array(F.collect_list("key")).alias("keys"))
         .join(load, "bucket")

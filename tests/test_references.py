@@ -25,6 +25,19 @@ def test_against_brute_force(spark, monkeypatch):
     assert run(spark, parents, refs) == want
 
 
+def test_sparse_keys_with_a_dense_place(spark, monkeypatch):
+    monkeypatch.setattr(R, "WIDTH", 50)
+    monkeypatch.setattr(R, "FULL", 400)
+    rng = random.Random(6)
+    parents = [rng.randrange(-(2**63), 2**63) for _ in range(300)] + list(range(2**60, 2**60 + 3000, 2)) + [-(2**63), 2**63 - 1]
+    asked = rng.sample(parents, 200) + [x + 1 for x in rng.sample(parents, 200) if x < 2**63 - 1] + [2**60 + i for i in range(200)]
+    refs = [("a.x", i, k, DAY) for i, k in enumerate(asked)]
+    known = set(parents)
+    assert run(spark, parents, refs) == sorted({(f, i, k) for f, i, k, _ in refs if k not in known})
+    held = R._ranges(spark.createDataFrame([(x,) for x in parents], "key long"), 50 * 2**50)(spark.createDataFrame([(x,) for x in parents], "key long")).groupBy("bucket").count()
+    assert held.agg({"count": "max"}).first()[0] <= 400
+
+
 def test_no_parents_and_no_references(spark):
     assert run(spark, [], [("t.c", 1, -1, DAY)]) == [("t.c", 1, -1)]
     assert run(spark, [1], []) == []
