@@ -22,6 +22,7 @@ results; without files of both labels nothing is flagged.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import zlib
@@ -105,38 +106,48 @@ def body(text: str) -> str:
     return rest.replace("\r\n", "\n").replace("\r", "\n")
 
 
+@functools.lru_cache(maxsize=2)
+def prepared(text: str) -> tuple[str, list[str], str]:
+    """The code to judge, its comments, and the code without them; a text is taken apart once for all that measures it."""
+    code = body(text)
+    comments = _COMMENT.findall(code)
+    return code, comments, _COMMENT.sub(" ", code) if comments else code
+
+
 def measure(text: str) -> list[float]:
     """The numbers of one file that need no other file."""
-    code = body(text)
+    code, comments, bare = prepared(text)
     raw = code.encode("utf-8", "replace")
     n = max(1, len(code))
-    comments = _COMMENT.findall(code)
-    bare = _COMMENT.sub(" ", code)
-    tokens = _TOKEN.findall(bare)
-    counts = Counter(tokens)
-    total = max(1, len(tokens))
+    counts = Counter(_TOKEN.findall(bare))
+    total = max(1, sum(counts.values()))
     entropy = -sum(c / total * math.log2(c / total) for c in counts.values())
-    names = _NAME.findall(_STRING.sub(" ", bare))
+    plain, strings = bare, _STRING.findall(bare)
+    if strings:
+        plain = _STRING.sub(" ", bare)
+    names = _NAME.findall(plain)
     lengths = np.array([len(x) for x in names] or [0])
     lines = [x.strip() for x in code.split("\n")]
     full = [x for x in lines if x]
-    shapes = Counter(re.sub(r"\d+", "0", re.sub(r"[A-Za-z_]\w*", "a", x)) for x in full)
+    # shapes of all lines at once: no replacement reaches over a line feed
+    shapes = Counter(re.sub(r"\d+", "0", re.sub(r"[A-Za-z_]\w*", "a", "\n".join(full))).split("\n")) if full else {}
     starts = Counter(x.split(" ", 2)[0][:12] for x in full)
-    literal = sum(len(x) for x in _LITERAL.findall(bare))
+    literal = sum(map(len, _LITERAL.findall(bare)))
+    digits = sum(map(code.count, "0123456789")) if code.isascii() else sum(map(str.isdigit, code))
     return [
         len(zlib.compress(raw, 6)) / max(1, len(raw)),
         entropy / math.log2(total + 1),
         float(lengths.mean()),
         float((lengths <= 2).mean()),
         float((lengths >= 12).mean()),
-        sum(len(x) for x in comments) / n,
+        sum(map(len, comments)) / n,
         len(comments) / max(1, len(full)),
-        math.log1p(max((len(x) for x in lines), default=0)),
+        math.log1p(max(map(len, lines), default=0)),
         math.log1p(len(code) / max(1, len(full))),
         1 - len(full) / max(1, len(lines)),
-        sum(map(str.isdigit, code)) / n,
-        sum(1 for t in tokens if not (t[0].isalnum() or t[0] == "_")) / total,
-        sum(len(x) for x in _STRING.findall(bare)) / n,
+        digits / n,
+        sum(c for t, c in counts.items() if not (t[0].isalnum() or t[0] == "_")) / total,
+        sum(map(len, strings)) / n,
         len(set(full)) / max(1, len(full)),
         len(set(names)) / max(1, len(names)),
         literal / n,
@@ -148,20 +159,22 @@ def measure(text: str) -> list[float]:
 
 def windows(text: str) -> list[int]:
     """Hashes of runs of lines of code, for finding the same run in other repositories; comments do not count."""
-    full = [x for x in (" ".join(x.split()) for x in _COMMENT.sub(" ", body(text)).split("\n")) if len(x) > 1]
+    full = [x for x in (" ".join(x.split()) for x in prepared(text)[2].split("\n")) if len(x) > 1]
     out = set()
     for i in range(max(1, len(full) - WINDOW + 1)):
         run = "\n".join(full[i : i + WINDOW])
         if len(run) >= WINDOW_CHARS:
-            out.add((zlib.crc32(run.encode("utf-8", "replace")) << 31) ^ zlib.adler32(run.encode("utf-8", "replace")))
+            raw = run.encode("utf-8", "replace")
+            out.add((zlib.crc32(raw) << 31) ^ zlib.adler32(raw))
     return list(out)
 
 
 def is_data(numbers: list[float], text: str) -> bool:
     """A text of literals: they fill half of it, and nothing is called, tested or returned."""
-    code = _COMMENT.sub(" ", body(text))
-    bare = _STRING.sub("''", code)
-    return bool(code.strip()) and numbers[15] >= 0.5 and not re.search(r"\w\s*\(|=>|\b(?:function|return|if|for|while|switch)\b", bare)
+    if numbers[FEATURES.index("literals")] < 0.5:
+        return False
+    code = prepared(text)[2]
+    return bool(code.strip()) and not re.search(r"\w\s*\(|=>|\b(?:function|return|if|for|while|switch)\b", _STRING.sub("''", code))
 
 
 #: Something else to take from each text in the pass that measures it: a batch in, one value per row out.
