@@ -49,7 +49,7 @@ _LEAD = re.compile(
 )
 _COMPONENT = re.compile(r"<(?:template|script|style)\b", re.I)
 _SCRIPT = re.compile(r"<script\b[^>]*>(.*?)(?:</script\s*>|\Z)", re.S | re.I)
-_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)|(?<![:\"'\w])//[^\n]*|^[ \t]*#(?!\[)[^\n]*|<!--.*?-->", re.S | re.M)
+_COMMENT = re.compile(r"(/\*.*?(?:\*/|\Z)|(?<![:\"'\w])//[^\n]*|^[ \t]*#(?!\[)[^\n]*|<!--.*?-->)", re.S | re.M)
 #: Notices of tools (common phrases of code generators and bundlers).
 _TOOL = re.compile(
     r"^\W*@generated\b|<auto-?generated|^\W*auto-?generated\b|^\W*(?:this (?:file|code) (?:was|is) |code )?(?:auto(?:matically|-)?\s*)?generated (?:by|from|on|with|using)\b|"
@@ -110,8 +110,8 @@ def body(text: str) -> str:
 def prepared(text: str) -> tuple[str, list[str], str]:
     """The code to judge, its comments, and the code without them; a text is taken apart once for all that measures it."""
     code = body(text)
-    comments = _COMMENT.findall(code)
-    return code, comments, _COMMENT.sub(" ", code) if comments else code
+    parts = _COMMENT.split(code)
+    return code, parts[1::2], " ".join(parts[::2])
 
 
 def measure(text: str) -> list[float]:
@@ -160,12 +160,15 @@ def measure(text: str) -> list[float]:
 def windows(text: str) -> list[int]:
     """Hashes of runs of lines of code, for finding the same run in other repositories; comments do not count."""
     full = [x for x in (" ".join(x.split()) for x in prepared(text)[2].split("\n")) if len(x) > 1]
+    # a run is told by the hashes of its lines
+    raws = [x.encode("utf-8", "replace") for x in full]
+    marks = [zlib.crc32(r).to_bytes(4) + zlib.adler32(r).to_bytes(4) for r in raws]
+    sizes = [len(x) + 1 for x in full]
     out = set()
     for i in range(max(1, len(full) - WINDOW + 1)):
-        run = "\n".join(full[i : i + WINDOW])
-        if len(run) >= WINDOW_CHARS:
-            raw = run.encode("utf-8", "replace")
-            out.add((zlib.crc32(raw) << 31) ^ zlib.adler32(raw))
+        if sum(sizes[i : i + WINDOW]) > WINDOW_CHARS:
+            run = b"".join(marks[i : i + WINDOW])
+            out.add((zlib.crc32(run) << 31) ^ zlib.adler32(run))
     return list(out)
 
 
