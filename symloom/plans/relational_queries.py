@@ -29,7 +29,7 @@ TWINS: dict[str, tuple[str, str] | str] = {
     "pr08_symbols_by_type": "SELECT id, name FROM {s} WHERE symbol_type = 'interface'",
     "pr08_files_by_language": "SELECT id, path FROM {f} WHERE lower(language) = 'vue'",
     "pr13_edge_type_lists": "SELECT id, dependency_type FROM {d} WHERE dependency_type IN ('inherits', 'implements') AND dependency_type NOT IN ('contains')",
-    "pr14_regex_predicate": "SELECT id, name FROM {s} WHERE RX(name, '^(resolve|merge)[A-Z].*Order$')",
+    "pr14_regex_predicate": "SELECT id, name FROM {s} WHERE RX(name, '^(resolve|merge)[A-Z]')",
     "pr15_line_containment": "SELECT o.id AS outer_id, i.id AS inner_id FROM {s} o JOIN {s} i ON i.file_id = o.file_id AND o.symbol_type = 'class' AND i.symbol_type = 'method' AND i.start_line >= o.start_line AND i.end_line <= o.end_line",
     "pr16_modified_since": "SELECT f.id, f.path FROM {f} f JOIN {r} r ON r.id = f.repo_id WHERE f.last_modified > r.last_indexed",
     "pr17_array_predicates": "SELECT id, name FROM {r} WHERE cardinality(framework_stack) > 1",
@@ -147,7 +147,7 @@ QUERIES = {
     "pr08_symbols_by_type": bound(R.symbols_of_type, "interface"),
     "pr08_files_by_language": bound(R.files_of_language, language="vue"),
     "pr13_edge_type_lists": bound(R.edges_of_types, include=["inherits", "implements"], exclude=["contains"]),
-    "pr14_regex_predicate": bound(R.names_like, "^(resolve|merge)[A-Z].*Order$"),
+    "pr14_regex_predicate": bound(R.names_like, "^(resolve|merge)[A-Z]"),
     "pr15_line_containment": bound(R.containment, inner=["method"], outer=["class"]),
     "pr16_modified_since": bound(R.modified_since_indexed),
     "pr17_array_predicates": bound(R.stacks_of_at_least, n=2),
