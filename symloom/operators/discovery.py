@@ -286,7 +286,7 @@ def discover(symbols: DataFrame, edges: DataFrame, calls: DataFrame, seeds: Data
     calls = as_table(calls.select("src", "dst").distinct())
     exists = symbols.select(F.col("id").alias("k"))
     plan = sorted(strategies(symbols, edges, calls, depth), key=lambda s: s[0])
-    known = cut(seeds.select(F.col("seed").cast("long").alias("node"), F.lit(1.0).alias("relevance"), F.lit("entry").alias("strategy"), F.lit(0).alias("turn")).distinct())
+    known = cut(seeds.where("seed is not null").select(F.col("seed").cast("long").alias("node"), F.lit(1.0).alias("relevance"), F.lit("entry").alias("strategy"), F.lit(0).alias("turn")).distinct())
     for turn in range(iterations):
         found = None
         for place, (_, name, strategy) in enumerate(plan):

@@ -208,7 +208,7 @@ QUERIES = {
     "gt16_test_impact": bound(R.tests_touched),
     "gt16_impact_sets": lambda spark, folder: (lambda g: R.impact_sets(g, R.callers_of_most_called(g)))(R.Graph(spark, folder)),
     "ga01_implementations": bound(R.implementations),
-    "ga01_relatives": lambda spark, folder: (lambda g: R.relatives(g, R.most_called(g).first()[0]))(R.Graph(spark, folder)),
+    "ga01_relatives": lambda spark, folder: (lambda g: R.relatives(g, *(R.most_called(g).first() or [-1])))(R.Graph(spark, folder)),
     "ga04_direct_recursion": bound(R.self_calls),
     "ga06_unused_functions": bound(R.unused_functions),
     "ga07_complexity": bound(R.complexity),
