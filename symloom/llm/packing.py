@@ -314,7 +314,7 @@ def pack(counts: DataFrame, limit_id: int, capacity: int) -> tuple[DataFrame, di
     return placed, facts
 
 
-def pack_all(documents: DataFrame, limits: DataFrame, vocabulary: str = VOCABULARY) -> tuple[DataFrame | None, list[dict]]:
+def pack_all(documents: DataFrame, limits: DataFrame, vocabulary: str = VOCABULARY) -> tuple[DataFrame, list[dict]]:
     """pack() for every limit; texts are counted once."""
     counts = cut(token_counts(documents, vocabulary))
     out, facts = None, []
@@ -322,4 +322,6 @@ def pack_all(documents: DataFrame, limits: DataFrame, vocabulary: str = VOCABULA
         placed, f = pack(counts, r["limit_id"], r["capacity_tokens"])
         out = placed if out is None else out.unionByName(placed)
         facts.append(f)
+    if out is None:
+        out = documents.sparkSession.createDataFrame([], "limit_id long, doc_id long, piece int, start_token long, end_token long, container long")
     return out, facts
