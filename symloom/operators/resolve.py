@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from symloom.session import cut
+
 
 def resolve_by_cascade(dependencies: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
     """Targets of unresolved dependencies: qualified name first, then name in the same file, then a name that is unique in the repository.
@@ -172,6 +174,123 @@ def context_class(context: Column) -> Column:
     return F.lower(F.when(context.startswith("field_call_"), field).otherwise(F.substring_index(context, ".", 1)))
 
 
+#: Symbols of one name and language that a row meets at once; names of more are cut into slices (fixed value).
+SLICE = 1024
+#: What makes two rows the same edge, before their target is known.
+_EDGE = ("from_symbol_id", "dependency_type", "line_number", "member")
+#: Whether a symbol of a plain name makes an edge of its own.
+_NEW = "from_symbol_id <> m_id and not coalesce(array_contains(taken, m_id), false)"
+
+
+def _meant(dependencies: DataFrame, symbols: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Resolved calls; qualified edges of other kinds; what of other kinds means all symbols of a name; these symbols.
+
+    Edges of other kinds that mean a plain name are not written out: a name has
+    as many as its references times its symbols. One row stands for all edges
+    of (from_symbol_id, dependency_type, line_number, member) but those to
+    taken, which qualified names of the same line gave before.
+    """
+    place = files.select(F.col("id").alias("f_id"), language_group(F.col("path")).alias("group"))
+    s = symbols.join(place, F.col("file_id") == F.col("f_id"), "left").withColumn("group", F.coalesce("group", F.lit("unknown")))
+    s = cut(s.select("id", "name", "symbol_type", "file_id", "start_line", "parent_symbol_id", "group"))
+    named = s.where("name is not null")
+    # what is asked and who inherits, as one table, so that dependencies are read once
+    is_asked = F.expr("from_symbol_id is not null and to_symbol is not null and (calling_object is null or resolved_class is not null)")
+    inherits = F.lit(False)
+    if "to_symbol_id" in dependencies.columns:
+        inherits = F.col("dependency_type").isin("implements", "inherits") & F.col("to_symbol_id").isNotNull()
+    asked, context = plain_name(F.col("to_symbol")), F.coalesce("resolved_class", "qualified_context")
+    dotted = F.contains(asked, F.lit("."))
+    known = cut(
+        dependencies.where(is_asked | inherits).select(
+            "id", "from_symbol_id", "dependency_type", "line_number", is_asked.alias("is_asked"),
+            (F.when(inherits, F.col("to_symbol_id")) if "to_symbol_id" in dependencies.columns else F.lit(None).cast("long")).alias("heir_of"),
+            F.when(dotted, F.regexp_extract(asked, r"^(.*)\.[^.]*$", 1)).alias("qualifier"),
+            F.substring_index(asked, ".", -1).alias("member"),
+            (~(dotted & (is_external(asked) | is_instance_access(asked)))).alias("open"),
+            context.isNotNull().alias("has_context"),
+            context_class(context).alias("wanted"),
+        )
+    )
+    origin = s.select(F.col("id").alias("o_id"), F.col("name").alias("o_name"), F.col("group").alias("o_group"), F.col("file_id").alias("o_file"))
+    rows = known.where("is_asked").join(origin, F.col("from_symbol_id") == F.col("o_id")).drop("o_id", "is_asked", "heir_of")
+
+    # members by the qualifiers that are asked for: of classes, of classes below interfaces, constants of enums
+    sought = known.where("is_asked and qualifier is not null").select(F.col("qualifier").alias("q")).distinct()
+    classes = named.where(F.col("symbol_type").isin("class", "interface")).select(F.col("id").alias("c_id"), F.col("name").alias("q"), F.col("file_id").alias("c_file"), F.col("start_line").alias("c_start"))
+    heirs = known.where("heir_of is not null").select(F.col("from_symbol_id").alias("h_id"), "heir_of").distinct()
+    above = named.select(F.col("id").alias("n_id"), F.col("name").alias("q")).join(sought, "q", "left_semi")
+    below = above.join(heirs, F.col("n_id") == F.col("heir_of")).join(classes.drop("q"), F.col("h_id") == F.col("c_id"))
+    owners = classes.join(sought, "q", "left_semi").withColumn("tier", F.lit(1)).unionByName(below.select("c_id", "q", "c_file", "c_start").withColumn("tier", F.lit(2)))
+    m = named.select(F.col("id").alias("m_id"), F.col("name").alias("n"), F.col("group").alias("g"), F.col("file_id").alias("m_file"), F.col("start_line").alias("m_start"))
+    members = owners.join(m, (F.col("c_file") == F.col("m_file")) & (F.col("m_start") >= F.col("c_start")) & (F.col("c_id") != F.col("m_id")))
+    e = named.where("symbol_type = 'enum'").select(F.col("id").alias("e_id"), F.col("name").alias("q")).join(sought, "q", "left_semi")
+    constants = named.where("symbol_type in ('constant', 'property')").select("parent_symbol_id", F.col("id").alias("m_id"), F.col("name").alias("n"), F.col("group").alias("g"), F.col("file_id").alias("m_file"))
+    shape = ("q", "tier", "n", "g", "m_id", "m_file")
+    by_qualifier = members.select(*shape).unionByName(e.join(constants, F.col("e_id") == F.col("parent_symbol_id")).withColumn("tier", F.lit(1)).select(*shape)).distinct()
+
+    # one row per qualifier, name and language, and per name and language: how many symbols and the first of them
+    count, first = F.count(F.lit(1)).alias("count"), F.min("m_id").alias("first")
+    summed = by_qualifier.groupBy("q", "n", "g", "tier").agg(count, first).groupBy("q", F.col("n").alias("q_n"), F.col("g").alias("q_g")).agg(F.min(F.struct("tier", "count", "first")).alias("k"))
+    names = m.groupBy("n", "g").agg(count, first)
+    owner = named.select(F.col("id").alias("p_id"), F.lower("name").alias("p_name"))
+    in_class = named.join(owner, F.col("parent_symbol_id") == F.col("p_id")).groupBy(F.col("name").alias("x_n"), F.col("group").alias("x_g"), "p_name").agg(F.min("id").alias("in_class"))
+    fits = (F.col("member") == F.col("n")) & (F.col("o_group") == F.col("g"))
+
+    def chosen(part: DataFrame) -> DataFrame:
+        """The best tier of each row that has one, with the number of its symbols and the first."""
+        plain = part.where("qualifier is null").join(names, fits).select(*part.columns, F.lit(3).alias("tier"), "count", "first")
+        by_q = (F.col("qualifier") == F.col("q")) & (F.col("member") == F.col("q_n")) & (F.col("o_group") == F.col("q_g"))
+        both = part.where("qualifier is not null").join(summed, by_q, "left").join(names, fits & F.col("open") & F.col("k").isNull(), "left").where("k is not null or count is not null")
+        best = [F.coalesce("k.tier", F.lit(3)).alias("tier"), F.coalesce("k.count", "count").alias("count"), F.coalesce("k.first", "first").alias("first")]
+        return plain.unionByName(both.select(*part.columns, *best))
+
+    # calls: one target each
+    calls = chosen(rows.where("dependency_type = 'calls'").drop("o_name", "o_file"))
+    calls = calls.join(in_class, (F.col("member") == F.col("x_n")) & (F.col("o_group") == F.col("x_g")) & (F.col("wanted") == F.col("p_name")), "left")
+    one = F.col("count") == 1
+    target = F.when(one, F.col("first")).when(F.col("in_class").isNotNull(), F.col("in_class")).when(F.col("has_context"), F.col("first"))
+    how = F.when(F.col("tier") == 1, "qualified").when(F.col("tier") == 2, "interface").otherwise("name")
+    strategy = F.when(one, how).when(F.col("in_class").isNotNull(), "context").otherwise("first")
+    resolved = calls.select("id", "from_symbol_id", "dependency_type", "line_number", target.alias("to_id"), strategy.alias("strategy")).where("to_id is not null")
+    resolved = _once(resolved)
+
+    # other kinds: every target of the best tier. Targets of two members differ, so rows of the same edge on one line are among those of one member
+    rest = chosen(rows.where("dependency_type <> 'calls'").drop("has_context", "wanted"))
+    edge = [*_EDGE, "o_name", "o_group", "o_file"]
+    each = rest.groupBy(*edge, "tier", F.when(F.col("tier") < 3, F.col("qualifier")).alias("q")).agg(F.min("id").alias("id"), F.max("count").alias("count"))
+    wide, ways = F.col("tier") == 3, F.collect_list(F.when(F.col("tier") < 3, F.struct("id", "tier", "q")))
+    # the plain name means all that a qualified one does, so of qualified ones only those before it count
+    per = each.groupBy(*edge).agg(F.min(F.when(wide, F.col("id"))).alias("id"), F.max(F.when(wide, F.col("count"))).alias("count"), ways.alias("ways"))
+    per = cut(per.withColumn("ways", F.filter("ways", lambda w: F.col("id").isNull() | (w["id"] < F.col("id")))))
+    narrow = per.select(*edge, (F.col("id").isNull() & (F.size("ways") == 1)).alias("alone"), F.col("id").isNotNull().alias("has_plain"), F.inline("ways"))
+    hit = narrow.join(by_qualifier.withColumnsRenamed({"q": "r_q", "tier": "r_tier"}), fits & (F.col("q") == F.col("r_q")) & (F.col("tier") == F.col("r_tier")))
+    hit = hit.where("from_symbol_id <> m_id and (dependency_type <> 'contains' or o_file = m_file)").select("id", *_EDGE, F.col("m_id").alias("to_id"), how.alias("strategy"), "alone", "has_plain")
+    alone = hit.where("alone").select("id", "from_symbol_id", "to_id", "dependency_type", "line_number", "strategy")
+    qualified = alone.unionByName(_once(hit.where("not alone")))
+    taken = hit.where("has_plain").groupBy(*[F.col(c).alias(f"t_{c}") for c in _EDGE]).agg(F.collect_set("to_id").alias("taken"))
+    same = F.lit(True)
+    for c in _EDGE:
+        same = same & F.col(c).eqNullSafe(F.col(f"t_{c}"))
+    after = per.where("id is not null and size(ways) > 0").drop("ways").join(taken, same, "left").drop(*[f"t_{c}" for c in _EDGE])
+    plain = per.where("id is not null and size(ways) = 0").drop("ways").withColumn("taken", F.lit(None).cast("array<bigint>")).unionByName(after)
+    sizes = names.select(F.col("n").alias("k_n"), F.col("g").alias("k_g"), F.col("count").alias("of_name"))
+    targets = m.join(sizes, (F.col("n") == F.col("k_n")) & (F.col("g") == F.col("k_g"))).select("n", "g", "m_id", "m_file", "of_name")
+    return resolved, qualified, plain, targets
+
+
+def _once(edges: DataFrame) -> DataFrame:
+    """Rows of the same edge on one line as one, that of the smallest id."""
+    one = edges.groupBy("from_symbol_id", "to_id", "dependency_type", "line_number").agg(F.min(F.struct("id", "strategy")).alias("k"))
+    return one.select("k.id", "from_symbol_id", "to_id", "dependency_type", "line_number", "k.strategy")
+
+
+def _contained(plain: DataFrame, targets: DataFrame) -> DataFrame:
+    """Edges to contained symbols of a plain name; they meet by file, so a name costs no product."""
+    held = plain.where("dependency_type = 'contains'").join(targets, (F.col("member") == F.col("n")) & (F.col("o_group") == F.col("g")) & (F.col("o_file") == F.col("m_file")))
+    return held.where(_NEW).select("id", "from_symbol_id", F.col("m_id").alias("to_id"), "dependency_type", "line_number", F.lit("name").alias("strategy"))
+
+
 def build_edges(dependencies: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
     """Edges from parsed dependencies to the symbols they mean: id, from_id, to_id, kind, line_number, strategy.
 
@@ -189,80 +308,31 @@ def build_edges(dependencies: DataFrame, symbols: DataFrame, files: DataFrame) -
     contained symbols lie in the same file.
 
     Calls meet names as one row per name, class and language, so a name that a
-    third of all symbols bear costs no product.
+    third of all symbols bear costs no product. Other kinds mean every symbol of
+    a name; rows of the same edge become one before they meet the symbols, and
+    what comes out of that is neither sorted nor shuffled.
     """
-    place = files.select(F.col("id").alias("f_id"), language_group(F.col("path")).alias("group"))
-    s = symbols.join(place, F.col("file_id") == F.col("f_id"), "left").withColumn("group", F.coalesce("group", F.lit("unknown"))).drop("f_id")
-    named = s.where("name is not null")
-    classes = named.where(F.col("symbol_type").isin("class", "interface")).select(F.col("id").alias("c_id"), F.col("name").alias("c_name"), F.col("file_id").alias("c_file"), F.col("start_line").alias("c_start"))
-    m = named.select(F.col("id").alias("m_id"), F.col("name").alias("m_name"), F.col("file_id").alias("m_file"), F.col("start_line").alias("m_start"), F.col("group").alias("m_group"), F.col("symbol_type").alias("m_type"))
-    members = classes.join(m, (F.col("c_file") == F.col("m_file")) & (F.col("m_start") >= F.col("c_start")) & (F.col("c_id") != F.col("m_id"))).select("c_id", "c_name", "m_id", "m_name", "m_group", "m_file")
-    # constants of enums, by the name of the enum their parent is
-    e = named.where("symbol_type = 'enum'").select(F.col("id").alias("c_id"), F.col("name").alias("c_name"))
-    constants = named.where("symbol_type in ('constant', 'property')").select(F.col("parent_symbol_id").alias("e_id"), F.col("id").alias("m_id"), F.col("name").alias("m_name"), F.col("group").alias("m_group"), F.col("file_id").alias("m_file"))
-    enums = e.join(constants, F.col("c_id") == F.col("e_id")).drop("e_id")
-    direct = members.unionByName(enums)
-    heirs = (
-        dependencies.where(F.col("dependency_type").isin("implements", "inherits") & F.col("to_symbol_id").isNotNull()).select(F.col("from_symbol_id").alias("h_id"), F.col("to_symbol_id").alias("i_id")).distinct()
-        if "to_symbol_id" in dependencies.columns
-        else None
-    )
-    asked = (
-        dependencies.where("from_symbol_id is not null and to_symbol is not null and (calling_object is null or resolved_class is not null)")
-        .select("id", "from_symbol_id", "dependency_type", "line_number", plain_name(F.col("to_symbol")).alias("asked"), F.coalesce("resolved_class", "qualified_context").alias("context"))
-        .join(s.select(F.col("id").alias("o_id"), F.col("group").alias("o_group"), F.col("file_id").alias("o_file")), F.col("from_symbol_id") == F.col("o_id"))
-        .withColumns(
-            {
-                "qualifier": F.when(F.contains("asked", F.lit(".")), F.regexp_extract("asked", r"^(.*)\.[^.]*$", 1)),
-                "member": F.substring_index("asked", ".", -1),
-                "open": ~(F.contains("asked", F.lit(".")) & (is_external(F.col("asked")) | is_instance_access(F.col("asked")))),
-                "wanted": context_class(F.col("context")),
-            }
-        )
-        .drop("o_id", "asked")
-    )
-    # one row per (qualifier, member, language): how many symbols and the first of them
-    tiers = [direct.select(F.col("c_name").alias("q"), "m_id", "m_name", "m_group").distinct().withColumn("tier", F.lit(1))]
-    if heirs is not None:
-        interface = named.select(F.col("id").alias("n_id"), F.col("name").alias("q"))
-        tiers.append(
-            members.join(heirs, F.col("c_id") == F.col("h_id")).join(interface, F.col("i_id") == F.col("n_id")).select("q", "m_id", "m_name", "m_group").distinct().withColumn("tier", F.lit(2))
-        )
-    by_qualifier = tiers[0] if len(tiers) == 1 else tiers[0].unionByName(tiers[1])
-    owner = named.select(F.col("id").alias("p_id"), F.lower("name").alias("p_name"))
-    owned = named.join(owner, F.col("parent_symbol_id") == F.col("p_id"), "left")
-    count, first = F.count(F.lit(1)), F.min("m_id")
-    summed = by_qualifier.groupBy("q", "tier", F.col("m_name").alias("n"), F.col("m_group").alias("g")).agg(count.alias("count"), first.alias("first"))
-    simple = owned.select(F.lit(3).alias("tier"), F.col("name").alias("n"), F.col("group").alias("g"), F.col("id").alias("m_id"), "p_name")
-    all_names = simple.groupBy("tier", "n", "g").agg(count.alias("count"), first.alias("first"))
-    in_class = simple.where("p_name is not null").groupBy("n", "g", "p_name").agg(first.alias("in_class"))
+    resolved, qualified, plain, targets = _meant(dependencies, symbols, files)
+    slices = lambda n: F.ceil(F.col(n) / SLICE)
+    asking = plain.where("dependency_type <> 'contains'").select("id", *_EDGE, "o_group", "taken", F.explode(F.sequence(F.lit(0).cast("long"), slices("count") - 1)).alias("slice"))
+    sliced = targets.select("n", "g", "m_id", F.pmod(F.xxhash64("m_id"), slices("of_name")).alias("of_slice"))
+    every = asking.join(sliced, (F.col("member") == F.col("n")) & (F.col("o_group") == F.col("g")) & (F.col("slice") == F.col("of_slice"))).where(_NEW)
+    every = every.select("id", "from_symbol_id", F.col("m_id").alias("to_id"), "dependency_type", "line_number", F.lit("name").alias("strategy"))
+    out = resolved.unionByName(qualified).unionByName(_contained(plain, targets)).unionByName(every)
+    return out.select("id", F.col("from_symbol_id").alias("from_id"), "to_id", F.col("dependency_type").alias("kind"), "line_number", "strategy")
 
-    fits = (F.col("member") == F.col("n")) & (F.col("o_group") == F.col("g"))
-    keys = ["id", "from_symbol_id", "dependency_type", "line_number", "o_file", "o_group", "context", "wanted", "qualifier", "member"]
-    with_q = asked.where("qualifier is not null").join(summed, fits & (F.col("qualifier") == F.col("q"))).select(*keys, "tier", "count", "first")
-    without = asked.where("open").join(all_names, fits).select(*keys, "tier", "count", "first")
-    best = with_q.unionByName(without).groupBy("id").agg(F.min(F.struct("tier", "count", "first", *[F.col(k) for k in keys if k != "id"])).alias("k")).select("id", "k.*")
 
-    # calls: one target each
-    calls = best.where("dependency_type = 'calls'").join(in_class.withColumnsRenamed({"n": "x_n", "g": "x_g"}), (F.col("member") == F.col("x_n")) & (F.col("o_group") == F.col("x_g")) & (F.col("wanted") == F.col("p_name")), "left")
-    one = F.col("count") == 1
-    target = F.when(one, F.col("first")).when(F.col("in_class").isNotNull(), F.col("in_class")).when(F.col("context").isNotNull(), F.col("first"))
-    how = F.when(F.col("tier") == 1, "qualified").when(F.col("tier") == 2, "interface").otherwise("name")
-    strategy = F.when(one, how).when(F.col("in_class").isNotNull(), "context").otherwise("first")
-    resolved = calls.select("id", F.col("from_symbol_id").alias("from_id"), target.alias("to_id"), F.col("dependency_type").alias("kind"), "line_number", strategy.alias("strategy")).where("to_id is not null")
-
-    # other kinds: every target of the best tier
-    rest = best.where("dependency_type <> 'calls'")
-    rows = by_qualifier.select("q", "tier", F.col("m_name").alias("n"), F.col("m_group").alias("g"), "m_id").withColumnRenamed("tier", "r_tier")
-    a = rest.where("tier < 3").join(rows, fits & (F.col("qualifier") == F.col("q")) & (F.col("tier") == F.col("r_tier")))
-    b = rest.where("tier = 3").join(simple.select("n", "g", "m_id"), fits)
-    shape = ["id", F.col("from_symbol_id").alias("from_id"), F.col("m_id").alias("to_id"), F.col("dependency_type").alias("kind"), "line_number", how.alias("strategy")]
-    others = a.select(*shape, "o_file").unionByName(b.select(*shape, "o_file"))
-    home = s.select(F.col("id").alias("t_id"), F.col("file_id").alias("t_file"))
-    others = others.join(home, F.col("to_id") == F.col("t_id")).where("from_id <> to_id and (kind <> 'contains' or o_file = t_file)").drop("o_file", "t_id", "t_file")
-    every = resolved.unionByName(others)
-    # rows of the same edge on one line are one
-    return every.groupBy("from_id", "to_id", "kind", "line_number").agg(F.min(F.struct("id", "strategy")).alias("k")).select("k.id", "from_id", "to_id", "kind", "line_number", "k.strategy")
+def edge_counts(dependencies: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """How many edges build_edges gives by kind and strategy: kind, strategy, edges.
+
+    Edges of plain names are counted by the number of symbols of the name and not written out.
+    """
+    resolved, qualified, plain, targets = _meant(dependencies, symbols, files)
+    written = resolved.unionByName(qualified).unionByName(_contained(plain, targets)).select("dependency_type", "strategy", F.lit(1).cast("long").alias("n"))
+    itself = F.col("o_name").eqNullSafe(F.col("member")).cast("long")
+    counted = plain.where("dependency_type <> 'contains'").select("dependency_type", F.lit("name").alias("strategy"), (F.col("count") - itself - F.coalesce(F.array_size("taken"), F.lit(0))).alias("n"))
+    found = written.unionByName(counted).groupBy(F.col("dependency_type").alias("kind"), "strategy").agg(F.sum("n").alias("edges"))
+    return found.where("edges > 0")
 
 
 def autoloaded(names: DataFrame, mappings: DataFrame) -> DataFrame:

@@ -236,8 +236,7 @@ def rs01_built_edges(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def rs04_resolution_strategies(spark: SparkSession, folder: str) -> DataFrame:
     """How many edges each strategy gave."""
-    built = resolve.build_edges(view(spark, folder, "d", *_RS_D), view(spark, folder, "s", *_RS_S), view(spark, folder, "f", "path"))
-    return built.groupBy("kind", "strategy").agg(F.count(F.lit(1)).alias("edges"))
+    return resolve.edge_counts(view(spark, folder, "d", *_RS_D), view(spark, folder, "s", *_RS_S), view(spark, folder, "f", "path"))
 
 
 @query()
