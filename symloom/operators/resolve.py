@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from symloom.session import cut
+from symloom.session import WAVES, cores, cut
 
 
 def resolve_by_cascade(dependencies: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
@@ -315,6 +315,9 @@ def build_edges(dependencies: DataFrame, symbols: DataFrame, files: DataFrame) -
     resolved, qualified, plain, targets = _meant(dependencies, symbols, files)
     slices = lambda n: F.ceil(F.col(n) / SLICE)
     asking = plain.where("dependency_type <> 'contains'").select("id", *_EDGE, "o_group", "taken", F.explode(F.sequence(F.lit(0).cast("long"), slices("count") - 1)).alias("slice"))
+    # few bytes become many rows here, so tasks are not merged by their bytes
+    spark = dependencies.sparkSession
+    asking = asking.repartition(max(cores(spark) * WAVES, int(spark.conf.get("spark.sql.shuffle.partitions"))), "member", "o_group", "slice")
     sliced = targets.select("n", "g", "m_id", F.pmod(F.xxhash64("m_id"), slices("of_name")).alias("of_slice"))
     every = asking.join(sliced, (F.col("member") == F.col("n")) & (F.col("o_group") == F.col("g")) & (F.col("slice") == F.col("of_slice"))).where(_NEW)
     every = every.select("id", "from_symbol_id", F.col("m_id").alias("to_id"), "dependency_type", "line_number", F.lit("name").alias("strategy"))

@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import pytest
 
 from symloom.operators import resolve
@@ -65,3 +66,26 @@ def test_counts_are_those_of_the_edges(spark, seed):
     for r in rows:
         want[r.kind, r.strategy] = want.get((r.kind, r.strategy), 0) + 1
     assert rows and counts == want
+
+
+def test_edges_of_a_hot_name_shuffle_no_product(spark, hot):
+    before = shuffled(spark)
+    edges = flow_queries.rs01_built_edges(spark, hot)
+    got = {r.kind: r.n for r in edges.groupBy("kind").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()}
+    assert got == {"imports": HOT // 2 * (HOT - 1), "references": HOT // 6 * (HOT - 1), "contains": HOT // 6 * (HOT // 3 - 1)}
+    assert shuffled(spark) - before < 30 * HOT
+    assert edges.distinct().count() == sum(got.values())
+
+
+@pytest.mark.parametrize("seed", [2, 3])
+def test_edges_told_in_several_ways_are_those_of_the_twin(spark, seed):
+    d, s, f = tables(spark, seed)
+    built = resolve.build_edges(d, s, f).select("from_id", "to_id", "kind", "line_number")
+    con = duckdb.connect()
+    for name, df, schema in (("dependencies", d, D), ("symbols", s, S), ("files", f, F)):
+        kinds = ", ".join(f"{c} {'VARCHAR' if kind == 'string' else 'BIGINT'}" for c, kind in (part.split() for part in schema.split(", ")))
+        con.execute(f"CREATE TABLE {name} ({kinds}, updated_at BIGINT DEFAULT 0)")
+        con.executemany(f"INSERT INTO {name} ({', '.join(df.columns)}) VALUES ({', '.join('?' * len(df.columns))})", [list(r) for r in df.collect()])
+    want = con.execute(flow_queries.ORACLES["rs01_built_edges"]).fetchall()
+    order = lambda rows: sorted(map(tuple, rows), key=repr)
+    assert want and order(built.collect()) == order(want)
